@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secret_scan
+from . import exact_dedup, mixing, secret_scan
 from .common import table
 
 
@@ -14,5 +14,9 @@ def op8_secret_scan(spark, sf_dir):
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_exact_dedup, op8_secret_scan)}
-ORACLE_SQL = {"op6_exact_dedup": exact_dedup.SQL, "op8_secret_scan": secret_scan.SQL}
+def op4_mixing(spark, sf_dir):
+    return mixing.copies(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_mixing, op6_exact_dedup, op8_secret_scan)}
+ORACLE_SQL = {"op4_mixing": mixing.SQL, "op6_exact_dedup": exact_dedup.SQL, "op8_secret_scan": secret_scan.SQL}
