@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, secret_scan
+from . import byte_bpe, exact_dedup, language_crf, mixing, secret_scan
 from .common import table
 
 
+def op5_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op9_language_crf(spark, sf_dir):
+    return language_crf.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -18,5 +29,5 @@ def op4_mixing(spark, sf_dir):
     return mixing.copies(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op6_exact_dedup, op8_secret_scan)}
+QUERIES = {f.__name__: f for f in (op4_mixing, op5_byte_bpe, op6_exact_dedup, op8_secret_scan, op9_language_crf)}
 ORACLE_SQL = {"op4_mixing": mixing.SQL, "op6_exact_dedup": exact_dedup.SQL, "op8_secret_scan": secret_scan.SQL}
