@@ -223,7 +223,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             lists = batch.column(place)
             ends = lists.offsets.to_numpy()
             for a, b in _slices(np.diff(ends) * 4):
-                values = lists.values.slice(ends[a], ends[b] - ends[a]).to_pylist()
+                values = lists.values.slice(ends[a], ends[b] - ends[a]).to_numpy().tolist()
                 texts = [b"".join(map(token, values[ends[i] - ends[a] : ends[i + 1] - ends[a]])) for i in range(a, b)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(texts, pa.binary())], names=[*names, "decoded"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_crf, mixing, ngram_join, secret_scan
+from . import byte_bpe, exact_dedup, language_crf, mixing, ngram_join, secret_scan, suffix_dedup
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op8_secret_scan(spark, sf_dir):
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard(spark, sf_dir):
     return ngram_join.groups(table(spark, sf_dir, "documents"))
 
@@ -33,5 +37,5 @@ def op4_mixing(spark, sf_dir):
     return mixing.copies(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard, op4_mixing, op5_byte_bpe, op6_exact_dedup, op8_secret_scan, op9_language_crf)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_ngram_jaccard, op4_mixing, op5_byte_bpe, op6_exact_dedup, op8_secret_scan, op9_language_crf)}
 ORACLE_SQL = {"op4_mixing": mixing.SQL, "op6_exact_dedup": exact_dedup.SQL, "op8_secret_scan": secret_scan.SQL}
