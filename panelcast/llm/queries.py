@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_crf, mixing, ngram_join, secret_scan, suffix_dedup
+from pyspark.sql import functions as F
+
+from . import byte_bpe, exact_dedup, language_crf, mixing, ngram_join, rp_forest, secret_scan, suffix_dedup
 from .common import table
 
 
@@ -37,5 +39,9 @@ def op4_mixing(spark, sf_dir):
     return mixing.copies(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_ngram_jaccard, op4_mixing, op5_byte_bpe, op6_exact_dedup, op8_secret_scan, op9_language_crf)}
+def op10_rp_forest(spark, sf_dir):
+    return rp_forest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_ngram_jaccard, op4_mixing, op5_byte_bpe, op6_exact_dedup, op8_secret_scan, op9_language_crf, op10_rp_forest)}
 ORACLE_SQL = {"op4_mixing": mixing.SQL, "op6_exact_dedup": exact_dedup.SQL, "op8_secret_scan": secret_scan.SQL}
