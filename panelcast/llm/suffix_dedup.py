@@ -11,7 +11,10 @@ leftmost of equal ones). So
    symbol. Neighbours in that order that agree in WINDOW bytes are repeated. Suffix sorting groups suffixes by their
    Lyndon prefixes, from the highest group down, along pointers to the previous smaller group, and then reads off each
    group's order: linear, and no renaming by recursion.
-4. An anchor with more than LARGE distinct surroundings goes another exact way: its windows are counted by hash.
+4. An anchor with more than LARGE distinct surroundings is narrowed first: its windows are taken apart by where the
+   anchor lies in them, STEP places together, and the bytes that all windows of such a class share are a longer
+   anchor. Then 2 and 3 hold again. What still has more than LARGE distinct surroundings (they differ in the outermost
+   bytes only) goes another exact way: its windows, STEP at most for each, are counted by hash.
 
 Texts are UTF-8 bytes; matches don't cross documents; null text is empty. What is shorter than WINDOW bytes keeps all.
 Rows that repeat doc_id and text are documents of their own (each holds the other's text) and get equal results. An
@@ -33,8 +36,8 @@ from .bytehash import Substrings, mix, pieces, utf8
 from .common import written
 
 WINDOW, CORE = 400, 200
-#: Distinct surroundings of one anchor that are suffix-sorted together.
-LARGE = 200
+#: Distinct surroundings of one anchor that are suffix-sorted together; places that a narrowed class spans.
+LARGE, STEP = 200, 16
 BATCH_BYTES = 4_000_000
 #: Symbols that are suffix-sorted at once, about.
 SORTED_AT_ONCE = 100_000
@@ -257,6 +260,50 @@ def _cut_out(wanted: DataFrame) -> DataFrame:
     return wanted.mapInPandas(work, schema)
 
 
+def _narrowed(segments: DataFrame) -> DataFrame:
+    """Segments of anchors with very many surroundings, taken apart: (core, covered) of the narrow class, the
+    segment it is from, the place of its bytes in there, the old anchor's place in them, and the bytes."""
+    schema = "core long, covered long, from_core long, from_covered long, from_alone boolean, place int, m int, bytes binary"
+
+    def number(*parts: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(b"|".join(parts), digest_size=8).digest(), "little", signed=True)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for core, covered, alone, m, data in zip(*(batch[c] for c in ("core", "covered", "alone", "m", "bytes"))):
+                windows = len(data) - WINDOW + 1
+                for kind in range((m - windows + 1) // STEP, m // STEP + 1):
+                    first, last = max(0, m - (kind * STEP + STEP - 1)), min(windows - 1, m - kind * STEP)
+                    shared = data[m - kind * STEP : m - (kind * STEP + STEP - 1) + WINDOW]
+                    own = data[first : last + WINDOW]
+                    tag = b"%d" % kind
+                    out.append((number(tag, shared), number(tag, b"%d" % (m - first), own), core, covered, alone, first, m - first, own))
+            yield pd.DataFrame(out, columns=["core", "covered", "from_core", "from_covered", "from_alone", "place", "m", "bytes"])
+
+    return segments.mapInPandas(work, schema)
+
+
+def _crowded(segments: DataFrame) -> DataFrame:
+    """(core, covered, start, end) of the repeated windows in segments of anchors with very many surroundings, for
+    those that occur once."""
+    narrow = written(_narrowed(segments), "narrowed")
+    anchors = written(narrow.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "narrow-anchors")
+    again = narrow.join(anchors, "core")
+    kinds = again.groupBy("core", "covered").agg(F.count("*").alias("n"), F.min(F.struct("m", "bytes")).alias("one"))
+    kinds = written(kinds, "narrow-surroundings")
+    mixed = kinds.groupBy("core").agg(F.count("*").alias("distinct")).where("distinct > 1")
+    each = kinds.join(mixed, "core").select("core", "covered", (F.col("n") == 1).alias("alone"), "one.m", "one.bytes", "distinct")
+    found = _sorted_segments(each.where(F.col("distinct") <= LARGE))
+    by_hash = written(_windows(each.where(F.col("distinct") > LARGE)), "windows")
+    twice = by_hash.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    more = by_hash.where("alone").join(twice, "hash").select("core", "covered", F.col("place").alias("start"), (F.col("place") + WINDOW).alias("end"))
+    whole = kinds.where("n > 1").select("core", "covered", F.lit(0).alias("start"), F.length("one.bytes").alias("end"))
+    spans = written(found.unionByName(more).unionByName(whole), "narrow-spans")
+    back = narrow.where("from_alone").select("core", "covered", "from_core", "from_covered", "place").join(spans, ["core", "covered"])
+    return back.select(F.col("from_core").alias("core"), F.col("from_covered").alias("covered"), (F.col("place") + F.col("start")).alias("start"), (F.col("place") + F.col("end")).alias("end"))
+
+
 def _windows(segments: DataFrame) -> DataFrame:
     """Of segments of anchors with very many: each window's hash, (core, covered, place, hash)."""
     schema = "core long, covered long, alone boolean, place int, hash binary"
@@ -264,7 +311,7 @@ def _windows(segments: DataFrame) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for core, covered, alone, data in zip(batch["core"], batch["covered"], batch["alone"], batch["bytes"]):
-                places = range(len(data) - WINDOW + 1)
+                places = range(len(data) - WINDOW + 1)  # STEP at most
                 yield pd.DataFrame({"core": core, "covered": covered, "alone": alone, "place": np.arange(len(places), dtype=np.int32), "hash": [hashlib.blake2b(data[p : p + WINDOW], digest_size=16).digest() for p in places]})
 
     return segments.mapInPandas(work, schema)
@@ -274,7 +321,7 @@ def spans(docs: DataFrame) -> DataFrame:
     """(id, sum, spans): of each document with repeated bytes, array<struct<start, end>> that may overlap."""
     keyed = _keyed(docs)
     every = written(occurrences(keyed), "occurrences")
-    cores = every.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    cores = written(every.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "anchors")
     again = written(every.join(cores, "core"), "repeated-anchors")
     place = F.struct("id", "sum", "first", "last", "m")
     kinds = again.groupBy("core", "covered").agg(F.count("*").alias("n"), F.min(place).alias("at"))
@@ -289,9 +336,7 @@ def spans(docs: DataFrame) -> DataFrame:
     texts = keyed.select("id", "sum", "text").dropDuplicates(["id", "sum"]) if _repeats(keyed) else keyed.select("id", "sum", "text")
     cut = written(_cut_out(texts.join(wanted, ["id", "sum"]).select("text", "segments")), "segments")
     found = _sorted_segments(cut.where("NOT many").select("core", "covered", "alone", "m", "bytes"))
-    by_hash = written(_windows(cut.where("many").select("core", "covered", "alone", "bytes")), "windows")
-    twice = by_hash.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    more = by_hash.where("alone").join(twice, "hash").select("core", "covered", F.col("place").alias("start"), (F.col("place") + WINDOW).alias("end"))
+    more = _crowded(cut.where("many").select("core", "covered", "alone", "m", "bytes"))
     partly = written(found.unionByName(more), "partly-repeated")
     whole = again.join(kinds.where("n > 1").select("core", "covered"), ["core", "covered"]).select("id", "sum", F.col("first").alias("start"), (F.col("last") + WINDOW).alias("end"))
     parts = partly.join(kinds.where("n = 1").select("core", "covered", "at"), ["core", "covered"]).select("at.id", "at.sum", (F.col("at.first") + F.col("start")).alias("start"), (F.col("at.first") + F.col("end")).alias("end"))
