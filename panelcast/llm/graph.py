@@ -31,15 +31,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Is each node either a root or the end of one edge to a root?"""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("v", F.lit(0), F.lit(1)))
+    sums = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return sums.where("below > 1 OR (below > 0 AND above > 0)").limit(1).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) to (node, component): every node of an edge with the smallest node that it reaches."""
-    now = written(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").distinct(), "edges")
-    state = None
-    while True:
+    down = edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v"))
+    now = written(down.where("u <> v").distinct(), "edges")
+    while not _settled(now):
         now = written(_small_star(_large_star(now)), "stars")
-        seen = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
-        if seen == state:
-            break
-        state = seen
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -10,8 +10,9 @@ union. The result is the components of the links.
    parts also give their prefix (in hash order) as signatures. A part is about seven shingles, so a passage that many
    documents share makes no candidates by itself. Signatures that two classes share give candidate clusters.
 3. In each cluster, T-occurrence search over the inverted lists of the whole sets: shingles that occur in the same
-   documents are one weighted list; the short lists of a query are merged with a heap, and documents that reach the
-   bound without the long lists are looked up in those by binary search (DivideSkip). What reaches the required
+   documents are one weighted list; the short lists of a query are merged with a heap (by counting, if they hold
+   more than HEAP elements), and documents that can reach the bound are looked up in the long lists by binary search
+   (DivideSkip). What reaches the required
    overlap links. Documents that are known to be in the query's component need no lookup.
 4. Clusters of more than BLOCK documents are split: first all are held against the cluster's pivot, in blocks; then
    only those that are not in the pivot's component are queries, against each block. Links that are left out join
@@ -26,7 +27,6 @@ empty table gives no rows.
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +42,8 @@ from .graph import components
 WORDS = 3
 #: Documents of a cluster that one task searches at once.
 BLOCK = 1_500
+#: Elements that are merged with a heap; more are counted into an array.
+HEAP = 256
 BATCH_BYTES = 4_000_000
 #: Sets below this size link only with equal ones.
 LEAST = 9
@@ -117,28 +119,26 @@ def set_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_shingles long, set_key binary, signatures array<long>")
 
 
-def _reaches(both: int, a: int, b: int) -> bool:
-    return 100 * both >= 90 * (a + b - both)
+def _merged(lists: list[np.ndarray], weights: list[int], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of any of the lists, with the weight of the lists that hold them."""
+    if sum(map(len, lists)) > HEAP:
+        total = np.bincount(np.concatenate(lists), np.repeat(weights, [len(x) for x in lists]), n).astype(np.int64)
+        return np.flatnonzero(total), total[total > 0]
+    docs, sums = [], []
+    for d, w in heapq.merge(*([(d, w) for d in x.tolist()] for x, w in zip(lists, weights))):
+        if docs and docs[-1] == d:
+            sums[-1] += w
+        else:
+            docs.append(d)
+            sums.append(w)
+    return np.array(docs, np.int64), np.array(sums, np.int64)
 
 
-class Component:
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = x = self.parent[self.parent[x]]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        self.parent[self.find(x)] = self.find(y)
-
-
-def search(sets: list[np.ndarray], queries: list[int]) -> Component:
-    """The components of the links between the queries and all sets."""
+def search(sets: list[np.ndarray], queries: list[int]) -> np.ndarray:
+    """For each set a representative of its component, by the links between the queries and all sets."""
     n = len(sets)
-    known = Component(n)
-    sizes = [len(s) for s in sets]
+    component = np.arange(n)
+    sizes = np.array([len(s) for s in sets])
     grams = np.concatenate(sets)
     owner = np.repeat(np.arange(n), sizes)
     order = np.argsort(grams, kind="stable")  # keeps each list in order of its documents
@@ -147,47 +147,46 @@ def search(sets: list[np.ndarray], queries: list[int]) -> Component:
     length = np.diff([*first, len(grams)])
     shared = length > 1
     if not shared.any():
-        return known
+        return component
     # Equal lists are one list with a weight.
     sign = np.add.reduceat(mix(owner.astype(np.uint64) + np.uint64(1)), first)
     _, one, weight = np.unique(sign[shared], return_index=True, return_counts=True)
     begin, size = first[shared][one], length[shared][one]
-    lists = [owner[b : b + s].tolist() for b, s in zip(begin, size)]
+    lists = [owner[b : b + s] for b, s in zip(begin.tolist(), size.tolist())]
     weights = weight.tolist()
     of: list[list[int]] = [[] for _ in range(n)]
     for k in np.argsort(size, kind="stable").tolist():
-        for d in lists[k]:
+        for d in lists[k].tolist():
             of[d].append(k)  # each document's lists, shortest first
+    asked = np.zeros(n, bool)
     for q in queries:
-        mine, a = of[q], sizes[q]
+        asked[q] = True  # later queries needn't look at this one
+        mine, a = of[q], int(sizes[q])
         need = -(-9 * a // 10)
         # Long lists: as many of the longest as have too little weight to reach the bound by themselves.
         split, light = len(mine), 0
         while split and light + weights[mine[split - 1]] < need:
             split -= 1
             light += weights[mine[split]]
-        short, long_lists = mine[:split], mine[split:]
-        root = known.find(q)
-        counts: dict[int, int] = {}
-        merged = heapq.merge(*([(d, k) for d in lists[k]] for k in short)) if len(short) > 1 else ((d, k) for k in short for d in lists[k])
-        for d, k in merged:
-            counts[d] = counts.get(d, 0) + weights[k]
-        for d, both in counts.items():
-            if d == q or both + light < need or 10 * min(a, sizes[d]) < 9 * max(a, sizes[d]) or known.find(d) == root:
-                continue
-            left = light
-            for k in reversed(long_lists):  # the longest first: the likeliest to hold d
-                if _reaches(both, a, sizes[d]) or both + left < need:
-                    break
-                left -= weights[k]
-                where = lists[k]
-                at = bisect_left(where, d)
-                if at < len(where) and where[at] == d:
-                    both += weights[k]
-            if _reaches(both, a, sizes[d]):
-                known.join(d, q)
-                root = known.find(q)
-    return known
+        if not split:
+            continue
+        docs, both = _merged([lists[k] for k in mine[:split]], [weights[k] for k in mine[:split]], n)
+        b = sizes[docs]
+        keep = (both + light >= need) & (10 * np.minimum(a, b) >= 9 * np.maximum(a, b)) & (component[docs] != component[q]) & ~asked[docs]
+        docs, both, b, left = docs[keep], both[keep], b[keep], light
+        for k in reversed(mine[split:]):  # the longest first: the likeliest to hold a candidate
+            open_still = 100 * (both + left) >= 90 * (a + b - both - left)
+            if not open_still.all():
+                docs, both, b = docs[open_still], both[open_still], b[open_still]
+            if not len(docs):
+                break
+            left -= weights[k]
+            at = np.searchsorted(lists[k], docs)
+            at[at == len(lists[k])] = 0
+            both = both + weights[k] * (lists[k][at] == docs)
+        for d in docs[100 * both >= 90 * (a + b - both)].tolist():
+            component[component == component[d]] = component[q]
+    return component
 
 
 def _linked(groups: DataFrame) -> DataFrame:
@@ -197,8 +196,8 @@ def _linked(groups: DataFrame) -> DataFrame:
     def block(rows: pd.DataFrame) -> list[tuple[int, int]]:
         rows = rows.drop_duplicates("doc_id")
         ids = rows["doc_id"].tolist()
-        known = search(list(shingle_sets(pa.array(rows["text"], pa.large_string()))), np.flatnonzero(rows["is_query"]).tolist())
-        return [(ids[i], ids[r]) for i in range(len(ids)) if (r := known.find(i)) != i]
+        component = search(list(shingle_sets(pa.array(rows["text"], pa.large_string()))), np.flatnonzero(rows["is_query"]).tolist())
+        return [(ids[i], ids[r]) for i, r in enumerate(component.tolist()) if r != i]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
@@ -256,8 +255,13 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         of_pivot = pivots.select("cluster", "doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id").select("cluster", F.col("component").alias("pivot_component"))
         state = members.where(is_large).join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(of_pivot, "cluster", "left")
         outside = state.where(~F.coalesce(F.col("component") == F.col("pivot_component"), F.lit(False)))
-        again = outside.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("long") - 1)).alias("block"), "doc_id", F.lit(True).alias("is_query"))
-        there = members.where(is_large).join(outside.select("cluster").distinct(), "cluster", "left_semi").select("cluster", home.alias("block"), "doc_id", F.lit(False).alias("is_query"))
+        # Blocks of queries against blocks of documents, so that a task holds two blocks at most.
+        outside = written(outside.select("cluster", "doc_id", "blocks"), "outside")
+        per = outside.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("query_blocks"))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+        task = (F.col("i") * F.col("query_blocks") + F.col("j")).alias("block")
+        again = outside.join(per, "cluster").select("cluster", "doc_id", "query_blocks", _block(F.col("query_blocks")).alias("j"), every("blocks").alias("i")).select("cluster", task, "doc_id", F.lit(True).alias("is_query"))
+        there = members.where(is_large).join(per, "cluster").select("cluster", "doc_id", "query_blocks", home.alias("i"), every("query_blocks").alias("j")).select("cluster", task, "doc_id", F.lit(False).alias("is_query"))
         more = written(_linked(again.unionByName(there).join(texts, "doc_id").select("cluster", "block", "doc_id", "is_query", "text")), "more-links")
         links = links.unionByName(more)
     return sets.drop("signatures").join(classes, ["set_key", "n_shingles"], "left"), links
