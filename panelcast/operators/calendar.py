@@ -68,7 +68,7 @@ def reindex(panel: DataFrame, calendar: DataFrame, static=(), id: str = "asset_i
     """Every id at every session: rows on other days go, missing ones become null; static columns are filled in."""
     if static and (bad := varying_static(panel, static, id, count_null=False).limit(1).collect()):
         raise ContractError(f"a static column varies: {bad[0].asDict()}")
-    ids = panel.groupBy(id).agg(*[F.max(c).alias(f"__{c}") for c in static])
+    ids = panel.groupBy(id).agg(F.count("*").alias("__n"), *[F.max(c).alias(f"__{c}") for c in static]).drop("__n")
     days = F.broadcast(calendar.select(F.col("session").cast(panel.schema[date].dataType).alias(date)))
     grid = ids.join(days)  # ids x sessions is the result itself
     out = grid.join(panel.withColumn(date, F.date_trunc("day", date).cast(panel.schema[date].dataType)), [id, date], "left")

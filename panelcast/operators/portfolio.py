@@ -199,9 +199,9 @@ def backtest(predictions: DataFrame, panel: DataFrame, how: Backtest = Backtest(
     days = F.broadcast(index)
     key = F.floor(F.col("date_idx") / how.chunk).cast("long")
     kind = panel.schema[id].dataType.simpleString()
-    f = shown.withColumnRenamed("forecast_start_date", date).join(days, date).select(key.alias("chunk"), "date_idx", F.col("asset_id").alias("asset"), "mu", "sigma")
+    f = shown.withColumnRenamed("forecast_start_date", date).join(days, date).select(key.alias("chunk"), F.col("date_idx").alias("date_idx"), F.col("asset_id").alias("asset"), "mu", "sigma")
     last = F.floor((F.col("date_idx") + how.window) / how.chunk).cast("long")  # the chunk of the last date that looks back this far
-    h = panel.join(days, date).select("date_idx", F.col(id).alias("asset"), F.col(target).cast("double").alias("target"), F.explode(F.sequence(key, last)).alias("chunk"))
+    h = panel.join(days, date).select(F.col("date_idx").alias("date_idx"), F.col(id).alias("asset"), F.col(target).cast("double").alias("target"), F.explode(F.sequence(key, last)).alias("chunk"))
     h = h.groupBy("chunk", "date_idx", "asset").agg(F.first("target", ignorenulls=True).alias("target"))
 
     def work(forecasts: pd.DataFrame, history: pd.DataFrame) -> pd.DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..operators.contracts import ContractError, nan_to_null, require_columns
 
-MANIFEST = T.StructType.fromDDL("ensemble_type string, aggregation string, estimators array<struct<index: int, estimator_manifest_path: string, oob_val_loss: double>>")
+MANIFEST = "ensemble_type string, aggregation string, estimators array<struct<index: int, estimator_manifest_path: string, oob_val_loss: double>>"
 PREDICTION_COLUMNS = ["forecast_start_date", "forecast_end_date", "asset_id", "mu", "sigma"]
 
 
