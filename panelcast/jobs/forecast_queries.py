@@ -397,3 +397,23 @@ def equity_vs_benchmark(spark, d):
     p = panel(spark, d, "nation_day").withColumn("ret", F.col("ret") / 100)
     both = portfolio.versus_benchmarks(portfolio.portfolio_returns(_equal(spark, d)), p, [3, 5])
     return rounded(signal.growth(both, "value", "date", by=["series"]))
+
+
+def _last_one(x):
+    """Another model: the last return, and the deviation of all."""
+    return x[:, -1, 0], np.sqrt(x[:, :, 0].var(axis=1)) + 0.01
+
+
+@query(f"""WITH w AS (SELECT *, list_transform(x, lambda e: coalesce(e, 0)) AS v FROM ({_windows_sql(E, 6, 1, 1)}) AS w),
+  m AS (SELECT forecast_start_date, forecast_end_date, asset_id, (v[-1] + v[-2] + v[-3]) / 3 AS a, sqrt((v[-1] ** 2 + v[-2] ** 2 + v[-3] ** 2) / 3) AS sa, v[-1] AS b, sqrt(list_aggregate(v, 'var_pop')) + 0.01 AS sb FROM w)
+  SELECT asset_id, forecast_start_date, forecast_end_date, (a + b) / 2 AS mu, sqrt((sa * sa + sb * sb) / 2 + (a - b) * (a - b) / 4) AS sigma, CAST(2 AS BIGINT) AS n_members FROM m""", "mu", "sigma")
+def score_windows_ensemble(spark, d):
+    w = windows.make_windows(panel(spark, d, "event_hour"), Roles(("ret",), ("ret",)), 6)
+    return rounded(tuning.score_ensemble(w, ["ret"], {0: _last_three, 1: _last_one}))
+
+
+@query(f"SELECT asset_id, date, ret FROM ({N}) AS p WHERE asset_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND date IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderstatus = 'P')", "ret")
+def slice_dates_assets(spark, d):
+    dates = spark.read.parquet(f"{d}/orders.parquet").where("o_orderstatus = 'P'").select(F.to_date("o_orderdate").alias("date"))
+    assets = spark.read.parquet(f"{d}/nation.parquet").where("n_regionkey = 1").select(F.col("n_nationkey").alias("asset_id"))
+    return rounded(splits.slice_dates_assets(panel(spark, d, "nation_day").select("asset_id", "date", "ret"), dates, assets))
