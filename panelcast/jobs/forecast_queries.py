@@ -389,13 +389,14 @@ def portfolio_metrics(spark, d):
     return rounded(portfolio.portfolio_metrics(portfolio.portfolio_returns(w), w))
 
 
-@query(f"""WITH s AS (SELECT 'portfolio' AS series, date, portfolio_return AS v FROM ({RETURNS}) AS r UNION ALL SELECT CAST(asset_id AS VARCHAR), date, ret / 100 FROM ({N}) AS p WHERE asset_id IN (3, 5) AND ret IS NOT NULL),
+@query(f"""WITH s AS (SELECT 'portfolio' AS series, date, portfolio_return AS v FROM ({RETURNS}) AS r UNION ALL SELECT CAST(asset_id AS VARCHAR), date, ret / 100 FROM ({N}) AS p WHERE asset_id IN (SELECT DISTINCT asset_id FROM (SELECT * FROM ({N}) AS y WHERE ret IS NOT NULL) AS z ORDER BY 1 LIMIT 2) AND ret IS NOT NULL),
   k AS (SELECT * FROM s WHERE date IN (SELECT date FROM s GROUP BY 1 HAVING count(*) = 3)),
   c AS (SELECT series, date, product(1 + v) OVER (PARTITION BY series ORDER BY date) AS cumulative FROM k)
   SELECT series, date, cumulative, cumulative / max(cumulative) OVER (PARTITION BY series ORDER BY date) - 1 AS drawdown FROM c UNION ALL SELECT series, min(date) - 1, 1.0, NULL FROM k GROUP BY 1""", "cumulative", "drawdown")
 def equity_vs_benchmark(spark, d):
     p = panel(spark, d, "nation_day").withColumn("ret", F.col("ret") / 100)
-    both = portfolio.versus_benchmarks(portfolio.portfolio_returns(_equal(spark, d)), p, [3, 5])
+    first_two = [r[0] for r in p.where("ret IS NOT NULL").select("asset_id").distinct().orderBy("asset_id").limit(2).collect()]
+    both = portfolio.versus_benchmarks(portfolio.portfolio_returns(_equal(spark, d)), p, first_two)
     return rounded(signal.growth(both, "value", "date", by=["series"]))
 
 
