@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import mix, pieces, shingle_hashes, utf8, word_hashes
@@ -222,7 +222,7 @@ def _linked(groups: DataFrame) -> DataFrame:
     )
 
 
-def _block(blocks) -> F.Column:
+def _block(blocks) -> Column:
     return F.pmod(F.xxhash64("doc_id"), blocks)
 
 
