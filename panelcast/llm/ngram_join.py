@@ -190,14 +190,17 @@ def search(sets: list[np.ndarray], queries: list[int]) -> np.ndarray:
 
 
 def _linked(groups: DataFrame) -> DataFrame:
-    """(cluster, block, doc_id, is_query, text) to edges (u, v), each linked document with one of its component. A
-    task gets whole blocks, in order, and holds one at a time."""
+    """(cluster, block, doc_id, is_query, text) to edges (u, v): each document that isn't the smallest of its component
+    in the block, with that one. A task gets whole blocks, in order, and holds one at a time."""
 
     def block(rows: pd.DataFrame) -> list[tuple[int, int]]:
         rows = rows.drop_duplicates("doc_id")
         ids = rows["doc_id"].tolist()
         component = search(list(shingle_sets(pa.array(rows["text"], pa.large_string()))), np.flatnonzero(rows["is_query"]).tolist())
-        return [(ids[i], ids[r]) for i, r in enumerate(component.tolist()) if r != i]
+        least: dict[int, int] = {}
+        for i, r in zip(ids, component.tolist()):
+            least[r] = min(i, least.get(r, i))
+        return [(i, least[r]) for i, r in zip(ids, component.tolist()) if least[r] != i]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
@@ -226,8 +229,32 @@ def _block(blocks) -> Column:
     return F.pmod(F.xxhash64("doc_id"), blocks)
 
 
+def _large_links(members: DataFrame, stars: DataFrame, texts: DataFrame) -> DataFrame:
+    """members of large clusters (cluster, doc_id, blocks) to (node, component) of those that link."""
+    columns = ["cluster", "block", "doc_id", "is_query", "text"]
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    # The pivot is the one with the most shared signatures, by the candidate edges at both ends.
+    ends = stars.select(F.col("u").alias("doc_id"), "n").union(stars.select(F.col("v").alias("doc_id"), "n"))
+    counted = ends.join(members, "doc_id").groupBy("cluster", "doc_id", "blocks").agg(F.sum("n").alias("n"))
+    pivots = written(counted.groupBy("cluster", "blocks").agg(F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("doc_id")), "pivots")
+    once = members.select("cluster", _block(F.col("blocks")).alias("block"), "doc_id", F.lit(False).alias("is_query"))
+    everywhere = pivots.select("cluster", every("blocks").alias("block"), "doc_id", F.lit(True).alias("is_query"))
+    links = written(_linked(once.unionByName(everywhere).join(texts, "doc_id").select(*columns)), "pivot-links")
+    # The pivot was the only query, so every document of an edge is in its component.
+    with_pivot = links.select(F.col("u").alias("doc_id")).union(links.select("v")).union(pivots.select("doc_id")).distinct()
+    outside = written(members.join(with_pivot, "doc_id", "left_anti"), "outside")
+    if not outside.isEmpty():
+        # Blocks of queries against blocks of documents, so that a task holds two blocks at most.
+        per = outside.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("query_blocks"))
+        task = (F.col("i") * F.col("query_blocks") + F.col("j")).alias("block")
+        again = outside.join(per, "cluster").select("cluster", "doc_id", "query_blocks", _block(F.col("query_blocks")).alias("j"), every("blocks").alias("i")).select("cluster", task, "doc_id", F.lit(True).alias("is_query"))
+        there = members.join(per, "cluster").select("cluster", "doc_id", "query_blocks", _block(F.col("blocks")).alias("i"), every("query_blocks").alias("j")).select("cluster", task, "doc_id", F.lit(False).alias("is_query"))
+        links = links.unionByName(_linked(again.unionByName(there).join(texts, "doc_id").select(*columns)))
+    return components(links)
+
+
 def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The written set table with each row's class, and the edges between classes."""
+    """Each row of docs with its class, and (node, component) of the classes that link."""
     sets = written(set_table(docs), "sets")
     classes = sets.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     classes = written(classes, "classes")
@@ -235,43 +262,21 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = marks.groupBy("s").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("w")).where("v < w").select("s", "v")
     stars = written(marks.join(shared, "s").where("doc_id > v").groupBy(F.col("doc_id").alias("u"), "v").agg(F.count("*").alias("n")), "candidates")
     clusters = written(components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    large = written(sizes.where(F.col("size") > BLOCK).withColumn("blocks", F.ceil(F.col("size") / BLOCK)), "large-clusters")
+    large = written(clusters.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select("cluster", F.ceil(F.col("size") / BLOCK).alias("blocks")), "large-clusters")
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    members = clusters.join(large, "cluster", "left")
-    # The pivot is the one with the most shared signatures, by the candidate edges at both ends.
-    ends = stars.select(F.col("u").alias("doc_id"), "n").union(stars.select(F.col("v").alias("doc_id"), "n"))
-    pivots = (
-        ends.join(clusters, "doc_id").join(large, "cluster").groupBy("cluster", "doc_id", "blocks").agg(F.sum("n").alias("n"))
-        .groupBy("cluster", "blocks").agg(F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("doc_id"))
-    )
-    is_large = F.col("blocks").isNotNull()
-    home = F.when(is_large, _block(F.col("blocks"))).otherwise(F.lit(0))
-    once = members.select("cluster", home.alias("block"), "doc_id", (~is_large).alias("is_query"))
-    everywhere = pivots.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("long") - 1)).alias("block"), "doc_id", F.lit(True).alias("is_query"))
-    links = written(_linked(once.unionByName(everywhere).join(texts, "doc_id").select("cluster", "block", "doc_id", "is_query", "text")), "links")
+    small = clusters.join(large, "cluster", "left_anti").select("cluster", F.lit(0).alias("block"), "doc_id", F.lit(True).alias("is_query"))
+    # In a cluster of one block, the edges are the components.
+    links = written(_linked(small.join(texts, "doc_id").select("cluster", "block", "doc_id", "is_query", "text")), "links")
+    found = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     if not large.isEmpty():
-        joined = components(links)
-        of_pivot = pivots.select("cluster", "doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id").select("cluster", F.col("component").alias("pivot_component"))
-        state = members.where(is_large).join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(of_pivot, "cluster", "left")
-        outside = state.where(~F.coalesce(F.col("component") == F.col("pivot_component"), F.lit(False)))
-        # Blocks of queries against blocks of documents, so that a task holds two blocks at most.
-        outside = written(outside.select("cluster", "doc_id", "blocks"), "outside")
-        per = outside.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("query_blocks"))
-        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
-        task = (F.col("i") * F.col("query_blocks") + F.col("j")).alias("block")
-        again = outside.join(per, "cluster").select("cluster", "doc_id", "query_blocks", _block(F.col("query_blocks")).alias("j"), every("blocks").alias("i")).select("cluster", task, "doc_id", F.lit(True).alias("is_query"))
-        there = members.where(is_large).join(per, "cluster").select("cluster", "doc_id", "query_blocks", home.alias("i"), every("query_blocks").alias("j")).select("cluster", task, "doc_id", F.lit(False).alias("is_query"))
-        more = written(_linked(again.unionByName(there).join(texts, "doc_id").select("cluster", "block", "doc_id", "is_query", "text")), "more-links")
-        links = links.unionByName(more)
-    return sets.drop("signatures").join(classes, ["set_key", "n_shingles"], "left"), links
+        found = found.unionByName(_large_links(written(clusters.join(large, "cluster"), "large-members"), stars, texts))
+    return sets.drop("signatures").join(classes, ["set_key", "n_shingles"], "left"), found
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, class_id (the smallest doc_id of the same set)."""
     rows, links = classes_and_links(docs)
-    found = components(links).select(F.col("node").alias("class_id"), "component")
-    out = rows.join(found, "class_id", "left")
+    out = rows.join(links.withColumnRenamed("node", "class_id"), "class_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
