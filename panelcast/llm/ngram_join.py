@@ -260,7 +260,8 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = written(classes, "classes")
     marks = sets.join(classes.select(F.col("class_id").alias("doc_id"), "set_key", "n_shingles"), ["doc_id", "set_key", "n_shingles"], "left_semi").select("doc_id", F.explode("signatures").alias("s"))
     shared = marks.groupBy("s").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("w")).where("v < w").select("s", "v")
-    stars = written(marks.join(shared, "s").where("doc_id > v").groupBy(F.col("doc_id").alias("u"), "v").agg(F.count("*").alias("n")), "candidates")
+    # Both sides by sort-merge at every size: whether a small run would broadcast depended on which stage ended first.
+    stars = written(marks.hint("merge").join(shared, "s").where("doc_id > v").groupBy(F.col("doc_id").alias("u"), "v").agg(F.count("*").alias("n")), "candidates")
     clusters = written(components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
     large = written(clusters.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select("cluster", F.ceil(F.col("size") / BLOCK).alias("blocks")), "large-clusters")
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
