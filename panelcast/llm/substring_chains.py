@@ -10,8 +10,9 @@
 4. A home may be a document that shares only part of a passage. Seeds of accepted chains and homes that joined nothing
    are set aside, and the rest get new homes, for ROUNDS rounds.
 5. Each chain is aligned: from seed to seed by the edit distance of the words in the gaps, beyond its ends by equal
-   words. Passages of LEAST_WORDS words or more with similarity of 0.8 or more are reported, once for each
-   document, home and place.
+   words. A chain that falls short of the similarity is split: its longest part that has it counts, then the longest
+   ones of what is left on either side. Passages of LEAST_WORDS words or more with similarity of 0.8 or more are
+   reported, once for each document, home and place.
 
 Words are runs of non-white space (ASCII), A-Z lowered, of the whole text. Null or empty texts and rows without
 doc_id have no passages. Rows that repeat a doc_id are one document's: one of the texts counts (the smallest). Passages that repeat
@@ -216,15 +217,53 @@ def edits(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[len(b) - len(a) + band])
 
 
-def chain_edits(one: bytes, two: bytes, places, homes) -> int:
-    """Edits between two stretches of 32-bit words along their matched seeds (places from the stretches' starts): each
-    gap is aligned by itself, and most are equal."""
-    total = 0
+def gap_edits(one: bytes, two: bytes, places, homes) -> list[int]:
+    """Edits between two stretches of 32-bit words, from each matched seed to the next (places from the stretches'
+    starts): each gap is aligned by itself, and most are equal. A gap that no part can bridge isn't aligned."""
+    out = []
+    most = max(places[-1] - places[0], homes[-1] - homes[0]) + K
     for p, q, h, g in zip(places[:-1], places[1:], homes[:-1], homes[1:]):
         a, b = one[4 * p : 4 * q], two[4 * h : 4 * g]
-        if a != b:
-            total += edits(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32))
-    return total
+        if a == b:
+            out.append(0)
+        elif 5 * abs(q - p - g + h) > most:
+            out.append(max(q - p, g - h))
+        else:
+            out.append(edits(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)))
+    return out
+
+
+def parts(places: list[int], homes: list[int], wrong: list[int]) -> list[tuple[int, int]]:
+    """Of a chain's seeds, with the edits from each to the next: (first, last) of the longest part with at most an edit
+    for five words, then those of the rest on its left and right."""
+    # Words less five times the edits, up to each seed: a part has the similarity if this is no smaller at its end.
+    worth = [0]
+    for k, e in enumerate(wrong):
+        worth.append(worth[-1] + max(places[k + 1] - places[k], homes[k + 1] - homes[k]) - 5 * e)
+    out, todo = [], [(0, len(places) - 1)]
+    while todo:
+        low, high = todo.pop()
+        if low > high:
+            continue
+        if worth[high] - worth[low] + K >= 0:
+            out.append((low, high))
+            continue
+        # A start is of use only if no seed before it has as small a worth; ends are tried from the right.
+        starts = [low]
+        for k in range(low + 1, high + 1):
+            if worth[k] < worth[starts[-1]]:
+                starts.append(k)
+        best = (0, low, low)
+        for a in range(high, low - 1, -1):
+            while starts and starts[-1] > a:
+                starts.pop()
+            while starts and worth[a] - worth[starts[-1]] + K >= 0:
+                best = max(best, (places[a] - places[starts[-1]] + homes[a] - homes[starts[-1]], starts[-1], a))
+                starts.pop()
+        _, first, last = best
+        out.append((first, last))
+        todo += [(low, first - 1), (last + 1, high)]
+    return sorted(out)
 
 
 #: Words beyond a chain's ends that are looked at: a run without a seed is shorter.
@@ -257,6 +296,32 @@ def passages(docs: DataFrame) -> DataFrame:
     return _aligned(rows, found.drop("nths"))
 
 
+def _chain_parts(r) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """The parts of a chain, lengthened by equal words: start, stop, home_start, home_stop, n_seeds, edits."""
+    number = lambda x: np.frombuffer(x, np.uint32)
+    before, after = (number(r.one_left), number(r.two_left)), (number(r.one_right), number(r.two_right))
+    if r.steady:
+        cuts = [(before, after, r.start, r.stop, r.home_start, r.home_stop, r.n_seeds, 0)]
+    else:
+        places, homes = r.places.tolist(), r.homes.tolist()
+        wrong = gap_edits(r.one_inner, r.two_inner, places, homes)
+        one = np.concatenate([before[0], number(r.one_inner), after[0]])
+        two = np.concatenate([before[1], number(r.two_inner), after[1]])
+        n, m = len(before[0]), len(before[1])
+        cuts = []
+        for i, j in parts(places, homes, wrong):
+            p, q, h, g = places[i], places[j] + K, homes[i], homes[j] + K
+            left = one[max(0, n + p - MARGIN) : n + p], two[max(0, m + h - MARGIN) : m + h]
+            right = one[n + q : n + q + MARGIN], two[m + g : m + g + MARGIN]
+            cuts.append((left, right, r.start + p, r.start + q, r.home_start + h, r.home_start + g, j - i + 1, sum(wrong[i:j])))
+    for left, right, start, stop, home_start, home_stop, n_seeds, edits_ in cuts:
+        n = min(map(len, left))
+        a = int(np.argmin(np.append(left[0][::-1][:n] == left[1][::-1][:n], False)))
+        n = min(map(len, right))
+        b = int(np.argmin(np.append(right[0][:n] == right[1][:n], False)))
+        yield start - a, stop + b, home_start - a, home_stop + b, n_seeds, edits_
+
+
 def _aligned(rows: DataFrame, found: DataFrame) -> DataFrame:
     # Of a steady chain only the margins at its ends are needed.
     found = written(found.withColumn("chain", F.monotonically_increasing_id()), "numbered-chains")
@@ -288,22 +353,13 @@ def _aligned(rows: DataFrame, found: DataFrame) -> DataFrame:
     names = ["doc_id", "start", "stop", "home_id", "home_start", "home_stop", "n_seeds", "edits", "similarity"]
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = lambda x: np.frombuffer(x, np.uint32)
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                left, right = number(r.one_left), number(r.one_right)
-                home_left, home_right = number(r.two_left), number(r.two_right)
-                wrong = 0 if r.steady else chain_edits(r.one_inner, r.two_inner, r.places, r.homes)
-                n = min(len(left), len(home_left))
-                a = int(np.argmin(np.append(left[::-1][:n] == home_left[::-1][:n], False)))
-                n = min(len(right), len(home_right))
-                b = int(np.argmin(np.append(right[:n] == home_right[:n], False)))
-                start, stop, home_start, home_stop = r.start - a, r.stop + b, r.home_start - a, r.home_stop + b
-                longer = max(stop - start, home_stop - home_start)
-                similarity = 1 - wrong / longer
-                if min(stop - start, home_stop - home_start) >= LEAST_WORDS and similarity >= SIMILARITY:
-                    out.append((r.doc, start, stop, r.home, home_start, home_stop, r.n_seeds, wrong, round(similarity, 6)))
+                for start, stop, home_start, home_stop, n_seeds, wrong in _chain_parts(r):
+                    similarity = 1 - wrong / max(stop - start, home_stop - home_start)
+                    if min(stop - start, home_stop - home_start) >= LEAST_WORDS and similarity >= SIMILARITY:
+                        out.append((r.doc, start, stop, r.home, home_start, home_stop, n_seeds, wrong, round(similarity, 6)))
             yield pd.DataFrame(out, columns=names)
 
     return both.mapInPandas(align, "doc_id long, start int, stop int, home_id long, home_start int, home_stop int, n_seeds int, edits int, similarity double").distinct()

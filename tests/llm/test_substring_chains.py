@@ -70,6 +70,44 @@ def test_passages(spark):
     assert spans[2, 1][0] == 20 and spans[2, 1][1] >= 75 and spans[7, 5] == (0, 300) and spans[6, 5] == (0, len(near))
 
 
+def test_parts_against_brute_force():
+    random.seed(4)
+
+    def brute(low, high, places, homes, wrong):
+        if low > high:
+            return []
+        words = lambda i, j: sum(max(places[k + 1] - places[k], homes[k + 1] - homes[k]) for k in range(i, j)) + sc.K
+        good = [(places[j] - places[i] + homes[j] - homes[i], i, j) for i in range(low, high + 1) for j in range(i, high + 1) if words(i, j) >= 5 * sum(wrong[i:j])]
+        _, i, j = max(good)
+        return [*brute(low, i - 1, places, homes, wrong), (i, j), *brute(j + 1, high, places, homes, wrong)]
+
+    for _ in range(300):
+        n = random.randrange(1, 12)
+        places, homes, wrong = [0], [0], []
+        for _ in range(n - 1):
+            a, b = random.randrange(1, 40), random.randrange(1, 40)
+            places.append(places[-1] + a), homes.append(homes[-1] + b), wrong.append(random.choice([0, abs(a - b), max(a, b)]))
+        got = sc.parts(places, homes, wrong)
+        # Of equally long parts either may be taken: lengths are compared where all sums differ.
+        want = brute(0, n - 1, places, homes, wrong)
+        assert max(places[j] - places[i] + homes[j] - homes[i] for i, j in got) == max(places[j] - places[i] + homes[j] - homes[i] for i, j in want)
+        assert sorted(k for i, j in got for k in range(i, j + 1)) == list(range(n))
+
+
+def test_two_passages_with_unlike_text_between(spark):
+    random.seed(5)
+    prose = lambda n: [f"w{random.randrange(50000)}" for _ in range(n)]
+    data, spans = [], {}
+    for k, (length, gap) in enumerate([(60, 40), (60, 100), (60, 300), (200, 300), (1000, 700)]):
+        first, second = prose(length), prose(length)
+        data += [(2 * k, " ".join(first + prose(gap) + second), "", ""), (2 * k + 1, " ".join(prose(5) + first + prose(gap) + second + prose(5)), "", "")]
+        spans[2 * k + 1, 2 * k] = {(5, 5 + length), (5 + length + gap, 5 + 2 * length + gap)}
+    got = {}
+    for r in sc.passages(spark.createDataFrame(data, SCHEMA)).collect():
+        got.setdefault((r["doc_id"], r["home_id"]), set()).add((r["start"], r["stop"]))
+    assert got == spans
+
+
 def test_empty(spark):
     assert sc.passages(spark.createDataFrame([], SCHEMA)).collect() == []
     assert sc.passages(spark.createDataFrame([(1, "a " * 500, "", ""), (2, "b", "", "")], SCHEMA)).collect() == []
