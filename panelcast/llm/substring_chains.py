@@ -1,7 +1,7 @@
 """Fuzzy repeated passages by collinear chaining.
 
 1. Seeds: of each WINDOW neighbouring shingles of K words, the one with the smallest hash. Two texts that share a run
-   of WINDOW + K - 1 words share a seed there. About one seed for each eight words.
+   of WINDOW + K - 1 words share a seed there. About one seed for each two and a half words.
 2. Seeds that occur once go, by counts. Each other occurrence is joined with the seed's home, its first occurrence
    (smallest doc_id, then place): a star, so a passage in very many documents makes no pairs among them.
 3. The matches of a document and a home document are chained: from the left, a Fenwick tree over the home's places
@@ -9,9 +9,10 @@
    off from the best one down.
 4. A home may be a document that shares only part of a passage. Seeds of accepted chains and homes that joined nothing
    are set aside, and the rest get new homes, for ROUNDS rounds.
-5. Each chain is aligned: from seed to seed by the edit distance of the words in the gaps, beyond its ends by equal
-   words. A chain that falls short of the similarity is split: its longest part that has it counts, then the longest
-   ones of what is left on either side. Passages of LEAST_WORDS words or more with similarity of 0.8 or more are
+5. Each chain, of one seed or more, is aligned: from seed to seed by the edit distance of the words in the gaps. A chain
+   that falls short of the similarity is split: its longest part that has it counts, then the longest ones of what is
+   left on either side. Beyond the ends of a part, up to MARGIN words are aligned: it ends where words less five times
+   the edits are most, or, if it is too short so, at the furthest equal words that leave it the similarity. Passages of LEAST_WORDS words or more with similarity of 0.8 or more are
    reported, once for each document, home and place.
 
 Words are runs of non-white space (ASCII), A-Z lowered, of the whole text. Null or empty texts and rows without
@@ -33,11 +34,11 @@ from pyspark.sql import functions as F
 from .bytehash import pieces, shingle_hashes, utf8, word_hashes
 from .common import written
 
-K, WINDOW = 5, 16
+K, WINDOW = 5, 4
 #: What a seed adds to a chain, and the cost of a word of gap (on either side).
 GAIN, GAP = 8.0, 0.05
-#: A chain needs so many seeds, and a passage so many words and such a similarity.
-LEAST_SEEDS, LEAST_WORDS, SIMILARITY = 2, 30, 0.8
+#: A passage needs so many words and such a similarity.
+LEAST_WORDS, SIMILARITY = 30, 0.8
 ROUNDS = 2
 #: Half the band in which long gaps are aligned, beside the difference of their lengths.
 BAND = 16
@@ -107,7 +108,7 @@ class Fenwick:
 
 
 def chains(places: list[int], homes: list[int]) -> list[list[int]]:
-    """Matches (place, home place), sorted by place: chains of at least LEAST_SEEDS, best first; no match in two."""
+    """Matches (place, home place), sorted by place: chains, best first; no match in two."""
     n = len(places)
     ranks = sorted(set(homes))
     tree = Fenwick(len(ranks))
@@ -131,7 +132,7 @@ def chains(places: list[int], homes: list[int]) -> list[list[int]]:
             used[at] = True
             chain.append(at)
             at = back[at]
-        if len(chain) >= LEAST_SEEDS:
+        if chain:
             out.append(chain[::-1])
     return out
 
@@ -140,39 +141,35 @@ def _chained(matches: DataFrame) -> DataFrame:
     """(doc, home, place, home_place, nth, home_nth) to chains, and to the seeds in them as arrays."""
     schema = "doc long, home long, start int, stop int, home_start int, home_stop int, n_seeds int, steady boolean, nths array<int>, places array<int>, homes array<int>"
 
-    def pair(rows: pd.DataFrame) -> list[tuple]:
-        places, homes = rows["place"].tolist(), rows["home_place"].tolist()
-        if len(places) < LEAST_SEEDS:
-            return []
-        nth, home_nth = rows["nth"].tolist(), rows["home_nth"].tolist()
-        out = []
-        for c in chains(places, homes):
+    def pair(doc: int, home: int, columns: list[list[int]]) -> Iterator[tuple]:
+        places, homes, nth, home_nth = columns
+        for c in chains(places, homes) if len(places) > 1 else [[0]]:
             a, b = c[0], c[-1]
             # Every seed of both stretches is in the chain, and at one distance: the words agree between them.
             steady = nth[b] - nth[a] == home_nth[b] - home_nth[a] == len(c) - 1 and all(homes[m] - places[m] == homes[a] - places[a] for m in c)
-            out.append((rows["doc"].iat[0], rows["home"].iat[0], places[a], places[b] + K, homes[a], homes[b] + K, len(c), steady, [nth[m] for m in c], [] if steady else [places[m] - places[a] for m in c], [] if steady else [homes[m] - homes[a] for m in c]))
-        return out
+            yield doc, home, places[a], places[b] + K, homes[a], homes[b] + K, len(c), steady, [nth[m] for m in c], [] if steady else [places[m] - places[a] for m in c], [] if steady else [homes[m] - homes[a] for m in c]
 
-    columns = ["doc", "home", "start", "stop", "home_start", "home_stop", "n_seeds", "steady", "nths", "places", "homes"]
+    names = ["doc", "home", "start", "stop", "home_start", "home_stop", "n_seeds", "steady", "nths", "places", "homes"]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[pd.DataFrame] = []
+        key, rest = None, [[], [], [], []]
         for batch in batches:
             doc, home = batch["doc"].to_numpy(), batch["home"].to_numpy()
+            columns = [batch[c].tolist() for c in ("place", "home_place", "nth", "home_nth")]
             cuts = [0, *(np.flatnonzero((doc[1:] != doc[:-1]) | (home[1:] != home[:-1])) + 1).tolist(), len(batch)]
             out: list[tuple] = []
             for a, b in zip(cuts[:-1], cuts[1:]):
-                if rest and (rest[0]["doc"].iat[0] != doc[a] or rest[0]["home"].iat[0] != home[a]):
-                    out += pair(pd.concat(rest))
-                    rest = []
-                if a > 0 and b < len(batch) and not rest:
-                    if b - a >= LEAST_SEEDS:
-                        out += pair(batch.iloc[a:b])
-                else:
-                    rest.append(batch.iloc[a:b])
-            yield pd.DataFrame(out, columns=columns)
-        if rest:
-            yield pd.DataFrame(pair(pd.concat(rest)), columns=columns)
+                if a == b:
+                    continue
+                if key != (doc[a], home[a]):
+                    if key is not None:
+                        out += pair(*key, rest)
+                    key, rest = (int(doc[a]), int(home[a])), [[], [], [], []]
+                for c, d in zip(rest, columns):
+                    c += d[a:b]
+            yield pd.DataFrame(out, columns=names)
+        if key is not None:
+            yield pd.DataFrame(list(pair(*key, rest)), columns=names)
 
     return matches.repartition("doc", "home").sortWithinPartitions("doc", "home", "place", "home_place").mapInPandas(work, schema)
 
@@ -266,8 +263,8 @@ def parts(places: list[int], homes: list[int], wrong: list[int]) -> list[tuple[i
     return sorted(out)
 
 
-#: Words beyond a chain's ends that are looked at: a run without a seed is shorter.
-MARGIN = WINDOW + K
+#: Words beyond a chain's ends that are aligned, in a band of SLACK on either side of the diagonal.
+MARGIN, SLACK = 64, 8
 #: Stretches of one document that a row asks for, about.
 REQUESTS = 1_000
 
@@ -296,30 +293,75 @@ def passages(docs: DataFrame) -> DataFrame:
     return _aligned(rows, found.drop("nths"))
 
 
-def _chain_parts(r) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """The parts of a chain, lengthened by equal words: start, stop, home_start, home_stop, n_seeds, edits."""
+def lengthened(one: list[np.ndarray], two: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of word sequences, and each number of words of the first: the most that words less five times the
+    edits can be at a pair of equal words there (very small if there is none), the words of the second, the edits."""
+    n, most = len(one), max([0, *map(len, one)])
+    a, b = np.full((n, most), 1 << 33, np.int64), np.full((n, most + 2 * SLACK), 1 << 34, np.int64)
+    for k, (x, y) in enumerate(zip(one, two)):
+        a[k, : len(x)] = x
+        y = y[: most + SLACK]
+        b[k, SLACK : SLACK + len(y)] = y
+    offsets = np.arange(2 * SLACK + 1, dtype=np.int32)
+    row = np.tile(np.where(offsets >= SLACK, offsets - SLACK, 1 << 20).astype(np.int32), (n, 1))
+    worth, words, wrong = np.zeros((n, most + 1), np.int32), np.zeros((n, most + 1), np.int32), np.zeros((n, most + 1), np.int32)
+    each, far = np.arange(n), np.full((n, 1), 1 << 20, np.int32)
+    for i in range(1, most + 1):
+        # Column k of the row is place j = i - SLACK + k of the second; the fillings are equal to nothing.
+        j = i - SLACK + offsets
+        same = b[:, i - 1 : i - 1 + len(offsets)] == a[:, i - 1 : i]
+        here = np.minimum(row + ~same, np.concatenate([row[:, 1:], far], axis=1) + 1)
+        row = np.minimum.accumulate(here - offsets, axis=1) + offsets
+        value = np.where(same, np.maximum(i, j) - 5 * row, -(1 << 24))
+        best = value.argmax(axis=1)
+        worth[:, i], words[:, i], wrong[:, i] = value[each, best], j[best], row[each, best]
+    return worth, words, wrong
+
+
+def _chain_parts(r) -> list[tuple]:
+    """The parts of a chain: the words before and after (nearest first) of both texts, start, stop, home_start,
+    home_stop, n_seeds, edits."""
     number = lambda x: np.frombuffer(x, np.uint32)
     before, after = (number(r.one_left), number(r.two_left)), (number(r.one_right), number(r.two_right))
     if r.steady:
-        cuts = [(before, after, r.start, r.stop, r.home_start, r.home_stop, r.n_seeds, 0)]
-    else:
-        places, homes = r.places.tolist(), r.homes.tolist()
-        wrong = gap_edits(r.one_inner, r.two_inner, places, homes)
-        one = np.concatenate([before[0], number(r.one_inner), after[0]])
-        two = np.concatenate([before[1], number(r.two_inner), after[1]])
-        n, m = len(before[0]), len(before[1])
-        cuts = []
-        for i, j in parts(places, homes, wrong):
-            p, q, h, g = places[i], places[j] + K, homes[i], homes[j] + K
-            left = one[max(0, n + p - MARGIN) : n + p], two[max(0, m + h - MARGIN) : m + h]
-            right = one[n + q : n + q + MARGIN], two[m + g : m + g + MARGIN]
-            cuts.append((left, right, r.start + p, r.start + q, r.home_start + h, r.home_start + g, j - i + 1, sum(wrong[i:j])))
-    for left, right, start, stop, home_start, home_stop, n_seeds, edits_ in cuts:
-        n = min(map(len, left))
-        a = int(np.argmin(np.append(left[0][::-1][:n] == left[1][::-1][:n], False)))
-        n = min(map(len, right))
-        b = int(np.argmin(np.append(right[0][:n] == right[1][:n], False)))
-        yield start - a, stop + b, home_start - a, home_stop + b, n_seeds, edits_
+        return [(before[0][::-1], before[1][::-1], *after, r.start, r.stop, r.home_start, r.home_stop, r.n_seeds, 0)]
+    places, homes = r.places.tolist(), r.homes.tolist()
+    wrong = gap_edits(r.one_inner, r.two_inner, places, homes)
+    one = np.concatenate([before[0], number(r.one_inner), after[0]])
+    two = np.concatenate([before[1], number(r.two_inner), after[1]])
+    n, m = len(before[0]), len(before[1])
+    out = []
+    for i, j in parts(places, homes, wrong):
+        p, q, h, g = places[i], places[j] + K, homes[i], homes[j] + K
+        left = one[max(0, n + p - MARGIN) : n + p][::-1], two[max(0, m + h - MARGIN) : m + h][::-1]
+        right = one[n + q : n + q + MARGIN], two[m + g : m + g + MARGIN]
+        out.append((*left, *right, r.start + p, r.start + q, r.home_start + h, r.home_start + g, j - i + 1, sum(wrong[i:j])))
+    return out
+
+
+def _spans(cuts: list[tuple]) -> list[tuple | None]:
+    """(start, stop, home_start, home_stop, n_seeds, edits, similarity) of each part that is a passage, with its ends."""
+    out: list[tuple | None] = []
+    for low in range(0, len(cuts), 1000):
+        some = cuts[low : low + 1000]
+        left, right = lengthened([c[0] for c in some], [c[1] for c in some]), lengthened([c[2] for c in some], [c[3] for c in some])
+        best = left[0].argmax(axis=1), right[0].argmax(axis=1)
+        far = np.add.outer(np.arange(left[0].shape[1]), np.arange(right[0].shape[1]))
+        for k, (*_, start, stop, home_start, home_stop, n_seeds, wrong) in enumerate(some):
+
+            def span(a, b):
+                s, t, h, g = start - a, stop + b, home_start - int(left[1][k, a]), home_stop + int(right[1][k, b])
+                e = wrong + int(left[2][k, a]) + int(right[2][k, b])
+                similarity = 1 - e / max(t - s, g - h)
+                return (s, t, h, g, n_seeds, e, round(similarity, 6)) if min(t - s, g - h) >= LEAST_WORDS and similarity >= SIMILARITY else None
+
+            found = span(int(best[0][k]), int(best[1][k]))
+            if found is None:
+                total = np.add.outer(left[0][k], right[0][k]) + max(stop - start, home_stop - home_start) - 5 * wrong
+                a, b = divmod(int(np.where(total >= 0, far, -1).argmax()), far.shape[1])
+                found = span(a, b) if stop - start + a + b >= LEAST_WORDS else None
+            out.append(found)
+    return out
 
 
 def _aligned(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -354,12 +396,23 @@ def _aligned(rows: DataFrame, found: DataFrame) -> DataFrame:
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            cuts, owners = [], []
             for r in batch.itertuples(index=False):
-                for start, stop, home_start, home_stop, n_seeds, wrong in _chain_parts(r):
-                    similarity = 1 - wrong / max(stop - start, home_stop - home_start)
-                    if min(stop - start, home_stop - home_start) >= LEAST_WORDS and similarity >= SIMILARITY:
-                        out.append((r.doc, start, stop, r.home, home_start, home_stop, n_seeds, wrong, round(similarity, 6)))
+                mine = _chain_parts(r)
+                cuts += mine
+                owners += [(r.doc, r.home)] * len(mine)
+            seen: dict[tuple, set[tuple]] = {}
+            for owner, span in zip(owners, _spans(cuts)):
+                if span is not None:
+                    seen.setdefault(owner, set()).add(span)
+            out = []
+            for (doc, home), spans in seen.items():
+                # From the longest down: one that lies within another isn't a passage of its own.
+                kept: list[tuple] = []
+                for v in sorted(spans, key=lambda v: (v[0] - v[1], v)):
+                    if not any(w[0] <= v[0] and v[1] <= w[1] and w[2] <= v[2] and v[3] <= w[3] for w in kept):
+                        kept.append(v)
+                out += [(doc, s, t, home, h, g, n, e, x) for s, t, h, g, n, e, x in kept]
             yield pd.DataFrame(out, columns=names)
 
     return both.mapInPandas(align, "doc_id long, start int, stop int, home_id long, home_start int, home_stop int, n_seeds int, edits int, similarity double").distinct()

@@ -108,6 +108,41 @@ def test_two_passages_with_unlike_text_between(spark):
     assert got == spans
 
 
+def test_lengthened_against_quadratic():
+    random.seed(6)
+    for _ in range(100):
+        one = [random.randrange(6) for _ in range(random.randrange(9))]
+        two = [random.randrange(6) for _ in range(random.randrange(9))]
+        worth, words, wrong = (x[0] for x in sc.lengthened([np.array(one, np.uint32)], [np.array(two, np.uint32)]))
+        for i in range(1, len(one) + 1):
+            values = [max(i, j) - 5 * distance(one[:i], two[:j]) for j in range(1, len(two) + 1) if one[i - 1] == two[j - 1]]
+            assert worth[i] == max(values) and distance(one[:i], two[: words[i]]) == wrong[i] if values else worth[i] < -1000
+
+
+def test_recall_of_substituted_passages(spark):
+    """Pairs that differ by random substitutions of words; a passage is found if most of its words are reported."""
+    random.seed(7)
+    prose = lambda n: [f"w{random.randrange(50000)}" for _ in range(n)]
+    data, planted = [], {}
+    for length, similarity in [(36, 0.95), (36, 0.9), (50, 0.9), (50, 0.85), (50, 0.82), (60, 0.85), (60, 0.82), (100, 0.82)]:
+        for _ in range(40):
+            passage = prose(length)
+            other = list(passage)
+            for at in random.sample(range(1, length - 1), int(length * (1 - similarity) + 1e-9)):
+                other[at] = "changed" + str(random.randrange(50000))
+            k = len(data)
+            data += [(k, " ".join(prose(50) + passage + prose(50)), "", ""), (k + 1, " ".join(prose(70) + other + prose(9)), "", "")]
+            planted[k + 1, k] = (length, similarity)
+    got = {}
+    for r in sc.passages(spark.createDataFrame(data, SCHEMA)).collect():
+        length, _ = planted[r["doc_id"], r["home_id"]]
+        if min(r["stop"], 70 + length) - max(r["start"], 70) >= length / 2:
+            got[r["doc_id"], r["home_id"]] = planted[r["doc_id"], r["home_id"]]
+    recall = {c: list(got.values()).count(c) / 40 for c in planted.values()}
+    print(recall)
+    assert min(recall.values()) >= 0.9
+
+
 def test_empty(spark):
     assert sc.passages(spark.createDataFrame([], SCHEMA)).collect() == []
     assert sc.passages(spark.createDataFrame([(1, "a " * 500, "", ""), (2, "b", "", "")], SCHEMA)).collect() == []
