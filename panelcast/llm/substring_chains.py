@@ -2,13 +2,17 @@
 
 1. Seeds: of each WINDOW neighbouring shingles of K words, the one with the smallest hash. Two texts that share a run
    of WINDOW + K - 1 words share a seed there. About one seed for each two and a half words.
-2. Seeds that occur once go, by counts. Each other occurrence is joined with the seed's home, its first occurrence
+2. Seeds of one document only go. Each other occurrence is joined with the seed's home, its first occurrence
    (smallest doc_id, then place): a star, so a passage in very many documents makes no pairs among them.
 3. The matches of a document and a home document are chained: from the left, a Fenwick tree over the home's places
    gives the best chain that ends before a match in both texts, at a cost for the gap between them. Chains are read
    off from the best one down.
-4. A home may be a document that shares only part of a passage. Seeds of accepted chains and homes that joined nothing
-   are set aside, and the rest get new homes, for ROUNDS rounds.
+4. A home may be a document that shares only part of a passage. Seeds in reported passages are set aside, those of
+   rejected chains aren't: the others are matched again by combinations of two neighbouring seeds, first with each
+   combination's first document, then with its next GROWTH, GROWTH squared and so on, until no open combination is
+   shared with a document that it wasn't matched with. Of those next homes, the ones go whose words around the place
+   can't make a passage with the document's, by a bound on the words they have in common. A combination may be set aside in its home; only the document
+   that is matched with it must have it open.
 5. Each chain, of one seed or more, is aligned: from seed to seed by the edit distance of the words in the gaps. A chain
    that falls short of the similarity is split: its longest part that has it counts, then the longest ones of what is
    left on either side. Beyond the ends of a part, up to MARGIN words are aligned: it ends where words less five times
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytehash import pieces, shingle_hashes, utf8, word_hashes
@@ -39,7 +43,8 @@ K, WINDOW = 5, 4
 GAIN, GAP = 8.0, 0.05
 #: A passage needs so many words and such a similarity.
 LEAST_WORDS, SIMILARITY = 30, 0.8
-ROUNDS = 2
+#: Each round over combinations takes so many times as many homes of a combination as the one before.
+GROWTH = 8
 #: Half the band in which long gaps are aligned, beside the difference of their lengths.
 BAND = 16
 BATCH_BYTES = 4_000_000
@@ -57,6 +62,16 @@ def minimizers(hashes: np.ndarray) -> np.ndarray:
     return places[np.concatenate([[True], places[1:] != places[:-1]])]
 
 
+def thinned(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where one shingle follows itself (a word over and over), each WINDOWth place, and what tells these apart, so that
+    such a run matches another along one diagonal."""
+    follows = np.append(False, (hashes[at[1:]] == hashes[at[:-1]]) & (at[1:] == at[:-1] + 1))[: len(at)]
+    every = np.arange(len(at))
+    of_run = every - np.maximum.accumulate(np.where(follows, 0, every)) if len(at) else every
+    keep = of_run % WINDOW == 0
+    return at[keep], of_run[keep].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def words_of_rows(column: pa.Array) -> Iterator[np.ndarray]:
     """The word hashes of each text."""
     data, starts = utf8(column)
@@ -75,7 +90,8 @@ def seeds(docs: DataFrame) -> DataFrame:
             for words in words_of_rows(batch.column(1)):
                 grams = shingle_hashes(words, K) if len(words) >= K else np.zeros(0, np.uint64)
                 at = minimizers(grams)
-                hashes.append(grams[at].view(np.int64))
+                at, nth_of_run = thinned(grams, at)
+                hashes.append((grams[at] + nth_of_run).view(np.int64))
                 places.append(at.astype(np.int32))
                 counts.append(len(at))
             docs_of = batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
@@ -139,7 +155,7 @@ def chains(places: list[int], homes: list[int]) -> list[list[int]]:
 
 def _chained(matches: DataFrame) -> DataFrame:
     """(doc, home, place, home_place, nth, home_nth) to chains, and to the seeds in them as arrays."""
-    schema = "doc long, home long, start int, stop int, home_start int, home_stop int, n_seeds int, steady boolean, nths array<int>, places array<int>, homes array<int>"
+    schema = "doc long, home long, start int, stop int, home_start int, home_stop int, n_seeds int, steady boolean, places array<int>, homes array<int>"
 
     def pair(doc: int, home: int, columns: list[list[int]]) -> Iterator[tuple]:
         places, homes, nth, home_nth = columns
@@ -147,9 +163,9 @@ def _chained(matches: DataFrame) -> DataFrame:
             a, b = c[0], c[-1]
             # Every seed of both stretches is in the chain, and at one distance: the words agree between them.
             steady = nth[b] - nth[a] == home_nth[b] - home_nth[a] == len(c) - 1 and all(homes[m] - places[m] == homes[a] - places[a] for m in c)
-            yield doc, home, places[a], places[b] + K, homes[a], homes[b] + K, len(c), steady, [nth[m] for m in c], [] if steady else [places[m] - places[a] for m in c], [] if steady else [homes[m] - homes[a] for m in c]
+            yield doc, home, places[a], places[b] + K, homes[a], homes[b] + K, len(c), steady, [] if steady else [places[m] - places[a] for m in c], [] if steady else [homes[m] - homes[a] for m in c]
 
-    names = ["doc", "home", "start", "stop", "home_start", "home_stop", "n_seeds", "steady", "nths", "places", "homes"]
+    names = ["doc", "home", "start", "stop", "home_start", "home_stop", "n_seeds", "steady", "places", "homes"]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, rest = None, [[], [], [], []]
@@ -264,7 +280,7 @@ def parts(places: list[int], homes: list[int], wrong: list[int]) -> list[tuple[i
 
 
 #: Words beyond a chain's ends that are aligned, in a band of SLACK on either side of the diagonal.
-MARGIN, SLACK = 64, 8
+MARGIN, SLACK = 32, 8
 #: Stretches of one document that a row asks for, about.
 REQUESTS = 1_000
 
@@ -274,23 +290,91 @@ def passages(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc IS NOT NULL")
     if not rows.groupBy("doc").count().where("count > 1").limit(1).isEmpty():
         rows = rows.groupBy("doc").agg(F.min("text").alias("text"))
-    every = written(seeds(rows), "seeds")
-    counts = written(every.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "shared-seeds")
-    open_seeds = written(every.join(counts, "seed"), "seed-matches")
-    found = None
-    for _ in range(ROUNDS):
-        homes = written(open_seeds.groupBy("seed").agg(F.min(F.struct("doc", "place", "nth")).alias("h")), "homes")
-        matches = open_seeds.join(homes, "seed").where("doc <> h.doc").select("doc", F.col("h.doc").alias("home"), "place", F.col("h.place").alias("home_place"), "nth", F.col("h.nth").alias("home_nth"))
-        now = written(_chained(matches), "chains")
-        if now.isEmpty():
-            break
-        found = now if found is None else found.unionByName(now)
-        done = now.select("doc", F.explode("nths").alias("nth"))
-        at_home = homes.select("h.doc", "h.nth")
-        open_seeds = written(open_seeds.join(done.unionByName(at_home).distinct(), ["doc", "nth"], "left_anti"), "open-seeds")
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, start int, stop int, home_id long, home_start int, home_stop int, n_seeds int, edits int, similarity double")
-    return _aligned(rows, found.drop("nths"))
+    # By windows, so that the many seeds that occur once are shuffled once and never written.
+    by_seed = Window.partitionBy("seed")
+    shared = seeds(rows).withColumn("h", F.min(F.struct("doc", "place", "nth")).over(by_seed)).withColumn("last", F.max("doc").over(by_seed)).where("h.doc < last").drop("last")
+    shared = written(shared, "seed-matches")
+    found = _matched(rows, shared)
+    pairs = _combinations(shared)
+    low, high = 1, 2
+    while True:
+        left = written(_outside(pairs, found).where(F.col("rank") > low), "open-combinations")
+        if left.isEmpty():
+            return found.distinct()
+        homes = pairs.where("first").where(F.col("rank").between(low, high - 1)).select("seed", "rank", F.struct("doc", "place", "nth").alias("h")).withColumnRenamed("rank", "home_rank")
+        found = found.unionByName(_matched(rows, left.join(homes, "seed").where("home_rank < rank") if low == 1 else _plausible(rows, left, homes)))
+        low, high = high, high + GROWTH * (high - low)
+
+
+def _combinations(shared: DataFrame) -> DataFrame:
+    """(seed, doc, place, nth, rank, first): seeds that follow one another in a document as one, if two documents have
+    it; rank numbers its documents, first marks its first place in each."""
+    by_doc = Window.partitionBy("doc").orderBy("nth")
+    two = shared.withColumn("next", F.lead("nth").over(by_doc)).withColumn("other", F.lead("seed").over(by_doc)).where("next = nth + 1")
+    by_seed, first = Window.partitionBy("seed"), Window.partitionBy("seed", "doc").orderBy("place")
+    two = two.select(F.xxhash64("seed", "other").alias("seed"), "doc", "place", "nth")
+    two = two.withColumn("a", F.min("doc").over(by_seed)).withColumn("b", F.max("doc").over(by_seed)).where("a < b").drop("a", "b")
+    return written(two.withColumn("rank", F.dense_rank().over(by_seed.orderBy("doc"))).withColumn("first", F.row_number().over(first) == 1), "combinations")
+
+
+def _outside(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Those that don't start a seed within a reported passage of their document."""
+    spans = found.select("doc_id", "start", "stop").distinct()
+    return pairs.join(spans, (F.col("doc") == F.col("doc_id")) & (F.col("place") >= F.col("start")) & (F.col("place") + K <= F.col("stop")), "left_anti")
+
+
+def bound(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """For each pair, no fewer than the words of the first that the second has (hashes share buckets)."""
+    buckets = np.zeros((2, max(len(one), len(two)), 512), np.float32)
+    for k, words in enumerate(one):
+        buckets[0, k] = np.bincount(words % 512, minlength=512)
+    for k, words in enumerate(two):
+        buckets[1, k, words % 512] = 1
+    return buckets[0, : len(one)] @ buckets[1, : len(two)].T
+
+
+def _plausible(rows: DataFrame, left: DataFrame, homes: DataFrame) -> DataFrame:
+    """(doc, place, nth, h) of open combinations and homes of less rank that may be in one passage: the words up to
+    MARGIN around a seed have SIMILARITY of LEAST_WORDS in common."""
+    homes = homes.join(left.select("seed").distinct(), "seed", "left_semi").select("seed", F.lit(False).alias("open"), F.col("home_rank").alias("rank"), "h.doc", "h.place", "h.nth")
+    both = written(left.select("seed", F.lit(True).alias("open"), "rank", "doc", "place", "nth").unionByName(homes), "open-pairs")
+    asked = rows.join(both.groupBy("doc").agg(F.collect_set("place").alias("asked")), "doc").select("doc", "text", "asked")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, places, around = [], [], []
+            for i, words in enumerate(words_of_rows(batch.column(1))):
+                small = words.astype(np.uint32)
+                for at in batch.column(2)[i].as_py():
+                    docs.append(batch.column(0)[i].as_py())
+                    places.append(at)
+                    around.append(small[max(0, at - MARGIN) : at + K + MARGIN].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(around, pa.binary())], names=["doc", "place", "around"])
+
+    def some(group: pd.DataFrame) -> pd.DataFrame:
+        one, two = group[group["open"]], group[~group["open"]]
+        words = [[np.frombuffer(x, np.uint32) for x in side["around"]] for side in (one, two)]
+        a, b = [], []
+        for low in range(0, len(one), 1000):
+            for at in range(0, len(two), 1000):
+                good = bound(words[0][low : low + 1000], words[1][at : at + 1000]) >= SIMILARITY * LEAST_WORDS
+                good &= one["rank"].to_numpy()[low : low + 1000, None] > two["rank"].to_numpy()[None, at : at + 1000]
+                i, j = np.nonzero(good)
+                a.append(i + low)
+                b.append(j + at)
+        a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
+        out = {c: one[c].to_numpy()[a] for c in ("doc", "place", "nth")} | {f"h_{c}": two[c].to_numpy()[b] for c in ("doc", "place", "nth")}
+        return pd.DataFrame(out)
+
+    around = asked.mapInArrow(cut, "doc long, place int, around binary")
+    pairs = both.join(around, ["doc", "place"]).groupBy("seed").applyInPandas(some, "doc long, place int, nth int, h_doc long, h_place int, h_nth int")
+    return pairs.select("doc", "place", "nth", F.struct(F.col("h_doc").alias("doc"), F.col("h_place").alias("place"), F.col("h_nth").alias("nth")).alias("h"))
+
+
+def _matched(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """The passages of occurrences (doc, place, nth) that are joined with a home's (h)."""
+    matches = joined.where("doc <> h.doc").select("doc", F.col("h.doc").alias("home"), "place", F.col("h.place").alias("home_place"), "nth", F.col("h.nth").alias("home_nth"))
+    return written(_aligned(rows, _chained(matches)), "passages")
 
 
 def lengthened(one: list[np.ndarray], two: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

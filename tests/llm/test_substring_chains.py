@@ -143,6 +143,35 @@ def test_recall_of_substituted_passages(spark):
     assert min(recall.values()) >= 0.9
 
 
+def test_homes_that_hold_parts_only(spark):
+    """Documents 1 and 2 quote the halves of what 3 and 4 hold whole; 11 to 39 begin or end as 40 and 41 do."""
+    random.seed(8)
+    prose = lambda n: [f"w{random.randrange(50000)}" for _ in range(n)]
+    passage, other = prose(50), prose(40)
+    rows = {1: prose(30) + passage[:25] + prose(30), 2: prose(9) + passage[25:] + prose(60), 3: prose(20) + passage + prose(20), 4: prose(50) + passage + prose(7)}
+    for k in range(11, 40):
+        rows[k] = prose(20) + (other[:20] if k % 2 else other[20:]) + prose(20)
+    fuzzy = other[:19] + ["x", "y"] + other[21:]  # no combination of two seeds goes over the middle
+    rows |= {40: prose(30) + other + prose(3), 41: prose(3) + fuzzy + prose(30)}
+    got = sc.passages(spark.createDataFrame([(k, " ".join(v), "", "") for k, v in rows.items()], SCHEMA)).collect()
+    assert {(r["doc_id"], r["home_id"]): (r["start"], r["stop"]) for r in got} == {(4, 3): (50, 100), (41, 40): (3, 43)}
+
+
+def test_bound():
+    random.seed(9)
+    one, two = ([np.array([random.randrange(1 << 32) % 900 for _ in range(random.randrange(40))], np.uint32) for _ in range(9)] for _ in range(2))
+    for i, j in np.ndindex(9, 9):
+        assert sc.bound(one, two)[i, j] >= sum(w in set(two[j].tolist()) for w in one[i].tolist())
+
+
+def test_one_word_over_and_over(spark):
+    random.seed(10)
+    prose = lambda n: [f"w{random.randrange(50000)}" for _ in range(n)]
+    rows = [prose(20) + ["same"] * 300 + prose(9), prose(7) + ["same"] * 240 + prose(30)]
+    got = sc.passages(spark.createDataFrame([(k, " ".join(v), "", "") for k, v in enumerate(rows)], SCHEMA)).collect()
+    assert [(r["start"], r["stop"], r["edits"]) for r in got] == [(7, 247, 0)]
+
+
 def test_empty(spark):
     assert sc.passages(spark.createDataFrame([], SCHEMA)).collect() == []
     assert sc.passages(spark.createDataFrame([(1, "a " * 500, "", ""), (2, "b", "", "")], SCHEMA)).collect() == []
