@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
+#: Bytes that are hashed at once: a dozen arrays of eight bytes for each of them are alive together.
+STRETCH = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(BASE, -1, 1 << 64)
     out = []
@@ -40,8 +42,7 @@ class Substrings:
     """Hashes of substrings of one array of bytes."""
 
     def __init__(self, data: np.ndarray):
-        size = 1 << max(16, int(len(data)).bit_length())
-        up, self.down = _powers(size)
+        up, self.down = _powers(max(1 << 20, 1 << int(len(data)).bit_length()))
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
 
@@ -90,8 +91,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, lower: bool = True) -> tup
     begins[both] = True
     ends[both] = True
     first, last = np.flatnonzero(begins), np.flatnonzero(ends)
-    hashes = mix(Substrings(_LOWER[data] if lower else data).between(first, last))
-    return hashes, first, last, np.searchsorted(first, starts)
+    hashes = np.empty(len(first), np.uint64)
+    a = 0
+    while a < len(first):  # a bounded stretch of bytes at once, however long the texts are
+        b = max(a + 1, int(np.searchsorted(last, first[a] + STRETCH, "right")))
+        part = data[first[a] : last[b - 1]]
+        hashes[a:b] = Substrings(_LOWER[part] if lower else part).between(first[a:b] - first[a], last[a:b] - first[a])
+        a = b
+    return mix(hashes), first, last, np.searchsorted(first, starts)
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

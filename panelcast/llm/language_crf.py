@@ -6,41 +6,48 @@ transitions between the languages of neighbouring words have learned weights; fo
 probability of each language, and a document's score is the mean over its words. Code-switched text thus gets each
 word's own label, and short words that several languages share are decided by their neighbours.
 
-The model is fitted on a bounded sample of labelled rows: about `per_language` documents of each language, chosen by
-a hash of doc_id, and of each at most `train_words` words. Everything else runs over all rows and whole texts: counts
-of languages, and the prediction, in sequences of `SEQUENCE` words.
+A text is one chain, however long. It is computed in stretches of `STRETCH` words side by side: each stretch's product
+of transitions first, then the messages from stretch to stretch, then forward-backward within each from the messages
+at its ends. That equals unbroken forward-backward.
+
+The model is fitted on a bounded sample of labelled rows, whole texts: about `per_language` documents of each language,
+chosen by a hash of doc_id. Everything else runs over all rows and whole texts: counts of languages, and the prediction.
 
 Null text, or text without a letter, is `und` with score 0. Rows with null lang train nothing. Without any labelled
-row everything is `und`. Repeated rows get the same prediction. Ties go to the language that sorts first.
+row everything is `und`. Repeated rows get the same prediction. Ties go to the language that sorts first. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from uuid import uuid4
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEQUENCE = 64
+STRETCH = 64
 #: Feature weights are kept in a table of this many places, by hash.
 PLACES = 1 << 16
 #: Characters that are labelled at once, and words that a worker remembers.
-BATCH_CHARS = 1_500_000
+BATCH_CHARS = 500_000
 MEMO = 200_000
 UNDETERMINED = "und"
+#: Documents whose words have a lower probability of the best language, on average, are rejected by determined().
+LEAST_SCORE = 0.5
 
 
 @dataclass(frozen=True)
 class Training:
-    per_language: int = 500
-    train_words: int = 192
+    per_language: int = 100
     lexicon: int = 2_000
-    rounds: int = 60
+    rounds: int = 40
     rate: float = 0.15
     penalty: float = 1e-5
 
@@ -51,6 +58,7 @@ class Model:
     lexicon: frozenset[str]
     weights: np.ndarray  # places x languages
     transitions: np.ndarray  # languages x languages
+    number: str = field(default_factory=lambda: uuid4().hex)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -68,10 +76,9 @@ def features(word: str, lexicon: frozenset[str]) -> list[int]:
     n = len(word)
     out += [f"p{word[:k]}" for k in range(1, min(n, 4) + 1)]
     out += [f"s{word[n - k :]}" for k in range(1, min(n, 4) + 1)]
-    inner = word if n <= 40 else word[:20] + word[-20:]
-    out += [f"2{inner[i : i + 2]}" for i in range(len(inner) - 1)]
-    out += [f"3{inner[i : i + 3]}" for i in range(len(inner) - 2)]
-    out += [f"c{c}" for c in set(inner) if c > "\x7f"]
+    out += [f"2{word[i : i + 2]}" for i in range(n - 1)]
+    out += [f"3{word[i : i + 3]}" for i in range(n - 2)]
+    out += [f"c{c}" for c in set(word) if c > "\x7f"]
     return [crc32(x.encode()) % PLACES for x in out]
 
 
@@ -81,45 +88,92 @@ def _flat(words: list[str], lexicon: frozenset[str]) -> tuple[np.ndarray, np.nda
     return np.fromiter((f for x in each for f in x), np.int64), starts
 
 
-def _sequences(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts of so many words, cut into sequences: for each word its sequence and place, and each sequence's text."""
-    text = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    counts = -(-lengths // size)
-    first = np.cumsum(counts) - counts
-    return first[text] + place // size, place % size, np.repeat(np.arange(len(lengths)), counts)
-
-
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: bool = False):
-    """Scaled forward-backward over padded sequences (sequence, place, language): the words' probabilities; with
-    pairs also the expected transition counts and the log normalisers."""
+@dataclass(frozen=True)
+class Stretches:
+    """Texts of so many words, cut into stretches of STRETCH words: each word's stretch and place in it, each stretch's
+    length, text and number within its text."""
+
+    of_word: np.ndarray
+    place: np.ndarray
+    lengths: np.ndarray
+    number: np.ndarray
+
+    @staticmethod
+    def of(words: np.ndarray) -> Stretches:
+        text = np.repeat(np.arange(len(words)), words)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(words) - words, words)
+        counts = -(-words // STRETCH)
+        first = np.cumsum(counts) - counts
+        of_word = first[text] + place // STRETCH
+        total = int(counts.sum())
+        return Stretches(of_word, place % STRETCH, np.bincount(of_word, minlength=total), np.arange(total) - np.repeat(first, counts))
+
+    def padded(self, scores: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.lengths), STRETCH, scores.shape[1]), scores.dtype)
+        out[self.of_word, self.place] = scores
+        return out
+
+
+def _messages(local: np.ndarray, live: np.ndarray, move: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each stretch gets from the one before (the forward message at its end) and from the one after (the backward
+    message, after the transition), up to a factor; ones where there is none."""
+    n, size, k = local.shape
+    into, back = np.ones((n, k), local.dtype), np.ones((n, k), local.dtype)
+    if not number.any():
+        return into, back
+    # From each state at a stretch's first word to each at its last.
+    through = np.eye(k, dtype=local.dtype)[None] * local[:, 0, None, :]
+    for t in range(1, size):
+        step = (through @ move) * local[:, t, None, :]
+        through = np.where(live[:, t, None, None], step / step.sum(axis=(1, 2), keepdims=True), through)
+    for c in range(1, int(number.max()) + 1):
+        here = np.flatnonzero(number == c)
+        first = np.ones((len(here), k), local.dtype) if c == 1 else into[here - 1] @ move
+        message = np.einsum("ni,nij->nj", first, through[here - 1])
+        into[here] = message / message.sum(axis=1, keepdims=True)
+    for c in range(int(number.max()), 0, -1):
+        here = np.flatnonzero(number == c)
+        message = np.einsum("nij,nj->ni", through[here], back[here]) @ move.T
+        back[here - 1] = message / message.sum(axis=1, keepdims=True)
+    return into, back
+
+
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, number: np.ndarray | None = None, pairs: bool = False):
+    """Scaled forward-backward over padded stretches (stretch, place, language): the words' probabilities; with pairs
+    also the expected transition counts. number tells a stretch's place in its text (it follows on the one before it
+    unless that is 0); by default each is a text of its own."""
     n, size, _ = scores.shape
-    top = scores.max(axis=2, keepdims=True)
-    local, move = np.exp(scores - top), np.exp(transitions)
+    number = np.zeros(n, np.int64) if number is None else number
+    local, move = np.exp(scores - scores.max(axis=2, keepdims=True)), np.exp(transitions)
     live = np.arange(size)[None, :] < lengths[:, None]
+    into, back = _messages(local, live, move, number)
+    goes_on = number > 0
     alpha, norm = np.empty_like(local), np.ones((n, size), scores.dtype)
     for t in range(size):
-        now = local[:, t] if t == 0 else (alpha[:, t - 1] @ move) * local[:, t]
+        now = np.where(goes_on[:, None], into @ move, 1.0) * local[:, 0] if t == 0 else (alpha[:, t - 1] @ move) * local[:, t]
         norm[:, t] = now.sum(axis=1)
         alpha[:, t] = now / norm[:, t, None]
+    last = lengths - 1
+    back /= (alpha[np.arange(n), last] * back).sum(axis=1, keepdims=True)
     beta = np.ones_like(local)
+    beta[np.arange(n), last] = back
     for t in range(size - 2, -1, -1):
-        back = (local[:, t + 1] * beta[:, t + 1]) @ move.T / norm[:, t + 1, None]
-        beta[:, t] = np.where(live[:, t + 1, None], back, 1.0)
+        further = (local[:, t + 1] * beta[:, t + 1]) @ move.T / norm[:, t + 1, None]
+        beta[:, t] = np.where(live[:, t + 1, None], further, beta[:, t])
     marginal = alpha * beta
     marginal /= marginal.sum(axis=2, keepdims=True)
     marginal[~live] = 0
     if not pairs:
         return marginal
-    after = local[:, 1:] * beta[:, 1:] / norm[:, 1:, None]
-    after[~live[:, 1:]] = 0
-    expected = np.einsum("nti,ntj->ij", alpha[:, :-1], after) * move
-    return marginal, expected, float(((np.log(norm) + top[:, :, 0]) * live).sum())
+    after = local * beta / norm[:, :, None]
+    after[~live] = 0
+    expected = np.einsum("nti,ntj->ij", alpha[:, :-1], after[:, 1:]) + into[goes_on].T @ after[goes_on, 0]
+    return marginal, expected * move
 
 
 def fit(texts: list[str], labels: list[str], how: Training = Training()) -> Model | None:
     """Maximum likelihood with a small penalty, by full-batch Adam."""
-    sample = [(words_of(t)[: how.train_words], y) for t, y in zip(texts, labels)]
+    sample = [(words_of(t), y) for t, y in zip(texts, labels)]
     sample = [(w, y) for w, y in sample if w]
     if not sample:
         return None
@@ -131,21 +185,16 @@ def fit(texts: list[str], labels: list[str], how: Training = Training()) -> Mode
     flat, starts = _flat(list(distinct), lexicon)
     owner = np.repeat(np.arange(len(distinct)), np.diff([*starts, len(flat)]))
     lengths = np.array([len(ws) for ws, _ in sample])
-    seq, place, text_of = _sequences(lengths, SEQUENCE)
-    size, n, k = SEQUENCE, len(text_of), len(languages)
-    seq_lengths = np.bincount(seq, minlength=n)
+    cut, k = Stretches.of(lengths), len(languages)
     truth = np.repeat([number[y] for _, y in sample], lengths)
-    seen = np.zeros((k, k))
-    np.add.at(seen, (truth[1:][place[1:] > 0], truth[1:][place[1:] > 0]), 1.0)
+    seen = np.diag([float(sum(n - 1 for (_, y), n in zip(sample, lengths) if y == language)) for language in languages])
     weights, moves = np.zeros((PLACES, k)), np.zeros((k, k))
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (weights, moves)]
     total = len(words)
     for r in range(1, how.rounds + 1):
         of_word = np.add.reduceat(weights[flat], starts, axis=0)
-        padded = np.zeros((n, size, k))
-        padded[seq, place] = of_word[index]
-        marginal, expected, _ = forward_backward(padded, seq_lengths, moves, pairs=True)
-        error = marginal[seq, place]
+        marginal, expected = forward_backward(cut.padded(of_word[index]), cut.lengths, moves, cut.number, pairs=True)
+        error = marginal[cut.of_word, cut.place]
         error[np.arange(total), truth] -= 1
         by_word = np.stack([np.bincount(index, error[:, j], len(distinct)) for j in range(k)], 1)
         by_place = np.stack([np.bincount(flat, by_word[owner, j], PLACES) for j in range(k)], 1)
@@ -183,10 +232,9 @@ class Labeller:
         if not words:
             return np.zeros((0, len(self.model.languages)), np.float32), lengths
         index = np.fromiter(map(self.place_of.__getitem__, words), np.int64, len(words))
-        seq, place, text_of = _sequences(lengths, SEQUENCE)
-        padded = np.zeros((len(text_of), SEQUENCE, len(self.model.languages)), np.float32)
-        padded[seq, place] = self.scores[index]
-        return forward_backward(padded, np.bincount(seq, minlength=len(text_of)), self.model.transitions)[seq, place], lengths
+        cut = Stretches.of(lengths)
+        marginal = forward_backward(cut.padded(self.scores[index]), cut.lengths, self.model.transitions, cut.number)
+        return marginal[cut.of_word, cut.place], lengths
 
     def texts(self, texts: list[list[str]]) -> tuple[list[str], list[float]]:
         """Language and score of each text."""
@@ -201,6 +249,17 @@ class Labeller:
         return [self.model.languages[b] if n else UNDETERMINED for b, n in zip(best, lengths)], score.tolist()
 
 
+_LABELLERS: dict[str, Labeller] = {}
+
+
+def _labeller(shared) -> Labeller:
+    """The worker's labeller of a broadcast model: words stay remembered from task to task, one model at a time."""
+    if shared.value.number not in _LABELLERS:
+        _LABELLERS.clear()
+        _LABELLERS[shared.value.number] = Labeller(shared.value)
+    return _LABELLERS[shared.value.number]
+
+
 def train(docs: DataFrame, how: Training = Training()) -> Model | None:
     """Fit on the sample of the rows of docs (doc_id, text, lang) that are not held out. The counts of languages are
     taken over all rows; the driver gets the counts and the sample."""
@@ -212,9 +271,7 @@ def train(docs: DataFrame, how: Training = Training()) -> Model | None:
     rate = F.lit(0.0)
     for language, n in counts.items():
         rate = F.when(F.col("lang") == F.lit(language), F.lit(min(1.0, how.per_language / n))).otherwise(rate)
-    # So many words have fewer characters than this, but for very long ones.
-    part = F.substring("text", 1, how.train_words * 16)
-    sample = known.where(draw < rate).select("doc_id", part.alias("text"), "lang").toPandas().sort_values(["doc_id", "lang"], kind="stable")
+    sample = known.where(draw < rate).select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "lang"], kind="stable")
     return fit(list(sample["text"]), list(sample["lang"]), how)
 
 
@@ -227,7 +284,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        labeller = Labeller(shared.value)
+        labeller = _labeller(shared)
         for batch in batches:
             texts, ids = list(batch["text"]), batch["doc_id"]
             start = chars = 0
@@ -247,25 +304,31 @@ def identify(docs: DataFrame, how: Training = Training()) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def determined(docs: DataFrame, how: Training = Training()) -> DataFrame:
-    """The rows of docs with a language, all columns as they were; a row goes if its text is `und`."""
+def determined(docs: DataFrame, how: Training = Training(), least_score: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs whose language the model can tell, with the columns of docs. A row goes if its text is `und` or
+    its score is below least_score; where lang is null, the predicted language takes its place. Without any labelled
+    row there is no model: then only rows without a letter go."""
     model = train(docs, how)
     if model is None:
-        return docs.where(F.lit(False))
-    shared, place, schema = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), docs.schema
+        return docs.where(F.regexp_like(F.coalesce(F.col("text"), F.lit("")), F.lit(r"\p{L}")))
+    shared, text_at, lang_at, schema = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), docs.columns.index("lang"), docs.schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(shared.value)
+        labeller = _labeller(shared)
         for batch in batches:
-            texts = batch.column(place)
+            texts = batch.column(text_at)
             start, chars, words = 0, 0, []
             for i in range(len(texts)):
                 text = texts[i].as_py()
                 chars += len(text or "")
                 words.append(words_of(text))
                 if chars >= BATCH_CHARS or i + 1 == len(texts):
-                    languages, _ = labeller.texts(words)
-                    yield batch.slice(start, i + 1 - start).filter(pa.array([x != UNDETERMINED for x in languages]))
+                    languages, scores = labeller.texts(words)
+                    part = batch.slice(start, i + 1 - start)
+                    lang = pc.coalesce(part.column(lang_at), pa.array(languages, part.column(lang_at).type))
+                    columns = [lang if k == lang_at else c for k, c in enumerate(part.columns)]
+                    keep = [x != UNDETERMINED and y >= least_score for x, y in zip(languages, scores)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep, pa.bool_()))
                     start, chars, words = i + 1, 0, []
 
     return docs.mapInArrow(work, schema)

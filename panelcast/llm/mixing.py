@@ -38,7 +38,7 @@ class Mixture:
     seed: int = 17
     levels: tuple[tuple[str, str, str], ...] = (
         ("domain", "concat('domain', coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) AS INT), 0) % 4)", "CASE domain WHEN 'domain0' THEN 4 WHEN 'domain1' THEN 3 ELSE 2 END"),
-        ("language", "coalesce(lang, '')", "CASE language WHEN 'en' THEN 5 WHEN '' THEN 0 ELSE 3 END"),
+        ("language", "coalesce(lang, '')", "CASE language WHEN 'en' THEN 5 WHEN '' THEN 1 ELSE 3 END"),
         ("source_name", "coalesce(source, '')", "CASE WHEN source_name = '' THEN 1 ELSE 2 END"),
     )
 

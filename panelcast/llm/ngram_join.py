@@ -20,8 +20,8 @@ union. The result is the components of the links.
 
 Words are runs of non-white space (ASCII) of the whole text with A-Z lowered. A text with one or two words has that
 sequence as its one shingle; null and empty texts have an empty set and are linked with nothing. Rows without
-doc_id are searched for nothing and stand alone. Rows that repeat a doc_id are one document's; each is returned. An
-empty table gives no rows.
+doc_id are searched for nothing and stand alone. Rows that repeat a doc_id are one document with several texts: it links
+with whatever any of them links with; each row is returned, with the size of its own set. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ WORDS = 3
 BLOCK = 1_500
 #: Elements that are merged with a heap; more are counted into an array.
 HEAP = 256
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1 << 19
 #: Sets below this size link only with equal ones.
 LEAST = 9
 _BANDS = [LEAST]
@@ -194,9 +194,13 @@ def _linked(groups: DataFrame) -> DataFrame:
     in the block, with that one. A task gets whole blocks, in order, and holds one at a time."""
 
     def block(rows: pd.DataFrame) -> list[tuple[int, int]]:
-        rows = rows.drop_duplicates("doc_id")
+        rows = rows.drop_duplicates(["doc_id", "text"])
         ids = rows["doc_id"].tolist()
         component = search(list(shingle_sets(pa.array(rows["text"], pa.large_string()))), np.flatnonzero(rows["is_query"]).tolist())
+        if len(set(ids)) < len(ids):  # several texts of one document: their components are one
+            one: dict[int, int] = {}
+            for i, k in enumerate(ids):
+                component[component == component[i]] = component[one.setdefault(k, i)]
         least: dict[int, int] = {}
         for i, r in zip(ids, component.tolist()):
             least[r] = min(i, least.get(r, i))
@@ -239,7 +243,7 @@ def _large_links(members: DataFrame, stars: DataFrame, texts: DataFrame) -> Data
     pivots = written(counted.groupBy("cluster", "blocks").agg(F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("doc_id")), "pivots")
     once = members.select("cluster", _block(F.col("blocks")).alias("block"), "doc_id", F.lit(False).alias("is_query"))
     everywhere = pivots.select("cluster", every("blocks").alias("block"), "doc_id", F.lit(True).alias("is_query"))
-    links = written(_linked(once.unionByName(everywhere).join(texts, "doc_id").select(*columns)), "pivot-links")
+    links = written(_linked(once.unionByName(everywhere).hint("merge").join(texts, "doc_id").select(*columns)), "pivot-links")
     # The pivot was the only query, so every document of an edge is in its component.
     with_pivot = links.select(F.col("u").alias("doc_id")).union(links.select("v")).union(pivots.select("doc_id")).distinct()
     outside = written(members.join(with_pivot, "doc_id", "left_anti"), "outside")
@@ -249,29 +253,37 @@ def _large_links(members: DataFrame, stars: DataFrame, texts: DataFrame) -> Data
         task = (F.col("i") * F.col("query_blocks") + F.col("j")).alias("block")
         again = outside.join(per, "cluster").select("cluster", "doc_id", "query_blocks", _block(F.col("query_blocks")).alias("j"), every("blocks").alias("i")).select("cluster", task, "doc_id", F.lit(True).alias("is_query"))
         there = members.join(per, "cluster").select("cluster", "doc_id", "query_blocks", _block(F.col("blocks")).alias("i"), every("query_blocks").alias("j")).select("cluster", task, "doc_id", F.lit(False).alias("is_query"))
-        links = links.unionByName(_linked(again.unionByName(there).join(texts, "doc_id").select(*columns)))
+        links = links.unionByName(_linked(again.unionByName(there).hint("merge").join(texts, "doc_id").select(*columns)))
     return components(links)
 
 
 def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each row of docs with its class, and (node, component) of the classes that link."""
-    sets = written(set_table(docs), "sets")
-    classes = sets.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    classes = written(classes, "classes")
-    marks = sets.join(classes.select(F.col("class_id").alias("doc_id"), "set_key", "n_shingles"), ["doc_id", "set_key", "n_shingles"], "left_semi").select("doc_id", F.explode("signatures").alias("s"))
+    every = written(set_table(docs), "sets")
+    sets = every.drop("signatures")
+    # Equal sets have equal signatures, so any one's will do: the arrays are dealt by class once, at every size.
+    filled = every.where("doc_id IS NOT NULL AND n_shingles > 0")
+    signed = written(filled.groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.first("signatures").alias("signatures")), "classes")
+    classes = signed.drop("signatures")
+    marks = signed.select(F.col("class_id").alias("doc_id"), F.explode("signatures").alias("s"))
     shared = marks.groupBy("s").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("w")).where("v < w").select("s", "v")
-    # Both sides by sort-merge at every size: whether a small run would broadcast depended on which stage ended first.
+    # By sort-merge at every size: whether a small run would broadcast depended on which stage ended first.
     stars = written(marks.hint("merge").join(shared, "s").where("doc_id > v").groupBy(F.col("doc_id").alias("u"), "v").agg(F.count("*").alias("n")), "candidates")
     clusters = written(components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
     large = written(clusters.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select("cluster", F.ceil(F.col("size") / BLOCK).alias("blocks")), "large-clusters")
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     small = clusters.join(large, "cluster", "left_anti").select("cluster", F.lit(0).alias("block"), "doc_id", F.lit(True).alias("is_query"))
     # In a cluster of one block, the edges are the components.
-    links = written(_linked(small.join(texts, "doc_id").select("cluster", "block", "doc_id", "is_query", "text")), "links")
+    links = written(_linked(small.hint("merge").join(texts, "doc_id").select("cluster", "block", "doc_id", "is_query", "text")), "links")
     found = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     if not large.isEmpty():
         found = found.unionByName(_large_links(written(clusters.join(large, "cluster"), "large-members"), stars, texts))
-    return sets.drop("signatures").join(classes, ["set_key", "n_shingles"], "left"), found
+    rows = sets.join(classes, ["set_key", "n_shingles"], "left")
+    several = filled.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a < b").select("doc_id")
+    if not several.isEmpty():  # a document with several texts is in the classes of all of them
+        own = rows.join(several, "doc_id", "left_semi").where("class_id IS NOT NULL").select(F.col("doc_id").alias("u"), F.col("class_id").alias("v"))
+        found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(own))
+    return rows, found
 
 
 def groups(docs: DataFrame) -> DataFrame:

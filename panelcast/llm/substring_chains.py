@@ -7,21 +7,22 @@
 3. The matches of a document and a home document are chained: from the left, a Fenwick tree over the home's places
    gives the best chain that ends before a match in both texts, at a cost for the gap between them. Chains are read
    off from the best one down.
-4. A home may be a document that shares only part of a passage. Seeds in reported passages are set aside, those of
-   rejected chains aren't: the others are matched again by combinations of two neighbouring seeds, first with each
-   combination's first document, then with its next GROWTH, GROWTH squared and so on, until no open combination is
-   shared with a document that it wasn't matched with. Of those next homes, the ones go whose words around the place
-   can't make a passage with the document's, by a bound on the words they have in common. A combination may be set aside in its home; only the document
-   that is matched with it must have it open.
-5. Each chain, of one seed or more, is aligned: from seed to seed by the edit distance of the words in the gaps. A chain
+4. Each chain, of one seed or more, is aligned: from seed to seed by the edit distance of the words in the gaps. A chain
    that falls short of the similarity is split: its longest part that has it counts, then the longest ones of what is
    left on either side. Beyond the ends of a part, up to MARGIN words are aligned: it ends where words less five times
-   the edits are most, or, if it is too short so, at the furthest equal words that leave it the similarity. Passages of LEAST_WORDS words or more with similarity of 0.8 or more are
-   reported, once for each document, home and place.
+   the edits are most, or, if it is too short so, at the furthest equal words that leave it the similarity. Passages of
+   LEAST_WORDS words or more with similarity of 0.8 or more are reported, once for each document, home and place.
+5. The first document with a seed may share no more than that seed. So seeds that lie in no reported passage get more
+   homes: the first document with the seed and another shared one within LEAST_WORDS words after it, for each such
+   pair, and the first with all shared seeds of such a stretch. These matches are chained and aligned as the others.
+
+What is certain: a run of LEAST_WORDS + 2 * (K + WINDOW) equal words in two documents is reported for the later one, with a home
+that holds LEAST_WORDS words of it at least, whatever other documents hold parts of it: the first document with all
+seeds of such a stretch. Passages that differ are found by the seeds that are left between the differences.
 
 Words are runs of non-white space (ASCII), A-Z lowered, of the whole text. Null or empty texts and rows without
-doc_id have no passages. Rows that repeat a doc_id are one document's: one of the texts counts (the smallest). Passages that repeat
-within one document only aren't reported. An empty table gives no rows.
+doc_id have no passages. Rows that repeat a doc_id with different texts are texts of their own; equal ones are one.
+Passages that repeat within one document only aren't reported. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,11 +44,9 @@ K, WINDOW = 5, 4
 GAIN, GAP = 8.0, 0.05
 #: A passage needs so many words and such a similarity.
 LEAST_WORDS, SIMILARITY = 30, 0.8
-#: Each round over combinations takes so many times as many homes of a combination as the one before.
-GROWTH = 8
-#: Half the band in which long gaps are aligned, beside the difference of their lengths.
+#: Half the band in which long gaps are aligned at first, beside the difference of their lengths.
 BAND = 16
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1 << 19
 
 
 def minimizers(hashes: np.ndarray) -> np.ndarray:
@@ -82,7 +81,7 @@ def words_of_rows(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    """(doc, seed, place, nth): nth numbers the seeds of a document."""
+    """(doc, seed, place) of each document's seeds."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,10 +94,9 @@ def seeds(docs: DataFrame) -> DataFrame:
                 places.append(at.astype(np.int32))
                 counts.append(len(at))
             docs_of = batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-            nth = np.concatenate([*(np.arange(c, dtype=np.int32) for c in counts), np.zeros(0, np.int32)])
-            yield pa.RecordBatch.from_arrays([docs_of, pa.array(np.concatenate([*hashes, np.zeros(0, np.int64)])), pa.array(np.concatenate([*places, np.zeros(0, np.int32)])), pa.array(nth)], names=["doc", "seed", "place", "nth"])
+            yield pa.RecordBatch.from_arrays([docs_of, pa.array(np.concatenate([*hashes, np.zeros(0, np.int64)])), pa.array(np.concatenate([*places, np.zeros(0, np.int32)]))], names=["doc", "seed", "place"])
 
-    return docs.mapInArrow(work, "doc long, seed long, place int, nth int")
+    return docs.mapInArrow(work, "doc long, seed long, place int")
 
 
 class Fenwick:
@@ -154,45 +152,51 @@ def chains(places: list[int], homes: list[int]) -> list[list[int]]:
 
 
 def _chained(matches: DataFrame) -> DataFrame:
-    """(doc, home, place, home_place, nth, home_nth) to chains, and to the seeds in them as arrays."""
+    """(doc, home, place, home_place) to chains, and to the seeds in them as arrays. Matches may be repeated."""
     schema = "doc long, home long, start int, stop int, home_start int, home_stop int, n_seeds int, steady boolean, places array<int>, homes array<int>"
 
-    def pair(doc: int, home: int, columns: list[list[int]]) -> Iterator[tuple]:
-        places, homes, nth, home_nth = columns
+    def pair(doc: int, home: int, places: list[int], homes: list[int]) -> Iterator[tuple]:
         for c in chains(places, homes) if len(places) > 1 else [[0]]:
             a, b = c[0], c[-1]
-            # Every seed of both stretches is in the chain, and at one distance: the words agree between them.
-            steady = nth[b] - nth[a] == home_nth[b] - home_nth[a] == len(c) - 1 and all(homes[m] - places[m] == homes[a] - places[a] for m in c)
+            # All seeds at one distance, and none more than K words after the one before: the words agree between them.
+            steady = all(homes[m] - places[m] == homes[a] - places[a] for m in c) and all(places[n] - places[m] <= K for m, n in zip(c, c[1:]))
             yield doc, home, places[a], places[b] + K, homes[a], homes[b] + K, len(c), steady, [] if steady else [places[m] - places[a] for m in c], [] if steady else [homes[m] - homes[a] for m in c]
 
     names = ["doc", "home", "start", "stop", "home_start", "home_stop", "n_seeds", "steady", "places", "homes"]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, rest = None, [[], [], [], []]
+        key, rest = None, ([], [])
+        before = None
         for batch in batches:
-            doc, home = batch["doc"].to_numpy(), batch["home"].to_numpy()
-            columns = [batch[c].tolist() for c in ("place", "home_place", "nth", "home_nth")]
-            cuts = [0, *(np.flatnonzero((doc[1:] != doc[:-1]) | (home[1:] != home[:-1])) + 1).tolist(), len(batch)]
+            doc, home, place, there = (batch[c].to_numpy() for c in ("doc", "home", "place", "home_place"))
+            same = np.zeros(len(batch), bool)
+            same[1:] = (doc[1:] == doc[:-1]) & (home[1:] == home[:-1]) & (place[1:] == place[:-1]) & (there[1:] == there[:-1])
+            if len(batch):
+                same[0] = before == (doc[0], home[0], place[0], there[0])
+                before = (doc[-1], home[-1], place[-1], there[-1])
+            doc, home, place, there = (x[~same] for x in (doc, home, place, there))
+            places, homes = place.tolist(), there.tolist()
+            cuts = [0, *(np.flatnonzero((doc[1:] != doc[:-1]) | (home[1:] != home[:-1])) + 1).tolist(), len(doc)]
             out: list[tuple] = []
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if a == b:
                     continue
                 if key != (doc[a], home[a]):
                     if key is not None:
-                        out += pair(*key, rest)
-                    key, rest = (int(doc[a]), int(home[a])), [[], [], [], []]
-                for c, d in zip(rest, columns):
-                    c += d[a:b]
+                        out += pair(*key, *rest)
+                    key, rest = (int(doc[a]), int(home[a])), ([], [])
+                rest[0].extend(places[a:b])
+                rest[1].extend(homes[a:b])
             yield pd.DataFrame(out, columns=names)
         if key is not None:
-            yield pd.DataFrame(list(pair(*key, rest)), columns=names)
+            yield pd.DataFrame(list(pair(*key, *rest)), columns=names)
 
     return matches.repartition("doc", "home").sortWithinPartitions("doc", "home", "place", "home_place").mapInPandas(work, schema)
 
 
-def edits(a: np.ndarray, b: np.ndarray) -> int:
+def edits(a: np.ndarray, b: np.ndarray, limit: int | None = None) -> int:
     """Edit distance of two word sequences: equal ends go first; short rests cell by cell, long ones in a band around
-    the diagonal (an upper bound there)."""
+    the diagonal, which is widened until it holds a best path. If the distance is over limit, more than limit."""
     n = min(len(a), len(b))
     same = int(np.argmin(np.append(a[:n] == b[:n], False)))
     a, b = a[same:], b[same:]
@@ -211,13 +215,23 @@ def edits(a: np.ndarray, b: np.ndarray) -> int:
             for j, y in enumerate(two, 1):
                 corner, row[j] = row[j], min(corner + (x != y), row[j] + 1, row[j - 1] + 1)
         return row[-1]
+    most = len(a) if limit is None else min(limit, len(a))
+    if len(a) - len(b) > most:
+        return most + 1
     band = BAND + len(a) - len(b)
+    while (found := _banded(a, b, band)) > band and band <= most:
+        band *= 2
+    return min(found, len(a)) if limit is None or found <= band else max(found, limit + 1)
+
+
+def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """The least edits of the paths within a band around the diagonal; exact if that is no more than its half width."""
     width = 2 * band + 1
     offsets = np.arange(width)
     far = len(a) + len(b) + 1
     row = np.abs(offsets - band).astype(np.int64)
     row[offsets < band] = far
-    padded = np.concatenate([np.zeros(band, b.dtype), b, np.zeros(len(a) - len(b) + band + 1, b.dtype)])
+    padded = np.concatenate([np.zeros(band, b.dtype), b, np.zeros(max(0, len(a) - len(b)) + band + 1, b.dtype)])
     for i in range(1, len(a) + 1):
         # Cell k of the row is place j = i - band + k of b.
         j = i - band + offsets
@@ -242,7 +256,7 @@ def gap_edits(one: bytes, two: bytes, places, homes) -> list[int]:
         elif 5 * abs(q - p - g + h) > most:
             out.append(max(q - p, g - h))
         else:
-            out.append(edits(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)))
+            out.append(edits(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), most // 5 + 1))
     return out
 
 
@@ -279,6 +293,7 @@ def parts(places: list[int], homes: list[int], wrong: list[int]) -> list[tuple[i
     return sorted(out)
 
 
+NAMES = ["doc_id", "start", "stop", "home_id", "home_start", "home_stop", "n_seeds", "edits", "similarity"]
 #: Words beyond a chain's ends that are aligned, in a band of SLACK on either side of the diagonal.
 MARGIN, SLACK = 32, 8
 #: Stretches of one document that a row asks for, about.
@@ -288,93 +303,48 @@ REQUESTS = 1_000
 def passages(docs: DataFrame) -> DataFrame:
     """doc_id, start, stop, home_id, home_start, home_stop (words, stop exclusive), n_seeds, edits and similarity."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc IS NOT NULL")
-    if not rows.groupBy("doc").count().where("count > 1").limit(1).isEmpty():
-        rows = rows.groupBy("doc").agg(F.min("text").alias("text"))
+    repeated = rows.groupBy("doc").count().where("count > 1").select("doc")
+    several = not repeated.limit(1).isEmpty()
+    if several:  # texts of one doc_id go by numbers of their own
+        names = written(rows.join(repeated, "doc", "left_semi").select(F.xxhash64("doc", "text").alias("key"), F.col("doc").alias("name")).distinct(), "repeated-ids")
+        own = rows.join(repeated, "doc", "left_semi").select(F.xxhash64("doc", "text").alias("doc"), "text").dropDuplicates(["doc"])
+        rows = rows.join(repeated, "doc", "left_anti").unionByName(own)
     # By windows, so that the many seeds that occur once are shuffled once and never written.
     by_seed = Window.partitionBy("seed")
-    shared = seeds(rows).withColumn("h", F.min(F.struct("doc", "place", "nth")).over(by_seed)).withColumn("last", F.max("doc").over(by_seed)).where("h.doc < last").drop("last")
+    shared = seeds(rows).withColumn("h", F.min(F.struct("doc", "place")).over(by_seed)).withColumn("last", F.max("doc").over(by_seed)).where("h.doc < last").drop("last")
     shared = written(shared, "seed-matches")
-    found = _matched(rows, shared)
-    pairs = _combinations(shared)
-    low, high = 1, 2
-    while True:
-        left = written(_outside(pairs, found).where(F.col("rank") > low), "open-combinations")
-        if left.isEmpty():
-            return found.distinct()
-        homes = pairs.where("first").where(F.col("rank").between(low, high - 1)).select("seed", "rank", F.struct("doc", "place", "nth").alias("h")).withColumnRenamed("rank", "home_rank")
-        found = found.unionByName(_matched(rows, left.join(homes, "seed").where("home_rank < rank") if low == 1 else _plausible(rows, left, homes)))
-        low, high = high, high + GROWTH * (high - low)
-
-
-def _combinations(shared: DataFrame) -> DataFrame:
-    """(seed, doc, place, nth, rank, first): seeds that follow one another in a document as one, if two documents have
-    it; rank numbers its documents, first marks its first place in each."""
-    by_doc = Window.partitionBy("doc").orderBy("nth")
-    two = shared.withColumn("next", F.lead("nth").over(by_doc)).withColumn("other", F.lead("seed").over(by_doc)).where("next = nth + 1")
-    by_seed, first = Window.partitionBy("seed"), Window.partitionBy("seed", "doc").orderBy("place")
-    two = two.select(F.xxhash64("seed", "other").alias("seed"), "doc", "place", "nth")
-    two = two.withColumn("a", F.min("doc").over(by_seed)).withColumn("b", F.max("doc").over(by_seed)).where("a < b").drop("a", "b")
-    return written(two.withColumn("rank", F.dense_rank().over(by_seed.orderBy("doc"))).withColumn("first", F.row_number().over(first) == 1), "combinations")
-
-
-def _outside(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Those that don't start a seed within a reported passage of their document."""
+    found = _matched(rows, shared.select("doc", F.col("h.doc").alias("home"), "place", F.col("h.place").alias("home_place")))
+    more = written(_further(shared, found), "further-matches")
+    if not more.isEmpty():
+        found = found.unionByName(_matched(rows, more)).distinct()
+    if several:
+        for column in ("doc_id", "home_id"):
+            found = found.join(names.select(F.col("key").alias(column), "name"), column, "left").withColumn(column, F.coalesce("name", column)).drop("name")
+    return found.select(*NAMES)
+
+
+def _further(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc, home, place, home_place): for seeds in no reported passage of their document, the first document with the
+    seed and each shared seed in the stretch after it, and the first with all of them."""
     spans = found.select("doc_id", "start", "stop").distinct()
-    return pairs.join(spans, (F.col("doc") == F.col("doc_id")) & (F.col("place") >= F.col("start")) & (F.col("place") + K <= F.col("stop")), "left_anti")
-
-
-def bound(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
-    """For each pair, no fewer than the words of the first that the second has (hashes share buckets)."""
-    buckets = np.zeros((2, max(len(one), len(two)), 512), np.float32)
-    for k, words in enumerate(one):
-        buckets[0, k] = np.bincount(words % 512, minlength=512)
-    for k, words in enumerate(two):
-        buckets[1, k, words % 512] = 1
-    return buckets[0, : len(one)] @ buckets[1, : len(two)].T
-
-
-def _plausible(rows: DataFrame, left: DataFrame, homes: DataFrame) -> DataFrame:
-    """(doc, place, nth, h) of open combinations and homes of less rank that may be in one passage: the words up to
-    MARGIN around a seed have SIMILARITY of LEAST_WORDS in common."""
-    homes = homes.join(left.select("seed").distinct(), "seed", "left_semi").select("seed", F.lit(False).alias("open"), F.col("home_rank").alias("rank"), "h.doc", "h.place", "h.nth")
-    both = written(left.select("seed", F.lit(True).alias("open"), "rank", "doc", "place", "nth").unionByName(homes), "open-pairs")
-    asked = rows.join(both.groupBy("doc").agg(F.collect_set("place").alias("asked")), "doc").select("doc", "text", "asked")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, places, around = [], [], []
-            for i, words in enumerate(words_of_rows(batch.column(1))):
-                small = words.astype(np.uint32)
-                for at in batch.column(2)[i].as_py():
-                    docs.append(batch.column(0)[i].as_py())
-                    places.append(at)
-                    around.append(small[max(0, at - MARGIN) : at + K + MARGIN].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(around, pa.binary())], names=["doc", "place", "around"])
-
-    def some(group: pd.DataFrame) -> pd.DataFrame:
-        one, two = group[group["open"]], group[~group["open"]]
-        words = [[np.frombuffer(x, np.uint32) for x in side["around"]] for side in (one, two)]
-        a, b = [], []
-        for low in range(0, len(one), 1000):
-            for at in range(0, len(two), 1000):
-                good = bound(words[0][low : low + 1000], words[1][at : at + 1000]) >= SIMILARITY * LEAST_WORDS
-                good &= one["rank"].to_numpy()[low : low + 1000, None] > two["rank"].to_numpy()[None, at : at + 1000]
-                i, j = np.nonzero(good)
-                a.append(i + low)
-                b.append(j + at)
-        a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
-        out = {c: one[c].to_numpy()[a] for c in ("doc", "place", "nth")} | {f"h_{c}": two[c].to_numpy()[b] for c in ("doc", "place", "nth")}
-        return pd.DataFrame(out)
-
-    around = asked.mapInArrow(cut, "doc long, place int, around binary")
-    pairs = both.join(around, ["doc", "place"]).groupBy("seed").applyInPandas(some, "doc long, place int, nth int, h_doc long, h_place int, h_nth int")
-    return pairs.select("doc", "place", "nth", F.struct(F.col("h_doc").alias("doc"), F.col("h_place").alias("place"), F.col("h_nth").alias("nth")).alias("h"))
-
-
-def _matched(rows: DataFrame, joined: DataFrame) -> DataFrame:
-    """The passages of occurrences (doc, place, nth) that are joined with a home's (h)."""
-    matches = joined.where("doc <> h.doc").select("doc", F.col("h.doc").alias("home"), "place", F.col("h.place").alias("home_place"), "nth", F.col("h.nth").alias("home_nth"))
-    return written(_aligned(rows, _chained(matches)), "passages")
+    within = (F.col("doc") == F.col("doc_id")) & (F.col("place") >= F.col("start")) & (F.col("place") + K <= F.col("stop"))
+    shared = shared.select("doc", "seed", "place")
+    opened = written(shared.join(spans, within, "left_anti"), "open-seeds")
+    ahead = Window.partitionBy("doc").orderBy("place").rangeBetween(0, LEAST_WORDS - K + WINDOW)
+    stretches = shared.withColumn("ahead", F.collect_list(F.struct("place", "seed")).over(ahead)).where(F.size("ahead") > 1)
+    stretches = stretches.join(opened.select("seed").distinct(), "seed", "left_semi").join(opened.select("doc", "place", F.lit(True).alias("open")), ["doc", "place"], "left")
+    pairs = F.transform(F.slice("ahead", 2, LEAST_WORDS), lambda x: F.struct(F.xxhash64("seed", x["seed"]).alias("key"), x["place"].alias("other")))
+    whole = F.struct(F.xxhash64(F.transform("ahead", lambda x: F.struct(x["seed"], x["place"] - F.col("place")))).alias("key"), F.col("place").alias("other"))
+    keyed = stretches.select("doc", "place", "open", F.inline(F.concat(pairs, F.array(whole))))
+    homes = keyed.groupBy("key").agg(F.min(F.struct("doc", "place", "other")).alias("h"), F.max("doc").alias("last"), F.max("open").alias("any_open")).where("any_open AND h.doc < last").select("key", "h")
+    met = keyed.where("open").join(homes, "key").where("h.doc < doc")
+    both = F.array(F.struct("place", F.col("h.place").alias("home_place")), F.struct(F.col("other").alias("place"), F.col("h.other").alias("home_place")))
+    return met.select("doc", F.col("h.doc").alias("home"), F.inline(both)).distinct()
+
+
+def _matched(rows: DataFrame, matches: DataFrame) -> DataFrame:
+    """The passages of matches (doc, home, place, home_place)."""
+    return written(_aligned(rows, _chained(matches.where("doc <> home"))), "passages")
 
 
 def lengthened(one: list[np.ndarray], two: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -476,7 +446,6 @@ def _aligned(rows: DataFrame, found: DataFrame) -> DataFrame:
     two = words.select(F.col("doc").alias("home"), F.col("from").alias("home_start"), F.col("to").alias("home_stop"), "steady", F.struct("left", "inner", "right").alias("two"))
     both = found.join(one, ["doc", "start", "stop", "steady"]).join(two, ["home", "home_start", "home_stop", "steady"])
     both = both.select("doc", "home", "start", "stop", "home_start", "home_stop", "n_seeds", "steady", "places", "homes", *[F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in ("one", "two") for y in ("left", "inner", "right")])
-    names = ["doc_id", "start", "stop", "home_id", "home_start", "home_stop", "n_seeds", "edits", "similarity"]
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -497,6 +466,6 @@ def _aligned(rows: DataFrame, found: DataFrame) -> DataFrame:
                     if not any(w[0] <= v[0] and v[1] <= w[1] and w[2] <= v[2] and v[3] <= w[3] for w in kept):
                         kept.append(v)
                 out += [(doc, s, t, home, h, g, n, e, x) for s, t, h, g, n, e, x in kept]
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=NAMES)
 
     return both.mapInPandas(align, "doc_id long, start int, stop int, home_id long, home_start int, home_stop int, n_seeds int, edits int, similarity double").distinct()

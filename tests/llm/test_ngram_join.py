@@ -70,6 +70,21 @@ def test_empty_and_repeats(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 3), (True, 0), (True, 0)]
 
 
+def test_one_doc_id_with_several_texts(spark):
+    """Such a document links with whatever any of its texts links with; each row has the size of its own set."""
+    rows = near_copies(21, bases=5, copies=8)
+    rows += [(3, rows[12][1]), (3, rows[12][1] + " more"), (25, "a text of its own"), (38, rows[1][1])]
+    got = ngram_join.groups(spark.createDataFrame([(d, t, "en") for d, t in rows], SCHEMA)).collect()
+    alone = brute_force(list(enumerate(t for _, t in rows)))
+    label = {d: d for d, _ in rows}
+    owner = [d for d, _ in rows]
+    for i, (_, c) in alone.items():
+        low, high = sorted((label[owner[i]], label[owner[c]]))
+        label = {d: low if x == high else x for d, x in label.items()}
+    want = sorted((d, alone[i][0], label[d] if t else d) for i, (d, t) in enumerate(rows))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+
+
 def test_signatures_meet():
     """Linked sets share a signature, at the tightest sizes too."""
     import numpy as np

@@ -15,6 +15,22 @@ import tiktoken
 import corpus_pipeline
 from panelcast.llm import byte_bpe, exact_dedup, language_crf, license_scan, mixing, secret_scan
 
+def brute_force(rows):
+    """doc_id to (set size, smallest doc_id reached), by all pairs."""
+    sets = {}
+    for doc, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub(r"[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets[doc] = {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
+    label = {d: d for d in sets}
+    docs = sorted(sets)
+    for i, a in enumerate(docs):
+        for b in docs[i + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {d: low if x == high else x for d, x in label.items()}
+    return {d: (len(sets[d]), label[d]) for d in docs}
+
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string"
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -40,20 +56,67 @@ def small(n=160):
     return rows
 
 
+def taken_by_hand(rows, how=mixing.Mixture()):
+    """doc_id to copies: budgets filled down the tree node by node, then whole epochs and the longest prefix."""
+    weight = {"domain": lambda v: {"domain0": 4, "domain1": 3}.get(v, 2), "language": lambda v: {"en": 5, "": 1}.get(v, 3), "source": lambda v: 1 if v == "" else 2}
+    docs = [(d, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), f"domain{int((re.findall('[0-9]+', s or '') or [0])[0]) % 4}", lang or "", s or "") for d, t, lang, s in rows]
+    out = {}
+
+    def leaf(mine, given):
+        target, total = int(given + 1e-6), sum(d[1] for d in mine)
+        whole = target // total if total else 0
+        rest, so_far = target - whole * total, 0
+        for d in sorted(mine, key=lambda d: (hashlib.md5(f"{how.seed}:{whole}:{d[0]}".encode()).hexdigest(), d[0])):
+            so_far += d[1]
+            out[d[0]] = (whole + (so_far <= rest)) if target > 0 else 0
+
+    def fill(mine, level, given):
+        if level == 3:
+            return leaf(mine, given)
+        parts = {v: [d for d in mine if d[2 + level] == v] for v in sorted({d[2 + level] for d in mine})}
+        can = {v: how.max_epochs * sum(d[1] for d in p) for v, p in parts.items()}
+        w = {v: weight[["domain", "language", "source"][level]](v) for v in parts}
+        share, left, free = {}, given, set(parts)
+        while free:
+            short = [v for v in free if left * w[v] >= can[v] * sum(w[u] for u in free)]
+            if not short:
+                break
+            for v in short:
+                share[v] = can[v]
+            free -= set(short)
+            left = given - sum(share.values())
+        for v in free:
+            share[v] = left * w[v] / sum(w[u] for u in free)
+        for v, p in parts.items():
+            fill(p, level + 1, share[v])
+
+    fill(docs, 0, sum(d[1] for d in docs) * how.budget_per_mille // 1000)
+    return out
+
+
 def test_stages(spark, tmp_path):
     rows = small()
     frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    told = {r["doc_id"]: r for r in language_crf.identify(docs).collect()}
     one = corpus_pipeline.language(spark, docs, None)
-    assert one.columns == docs.columns and {r["doc_id"] for r in one.collect()} == {r[0] for r in rows if re.search(r"[^\W\d_]", r[1] or "")}
+    assert one.columns == docs.columns
+    want = {r[0]: r[2] or told[r[0]]["lang_pred"] for r in rows if told[r[0]]["lang_pred"] != "und" and told[r[0]]["score"] >= language_crf.LEAST_SCORE}
+    assert {r["doc_id"]: r["lang"] for r in one.collect()} == want and 161 in want and {162, 163, 164}.isdisjoint(want)
+    assert {r["doc_id"] for r in language_crf.determined(docs, least_score=1.1).collect()} == set()
     two = corpus_pipeline.exact(spark, docs, None)
     first = {}
     for r in rows:
         first.setdefault(re.sub(r"[\x20\x09-\x0d]+", " ", r[1] or ""), r[0])
     assert two.columns == docs.columns and sorted(r["doc_id"] for r in two.collect()) == sorted(first.values())
+    close = rows + [(300 + i, " ".join(r[1].split()) + " new", r[2], r[3]) for i, r in enumerate(rows[:40])]
+    three = corpus_pipeline.near(spark, frame(spark, close), None)
+    groups = brute_force([(r[0], r[1]) for r in close])
+    kept = {d for d, (_, least) in groups.items() if d == least}
+    assert three.columns == docs.columns and sorted(r["doc_id"] for r in three.collect()) == sorted(kept) and len(kept) < len(close) - 20
     four = corpus_pipeline.mix(spark, docs, None)
-    taken = {r["doc_id"]: r["copies"] for r in mixing.copies(docs).collect()}
-    assert four.columns == docs.columns and Counter(r["doc_id"] for r in four.collect()) == Counter({k: v for k, v in taken.items() if v})
+    assert four.columns == docs.columns and Counter(r["doc_id"] for r in four.collect()) == Counter({k: v for k, v in taken_by_hand(rows).items() if v})
+    assert corpus_pipeline.near(spark, frame(spark, []), None).collect() == [] and corpus_pipeline.language(spark, frame(spark, []), None).collect() == []
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     texts, enc = {r[0]: r[1] for r in rows}, encoding()
     assert out
@@ -62,6 +125,18 @@ def test_stages(spark, tmp_path):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest())
 
 
+def test_predictions_count(spark, tmp_path):
+    """A document without lang goes to the leaf of its predicted language, so another prediction changes what is taken."""
+    rows = [(i, t, None if i % 2 else lang, s) for i, t, lang, s in small(200)]
+    docs = frame(spark, rows)
+    kept = {r["doc_id"]: r for r in language_crf.determined(docs).collect()}
+    filled = [(i, r["text"], r["lang"], r["source"]) for i, r in kept.items()]
+    unfilled = [(i, t, rows[i][2], s) for i, t, _, s in filled]
+    assert all(r[2] for r in filled) and taken_by_hand(filled) != taken_by_hand(unfilled)
+    got = mixing.mixed(language_crf.determined(docs)).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter({k: v for k, v in taken_by_hand(filled).items() if v})
+
+
 def test_bpe(spark, monkeypatch):
     monkeypatch.setattr(byte_bpe, "BLOCK", 50)
     random.seed(9)
@@ -91,6 +166,22 @@ def test_forward_backward():
         assert np.allclose(got[s, :n], total / total.sum(axis=1, keepdims=True)) and not got[s, n:].any()
 
 
+def test_stretches_are_one_chain(monkeypatch):
+    """Texts over the length of a stretch equal unbroken forward-backward, in probabilities and expected counts."""
+    rng = np.random.default_rng(3)
+    words, moves = np.array([1, 7, 23, 4, 12]), rng.normal(size=(3, 3))
+    scores = rng.normal(size=(words.sum(), 3)) * 3
+    monkeypatch.setattr(language_crf, "STRETCH", 64)
+    whole = language_crf.Stretches.of(words)
+    want, counts = language_crf.forward_backward(whole.padded(scores), whole.lengths, moves, pairs=True)
+    monkeypatch.setattr(language_crf, "STRETCH", 4)
+    cut = language_crf.Stretches.of(words)
+    got, found = language_crf.forward_backward(cut.padded(scores), cut.lengths, moves, cut.number, pairs=True)
+    assert len(cut.lengths) == 1 + 2 + 6 + 1 + 3
+    assert np.allclose(got[cut.of_word, cut.place], want[whole.of_word, whole.place]) and np.allclose(found, counts)
+    assert np.isclose(found.sum(), (words - 1).sum())
+
+
 def test_languages(spark):
     got = {r["doc_id"]: r for r in language_crf.identify(frame(spark, small(500))).collect()}
     rows = {r[0]: r for r in small(500)}

@@ -27,6 +27,12 @@ def test_edits():
             at = random.randrange(len(b) + 1)
             b[at : at + random.randrange(2)] = [random.randrange(4)] * random.randrange(3)
         assert sc.edits(np.array(a, np.uint32), np.array(b, np.uint32)) == distance(a, b)
+    for _ in range(60):
+        a, b = ([random.randrange(5) for _ in range(random.randrange(20, 130))] for _ in range(2))
+        want, limit = distance(a, b), random.randrange(5, 80)
+        assert sc.edits(np.array(a, np.uint32), np.array(b, np.uint32)) == want
+        got = sc.edits(np.array(a, np.uint32), np.array(b, np.uint32), limit)
+        assert got == want if want <= limit else got > limit
 
 
 def test_chains_against_quadratic():
@@ -157,11 +163,57 @@ def test_homes_that_hold_parts_only(spark):
     assert {(r["doc_id"], r["home_id"]): (r["start"], r["stop"]) for r in got} == {(4, 3): (50, 100), (41, 40): (3, 43)}
 
 
-def test_bound():
-    random.seed(9)
-    one, two = ([np.array([random.randrange(1 << 32) % 900 for _ in range(random.randrange(40))], np.uint32) for _ in range(9)] for _ in range(2))
-    for i, j in np.ndindex(9, 9):
-        assert sc.bound(one, two)[i, j] >= sum(w in set(two[j].tolist()) for w in one[i].tolist())
+def test_decoys_before_a_passage(spark):
+    """Documents with each five words of a passage, or each ten, come first: the passage is found all the same."""
+    random.seed(12)
+    prose = lambda n: [f"w{random.randrange(50000)}" for _ in range(n)]
+    one, two = prose(120), prose(120)
+    texts = [prose(3) + one[i : i + 5] + prose(3) for i in range(116)] + [prose(3) + two[i : i + 14] + prose(3) for i in range(107)]
+    k = len(texts)
+    texts += [prose(20) + one + prose(9), prose(5) + one + prose(50), prose(20) + two + prose(9), prose(5) + two + prose(50)]
+    got = sc.passages(spark.createDataFrame([(i, " ".join(v), "", "") for i, v in enumerate(texts)], SCHEMA)).collect()
+    assert {(r["doc_id"], r["home_id"]) for r in got} == {(k + 1, k), (k + 3, k + 2)}
+
+
+def test_random_corpora_against_brute_force(spark):
+    """Every run of equal words that is long enough is in a reported passage of the later document, though sentences
+    that many documents share stand all around; and what is reported is a passage."""
+    random.seed(13)
+    prose = lambda n: [f"w{random.randrange(3000)}" for _ in range(n)]
+    common = [prose(random.randrange(8, 25)) for _ in range(12)]
+    passages = [prose(random.randrange(50, 90)) for _ in range(6)]
+    texts = []
+    for _ in range(90):
+        words = []
+        for _ in range(random.randrange(2, 7)):
+            words += prose(random.randrange(15)) + random.choice(common)
+            if random.random() < 0.25:
+                p = random.choice(passages)
+                words += p[random.randrange(12) : len(p) - random.randrange(12)]
+        texts.append(words)
+    got = sc.passages(spark.createDataFrame([(i, " ".join(v), "", "") for i, v in enumerate(texts)], SCHEMA)).collect()
+    for r in got:
+        one, two = texts[r["doc_id"]][r["start"] : r["stop"]], texts[r["home_id"]][r["home_start"] : r["home_stop"]]
+        assert min(len(one), len(two)) >= 30 and distance(one, two) == r["edits"] and r["edits"] <= 0.2 * max(len(one), len(two)) + 1e-9
+    certain = sc.LEAST_WORDS + 2 * (sc.K + sc.WINDOW)
+    seen, runs = {}, 0
+    for i, words in enumerate(texts):
+        mine = [(r["start"], r["stop"]) for r in got if r["doc_id"] == i]
+        for p in range(len(words) - certain + 1):
+            gram = tuple(words[p : p + certain])
+            if seen.setdefault(gram, i) != i:
+                runs += 1
+                assert any(min(b, p + certain) - max(a, p) >= 20 for a, b in mine)
+    assert runs > 100
+
+
+def test_one_doc_id_with_several_texts(spark):
+    random.seed(14)
+    prose = lambda n: " ".join(f"w{random.randrange(50000)}" for _ in range(n))
+    one, two = prose(60), prose(60)
+    rows = [(1, one), (1, two), (1, two), (5, prose(9) + " " + one), (6, two + " " + prose(9)), (7, None), (7, None)]
+    got = sc.passages(spark.createDataFrame([(d, t, "", "") for d, t in rows], SCHEMA)).collect()
+    assert {tuple(sorted((r["doc_id"], r["home_id"]))) for r in got} == {(1, 5), (1, 6)}
 
 
 def test_one_word_over_and_over(spark):

@@ -4,24 +4,32 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from panelcast.llm import suffix_dedup
 
 
+def covered(texts, size):
+    """Of each text, which bytes a string of that size covers that starts anywhere else too."""
+    seen = Counter(t[p : p + size] for t in texts for p in range(len(t) - size + 1))
+    out = []
+    for t in texts:
+        mine = [False] * len(t)
+        for p in range(len(t) - size + 1):
+            if seen[t[p : p + size]] > 1:
+                mine[p : p + size] = [True] * size
+        out.append(mine)
+    return out
+
+
 def brute_force(rows):
-    w = suffix_dedup.WINDOW
-    texts = [(d, (t or "").encode()) for d, t in rows]
-    seen = Counter(t[p : p + w] for _, t in texts for p in range(len(t) - w + 1))
+    texts = [(t or "").encode() for _, t in rows]
+    runs = lambda x: sum(g and (i == 0 or not x[i - 1]) for i, g in enumerate(x))
     out = []
-    for d, t in texts:
-        gone = [False] * len(t)
-        for p in range(len(t) - w + 1):
-            if seen[t[p : p + w]] > 1:
-                gone[p : p + w] = [True] * w
+    for (d, _), t, gone, seen in zip(rows, texts, covered(texts, suffix_dedup.WINDOW), covered(texts, suffix_dedup.SHORT)):
         kept = bytes(b for b, g in zip(t, gone) if not g)
-        runs = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
-        out.append((d, len(t), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
+        out.append((d, len(t), sum(gone), runs(gone), hashlib.sha256(kept).hexdigest(), sum(seen), runs(seen)))
     return sorted(out, key=str)
 
 
@@ -75,11 +83,19 @@ def test_many_surroundings(spark, monkeypatch):
     compare(spark, corpus(7))
 
 
-def test_edges(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
+def test_edges(spark):
     random.seed(3)
     long = "".join(random.choice("abcdefgh ") for _ in range(5000))
-    compare(spark, [(1, None), (2, ""), (3, "a" * 399), (4, "a" * 400), (5, "b" * 401), (6, "ab" * 450), (7, long), (8, long[700:2900] + "?"), (None, long[:500]), (9, "c" * 900 + "d"), (9, "c" * 900 + "d")])
+    compare(spark, [(1, None), (2, ""), (3, "a" * 399), (4, "a" * 400), (5, "b" * 401), (6, "ab" * 450), (7, long), (8, long[700:2900] + "?"), (None, long[:500]), (9, "c" * 900 + "d"), (9, "c" * 900 + "d"), (10, long[3000:3300] + "!" + long[3300:3700]), (11, "ü" + long[4700:])])
+
+
+def test_long_documents_in_pieces(monkeypatch):
+    random.seed(4)
+    data = np.frombuffer("".join(random.choice("abcd ") for _ in range(20_000)).encode(), np.uint8)
+    starts = np.array([0, len(data)])
+    want = suffix_dedup.occurrences_of(data, starts)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 2000)
+    assert all((x == y).all() for x, y in zip(suffix_dedup.occurrences_of(data, starts), want))
 
 
 def test_empty(spark):
