@@ -7,7 +7,8 @@ from panelcast.llm.common import table, written
 
 
 def language(spark, docs, sf_dir):
-    """Documents whose language the conditional random field can't tell (no letter, or no text) go."""
+    """Documents whose language the conditional random field can't tell (no letter, or a low score) go; what it tells
+    fills in a missing lang, by which a later stage mixes."""
     return language_crf.determined(docs)
 
 
