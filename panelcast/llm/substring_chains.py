@@ -12,9 +12,12 @@
    left on either side. Beyond the ends of a part, up to MARGIN words are aligned: it ends where words less five times
    the edits are most, or, if it is too short so, at the furthest equal words that leave it the similarity. Passages of
    LEAST_WORDS words or more with similarity of 0.8 or more are reported, once for each document, home and place.
-5. The first document with a seed may share no more than that seed. So seeds that lie in no reported passage get more
-   homes: the first document with the seed and another shared one within LEAST_WORDS words after it, for each such
-   pair, and the first with all shared seeds of such a stretch. These matches are chained and aligned as the others.
+   At first only chains are aligned that don't lie within another chain of their document: a near copy has its passage
+   with the first copy, and needs none with each of the others that some of its seeds occur in first.
+5. Seeds that then lie in no reported passage get more homes: their own, if it was left out so; and, since the first
+   document with a seed may share no more than that seed, the first document with it and another shared one within
+   LEAST_WORDS words after it, for each such pair, and the first with all shared seeds of such a stretch. These
+   matches are chained and aligned as the others.
 
 What is certain: a run of LEAST_WORDS + 2 * (K + WINDOW) equal words in two documents is reported for the later one, with a home
 that holds LEAST_WORDS words of it at least, whatever other documents hold parts of it: the first document with all
@@ -313,38 +316,39 @@ def passages(docs: DataFrame) -> DataFrame:
     by_seed = Window.partitionBy("seed")
     shared = seeds(rows).withColumn("h", F.min(F.struct("doc", "place")).over(by_seed)).withColumn("last", F.max("doc").over(by_seed)).where("h.doc < last").drop("last")
     shared = written(shared, "seed-matches")
-    found = _matched(rows, shared.select("doc", F.col("h.doc").alias("home"), "place", F.col("h.place").alias("home_place")))
-    more = written(_further(shared, found), "further-matches")
+    chained = _chained(shared.where("h.doc < doc").select("doc", F.col("h.doc").alias("home"), "place", F.col("h.place").alias("home_place")))
+    before = Window.partitionBy("doc").orderBy("start", F.desc("stop"), "home", "home_start").rowsBetween(Window.unboundedPreceding, -1)
+    chained = written(chained.withColumn("inner", F.coalesce(F.max("stop").over(before) >= F.col("stop"), F.lit(False))), "chains")
+    found = written(_aligned(rows, chained.where("NOT inner").drop("inner")), "passages")
+    more = written(_further(shared, found, chained.where("inner").select("doc", "home").distinct()), "further-matches")
     if not more.isEmpty():
-        found = found.unionByName(_matched(rows, more)).distinct()
+        found = found.unionByName(_aligned(rows, written(_chained(more), "chains"))).distinct()
     if several:
         for column in ("doc_id", "home_id"):
             found = found.join(names.select(F.col("key").alias(column), "name"), column, "left").withColumn(column, F.coalesce("name", column)).drop("name")
     return found.select(*NAMES)
 
 
-def _further(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc, home, place, home_place): for seeds in no reported passage of their document, the first document with the
-    seed and each shared seed in the stretch after it, and the first with all of them."""
+def _further(shared: DataFrame, found: DataFrame, left_out: DataFrame) -> DataFrame:
+    """(doc, home, place, home_place): for seeds in no reported passage of their document, their own home if it is
+    left_out (doc, home), the first document with the seed and each shared seed in the stretch after it, and the first
+    with all of them."""
     spans = found.select("doc_id", "start", "stop").distinct()
     within = (F.col("doc") == F.col("doc_id")) & (F.col("place") >= F.col("start")) & (F.col("place") + K <= F.col("stop"))
-    shared = shared.select("doc", "seed", "place")
-    opened = written(shared.join(spans, within, "left_anti"), "open-seeds")
+    # A seed's first document has no earlier one to be matched with; it is a home only.
+    opened = written(shared.where("h.doc < doc").join(spans, within, "left_anti"), "open-seeds")
+    marked = shared.select("doc", "seed", "place").join(opened.select("doc", "place", F.lit(True).alias("open")), ["doc", "place"], "left")
+    wanted = opened.select("seed", F.lit(True).alias("wanted")).distinct()
     ahead = Window.partitionBy("doc").orderBy("place").rangeBetween(0, LEAST_WORDS - K + WINDOW)
-    stretches = shared.withColumn("ahead", F.collect_list(F.struct("place", "seed")).over(ahead)).where(F.size("ahead") > 1)
-    stretches = stretches.join(opened.select("seed").distinct(), "seed", "left_semi").join(opened.select("doc", "place", F.lit(True).alias("open")), ["doc", "place"], "left")
+    stretches = marked.join(wanted, "seed", "left").withColumn("ahead", F.collect_list(F.struct("place", "seed")).over(ahead)).where("wanted AND size(ahead) > 1")
     pairs = F.transform(F.slice("ahead", 2, LEAST_WORDS), lambda x: F.struct(F.xxhash64("seed", x["seed"]).alias("key"), x["place"].alias("other")))
     whole = F.struct(F.xxhash64(F.transform("ahead", lambda x: F.struct(x["seed"], x["place"] - F.col("place")))).alias("key"), F.col("place").alias("other"))
-    keyed = stretches.select("doc", "place", "open", F.inline(F.concat(pairs, F.array(whole))))
+    keyed = written(stretches.select("doc", "place", "open", F.inline(F.concat(pairs, F.array(whole)))), "pairs-of-seeds")
     homes = keyed.groupBy("key").agg(F.min(F.struct("doc", "place", "other")).alias("h"), F.max("doc").alias("last"), F.max("open").alias("any_open")).where("any_open AND h.doc < last").select("key", "h")
     met = keyed.where("open").join(homes, "key").where("h.doc < doc")
     both = F.array(F.struct("place", F.col("h.place").alias("home_place")), F.struct(F.col("other").alias("place"), F.col("h.other").alias("home_place")))
-    return met.select("doc", F.col("h.doc").alias("home"), F.inline(both)).distinct()
-
-
-def _matched(rows: DataFrame, matches: DataFrame) -> DataFrame:
-    """The passages of matches (doc, home, place, home_place)."""
-    return written(_aligned(rows, _chained(matches.where("doc <> home"))), "passages")
+    own = opened.select("doc", F.col("h.doc").alias("home"), "place", F.col("h.place").alias("home_place")).join(left_out, ["doc", "home"], "left_semi")
+    return met.select("doc", F.col("h.doc").alias("home"), F.inline(both)).unionByName(own).distinct()
 
 
 def lengthened(one: list[np.ndarray], two: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -419,8 +423,7 @@ def _spans(cuts: list[tuple]) -> list[tuple | None]:
 
 
 def _aligned(rows: DataFrame, found: DataFrame) -> DataFrame:
-    # Of a steady chain only the margins at its ends are needed.
-    found = written(found.withColumn("chain", F.monotonically_increasing_id()), "numbered-chains")
+    """The passages of chains, which are written. Of a steady chain only the margins at its ends are needed."""
     low = lambda c: F.greatest(F.col(c) - MARGIN, F.lit(0))
     ends = lambda doc, a, b: found.select(F.col(doc).alias("doc"), low(a).alias("a"), (F.col(b) + MARGIN).alias("b"), "steady", F.col(a).alias("from"), F.col(b).alias("to"))
     wanted = ends("doc", "start", "stop").unionByName(ends("home", "home_start", "home_stop")).distinct()
