@@ -14,8 +14,8 @@ leftmost of equal ones). A WINDOW-byte string goes by the anchor of its first SH
    suffixes by their Lyndon prefixes, from the highest group down, along pointers to the previous smaller group, and
    then reads off each group's order: linear, and no renaming by recursion.
 4. An anchor with more than LARGE distinct surroundings is narrowed first: its windows are taken apart by where the
-   anchor lies in them, STEP places together, and the bytes that all windows of such a class share are a longer
-   anchor. Then 2 and 3 hold again. What still has more than LARGE distinct surroundings (they differ in the outermost
+   anchor lies in them, STEP places together, for either length by itself, and the bytes that all windows of such a
+   class share are a longer anchor. Then 2 and 3 hold again. What still has more than LARGE distinct surroundings (they differ in the outermost
    bytes only) goes another exact way: its windows, STEP at most for each, are counted by hash.
 
 Texts are UTF-8 bytes; matches don't cross documents; null text is empty. What is shorter than WINDOW bytes keeps all.
@@ -206,7 +206,7 @@ def repeated_windows(segments: list[tuple[bytes, int, int, int]]) -> dict[int, l
         fits = usable & (place + size <= np.array([len(s[0]) for s in segments])[k])
         last, before = (-1, -1), None
         for s, p in zip(k[fits].tolist(), place[fits].tolist()):
-            window = segments[s][0][p : p + size]
+            window = segments[s][3], segments[s][0][p : p + size]
             if window == before:
                 if last[0] >= 0:
                     mine[last[0]].append(last[1])
@@ -285,13 +285,15 @@ def _narrowed(segments: DataFrame) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for core, covered, alone, m, end, data in zip(*(batch[c] for c in ("core", "covered", "alone", "m", "last", "bytes"))):
-                for kind in range((m - end) // STEP, m // STEP + 1):
-                    first, last = max(0, m - (kind * STEP + STEP - 1)), min(end, m - kind * STEP)
-                    shared = data[m - kind * STEP : m - (kind * STEP + STEP - 1) + SHORT]
-                    own = data[first : last + WINDOW]
-                    tag = b"%d" % kind
-                    out.append((number(tag, shared), number(tag, b"%d %d" % (m - first, last - first), own), core, covered, alone, first, m - first, last - first, own))
+            for core, covered, alone, m, far, data in zip(*(batch[c] for c in ("core", "covered", "alone", "m", "last", "bytes"))):
+                for size in (SHORT, WINDOW):
+                    end = min(far, len(data) - size)
+                    for kind in range((m - end) // STEP, m // STEP + 1) if end >= 0 else ():
+                        first, last = max(0, m - (kind * STEP + STEP - 1)), min(end, m - kind * STEP)
+                        shared = data[max(0, m - kind * STEP) : m - (kind * STEP + STEP - 1) + size]
+                        own = data[first : last + size]
+                        tag = b"%d %d %d" % (core, size, kind)
+                        out.append((number(tag, shared), number(tag, b"%d %d" % (m - first, last - first), own), core, covered, alone, first, m - first, last - first, own))
             yield pd.DataFrame(out, columns=["core", "covered", "from_core", "from_covered", "from_alone", "place", "m", "last", "bytes"])
 
     return segments.mapInPandas(work, schema)
@@ -332,10 +334,9 @@ def _windows(segments: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for core, covered, alone, last, data in zip(*(batch[c] for c in ("core", "covered", "alone", "last", "bytes"))):
+                size = len(data) - last
                 for p in range(last + 1):  # STEP at most
-                    for size in (SHORT, WINDOW):
-                        if p + size <= len(data):
-                            out.append((core, covered, alone, p, size == WINDOW, hashlib.blake2b(data[p : p + size], digest_size=16).digest()))
+                    out.append((core, covered, alone, p, size == WINDOW, hashlib.blake2b(data[p : p + size], digest_size=16).digest()))
             yield pd.DataFrame(out, columns=["core", "covered", "alone", "place", "long", "hash"])
 
     return segments.mapInPandas(work, schema)
