@@ -83,14 +83,13 @@ def unscaled_roundtrip(spark, d):
     return rounded(preprocess.unscale(preprocess.scale(p, state, ["ret"]), state, ["ret"]))
 
 
-#: The vocabulary is fitted on a third of the assets and some kinds, so that others are unseen.
 VOCAB = f"""SELECT "column", token_key, split_part(token_key, '::', 1) AS value_type, split_part(token_key, '::', 2) AS value, row_number() OVER (PARTITION BY "column" ORDER BY token_key) + 1 AS token_id FROM (
-  SELECT DISTINCT 'kind' AS "column", 'str::' || kind AS token_key FROM ({U}) AS p WHERE asset_id % 3 = 0 AND kind < 'p'
-  UNION SELECT DISTINCT 'asset_id', 'int::' || asset_id FROM ({U}) AS p WHERE asset_id % 3 = 0 AND kind < 'p') AS k"""
+  SELECT DISTINCT 'kind' AS "column", 'str::' || kind AS token_key FROM ({U}) AS p WHERE kind IS NOT NULL
+  UNION SELECT DISTINCT 'asset_id', 'int::' || asset_id FROM ({U}) AS p) AS k"""
 
 
 def _vocabulary(p):
-    return preprocess.fit_vocabulary(p.where("asset_id % 3 = 0 AND kind < 'p'"), ["kind", "asset_id"])
+    return preprocess.fit_vocabulary(p, ["kind", "asset_id"])
 
 
 @query(VOCAB)
