@@ -2,17 +2,23 @@
 
 The trees are grown on a bounded sample (`sample_rows` rows with the smallest hash of vec_id); every row is then put
 into its leaf of every tree, whatever the size of the table. For inner products, each vector gets one more component
-that makes all equally long; queries have 0 there. A query walks all trees through one shared priority queue, nearest
-side first, until the leaves it has reached hold `share` times as many vectors as the table (with repeats from several
-trees), and `candidates` at least. Vectors without any structure need a share near 1 for a recall over 0.9 (measured:
-0.95 at 51,282 random directions in 64 dimensions); clustered ones need far less. Leaves and the queries that reached them are
-joined by (tree, leaf); each pair of blocks scores its candidates exactly, in double precision on the original
+that makes all equally long; queries have 0 there. A query walks all trees through one shared priority queue, by the
+squared distances to the planes that it is on the wrong side of, until the leaves it has reached hold `enough` vectors
+(with repeats from several trees).
+
+How many are enough is measured: of `probes` sampled rows the exact k nearest are found among all rows (one pass over
+the table with these as a broadcast query set), and `enough` is the least number with which the walk reaches `recall`
+of them. So clustered vectors are searched in a few leaves, and vectors without any structure, where no index helps, in
+most of them.
+
+Neighbouring leaves of a tree are dealt together in cells of about `block` rows, and a query goes once to each cell that
+holds leaves it has reached. Each pair of blocks scores the query's leaves exactly, in double precision on the original
 vectors, and gives at most k a query. The best k of those, after repeats from several trees are dropped, are the
 result.
 
-A leaf may hold any number of equal vectors: leaves and the queries at a leaf are dealt into blocks of `block` rows,
-by counts that are taken first. Counts of leaves are the only thing gathered besides the sample; the sample bounds
-their number.
+A leaf may hold any number of equal vectors: large leaves and the queries at a cell are dealt into blocks of `block`
+rows, by counts that are taken first. Counts of leaves are the only thing gathered besides the sample and the probes'
+neighbours; the sample bounds their number.
 
 Rows with a null vec_id, and vectors that are null, empty, zero, or hold null or non-finite components, take no part,
 nor do vectors of another length than the most frequent one (of equally frequent ones, the longest). Rows that repeat
@@ -29,6 +35,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import written
@@ -37,11 +44,11 @@ from .common import written
 @dataclass(frozen=True)
 class Settings:
     k: int = 20
-    trees: int = 6
-    leaf_rows: int = 512
+    trees: int = 4
+    leaf_rows: int = 128
     sample_rows: int = 20_000
-    share: float = 1.15
-    candidates: int = 6_000
+    recall: float = 0.95
+    probes: int = 200
     block: int = 8_192
     seed: int = 7
 
@@ -51,8 +58,9 @@ class Forest:
 
     def __init__(self, sample: np.ndarray, how: Settings):
         rng = np.random.default_rng(how.seed)
-        self.normals, self.offsets, self.children, self.roots, self.leaves = [], [], [], [], 0
+        self.normals, self.offsets, self.children, self.roots, self.leaves, self.first_leaves = [], [], [], [], 0, []
         for _ in range(how.trees):
+            self.first_leaves.append(self.leaves)
             self.roots.append(self._grow(sample, np.arange(len(sample)), how, rng))
         width = sample.shape[1]
         self.normals = np.array(self.normals).reshape(-1, width)
@@ -108,14 +116,12 @@ class Forest:
             out[:, t] = -1 - at
         return out
 
-    def search(self, x: np.ndarray, counts: list[int], enough: int) -> list[list[int]]:
-        """The leaves that each query reaches, by one priority queue over all trees."""
+    def walks(self, x: np.ndarray, counts: list[int], enough: float) -> Iterator[list[int]]:
+        """The leaves that each query reaches, in that order, by one priority queue over all trees."""
         children = self.children.tolist()
-        out = []
         for some in np.array_split(x, max(1, len(x) // 512)):
-            margins = some @ self.normals.T + self.offsets
-            for margin in margins:
-                queue = [(-np.inf, root) for root in self.roots]
+            for margin in some @ self.normals.T + self.offsets:
+                queue = [(0.0, root) for root in self.roots]
                 heapq.heapify(queue)
                 margin, found, total = margin.tolist(), [], 0
                 while queue and total < enough:
@@ -125,16 +131,18 @@ class Forest:
                         total += counts[-1 - node]
                         continue
                     left, right = children[node]
-                    heapq.heappush(queue, (max(far, -margin[node]), left))
-                    heapq.heappush(queue, (max(far, margin[node]), right))
-                out.append(found)
-        return out
+                    away = margin[node] * margin[node]
+                    on_left = margin[node] > 0
+                    heapq.heappush(queue, (far if on_left else far + away, left))
+                    heapq.heappush(queue, (far + away if on_left else far, right))
+                yield found
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding array<double> of the rows that take part."""
+    """vec_id and embedding of the rows that take part, array<float> if it is that and else array<double>."""
     e = F.col("embedding")
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
+    single = isinstance(vectors.schema["embedding"].dataType, T.ArrayType) and isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & e.isNotNull() & finite & F.exists(e, lambda x: x != 0.0))
     sizes = rows.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows"))
@@ -146,10 +154,22 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column])
 
 
-def best_of(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
-    """The k best of rows for each query, by exact score and then id: positions, ids and scores."""
+def best_of(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, wanted: list | None = None, leaves: np.ndarray | None = None):
+    """The k best of rows for each query, by exact score and then id: positions, ids and scores. With wanted (the leaves
+    of each query), of the rows in these leaves only; rows are then in order of leaves."""
     for start in range(0, len(queries), 256):
-        rough = queries[start : start + 256] @ rows.T
+        some = queries[start : start + 256]
+        if wanted is None:
+            rough = some @ rows.T
+        else:
+            rough = np.full((len(some), len(rows)), -np.inf)
+            asking: dict[int, list[int]] = {}
+            for i, own in enumerate(wanted[start : start + 256]):
+                for leaf in own:
+                    asking.setdefault(int(leaf), []).append(i)
+            for leaf, who in asking.items():
+                a, b = np.searchsorted(leaves, [leaf, leaf + 1])
+                rough[who, a:b] = some[who] @ rows[a:b].T
         for i, scores in enumerate(rough, start):
             scores[ids == query_ids[i]] = -np.inf
             n = min(k, len(ids) - 1)
@@ -161,11 +181,50 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: n
             yield i, ids[chosen[order]], exact[order]
 
 
+def _enough(placed: DataFrame, probes: np.ndarray, probe_ids: np.ndarray, forest: Forest, counts: list[int], how: Settings) -> float:
+    """The least number of vectors (with repeats) after which the walks of the probes have reached `recall` of their
+    exact neighbours among all rows."""
+    shared = placed.sparkSession.sparkContext.broadcast((probes, probe_ids))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        queries, query_ids = shared.value
+        for batch in batches:
+            if len(batch):
+                ids, leaves, out = batch["vec_id"].to_numpy(), batch["leaves"].to_numpy(), []
+                at = pd.Series(np.arange(len(ids)), ids)
+                for i, best, exact in best_of(queries, query_ids, _matrix(batch["embedding"]), ids, how.k):
+                    out.append(pd.DataFrame({"probe": i, "vec_id": best, "score": exact, "leaves": list(leaves[at[best].to_numpy()])}))
+                yield pd.concat(out)
+
+    near = placed.mapInPandas(scan, "probe int, vec_id long, score double, leaves array<int>")
+    rank = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "vec_id"))
+    near = near.withColumn("rank", rank).where(F.col("rank") <= how.k).select("probe", "leaves").toPandas()
+    sizes, needs = np.array(counts), []
+    for i, walk in enumerate(forest.walks(np.column_stack([probes, np.zeros(len(probes))]), counts, np.inf)):
+        reached = np.full(len(sizes), np.inf)
+        reached[walk] = np.cumsum(sizes[walk])
+        needs += [reached[leaves].min() for leaves in near.loc[near["probe"] == i, "leaves"]]
+    least = how.trees * (how.k + 1)
+    return max(least, sorted(needs)[-(-int(how.recall * 1000) * len(needs) // 1000) - 1]) if needs else least
+
+
+def _cells(counts: list[int], forest: Forest, block: int) -> list[int]:
+    """The cell of each leaf: neighbouring leaves of one tree up to `block` rows; a larger leaf is a cell by itself."""
+    firsts, cell, held, out = set(forest.first_leaves), -1, 0, []
+    for leaf, n in enumerate(counts):
+        if leaf in firsts or held + n > block:
+            cell, held = cell + 1, 0
+        held += n
+        out.append(cell)
+    return out
+
+
 def neighbours(vectors: DataFrame, is_query, how: Settings = Settings()) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which is_query (a column of vec_id) holds."""
     spark = vectors.sparkSession
     rows = written(usable(vectors), "vectors")
-    longest = rows.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()["m"]
+    kind = rows.schema["embedding"].dataType.simpleString()
+    longest = rows.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("m")).first()["m"]
     if longest is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(how.sample_rows).toPandas()
@@ -183,35 +242,50 @@ def neighbours(vectors: DataFrame, is_query, how: Settings = Settings()) -> Data
                 batch["leaves"] = list(forest.value.leaves_of(level(_matrix(batch["embedding"]))).astype(np.int32))
                 yield batch[["vec_id", "embedding", "leaves"]]
 
-    placed = written(rows.mapInPandas(place, "vec_id long, embedding array<double>, leaves array<int>"), "placed").select("vec_id", "embedding", F.explode("leaves").alias("leaf"))
-    sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    counts = spark.sparkContext.broadcast([sizes.get(i, 0) for i in range(forest.value.leaves)])
-    enough = max(how.candidates, int(how.share * sum(sizes.values()) / how.trees))
+    placed = written(rows.mapInPandas(place, f"vec_id long, embedding {kind}, leaves array<int>"), "placed")
+    sizes = {r["leaf"]: r["n"] for r in placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    counts = [sizes.get(i, 0) for i in range(forest.value.leaves)]
+    enough = _enough(placed, grown[: how.probes], sample["vec_id"].to_numpy()[: how.probes], forest.value, counts, how)
+    cell_of = _cells(counts, forest.value, how.block)
+    shared = spark.sparkContext.broadcast((counts, np.array(cell_of, np.int32)))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                x = _matrix(batch["embedding"])
-                batch["leaves"] = forest.value.search(np.column_stack([x, np.zeros(len(x))]), counts.value, enough)
-                yield batch
-
-    asked = written(rows.where(is_query).mapInPandas(walk, "vec_id long, embedding array<double>, leaves array<int>"), "walked").select("vec_id", "embedding", F.explode("leaves").alias("leaf"))
-    per_leaf = asked.groupBy("leaf").agg(F.count("*").alias("queries")).join(placed.groupBy("leaf").agg(F.count("*").alias("rows")), "leaf")
-    per_leaf = written(per_leaf.select("leaf", F.ceil(F.col("queries") / how.block).cast("int").alias("query_blocks"), F.ceil(F.col("rows") / how.block).cast("int").alias("row_blocks")), "leaf-blocks")
+            for low in range(0, len(batch), 512):
+                some = batch.iloc[low : low + 512]
+                x = _matrix(some["embedding"])
+                which, cells, wanted = [], [], []
+                for i, found in enumerate(forest.value.walks(np.column_stack([x, np.zeros(len(x))]), shared.value[0], enough)):
+                    leaves = np.sort(np.array(found, np.int32))
+                    own, at = np.unique(shared.value[1][leaves], return_index=True)
+                    which += [i] * len(own)
+                    cells += own.tolist()
+                    wanted += np.split(leaves, at[1:])
+                yield pd.DataFrame({"cell": np.array(cells, np.int32), "vec_id": some["vec_id"].to_numpy()[which], "embedding": some["embedding"].to_numpy()[which], "wanted": wanted})
+
+    asked = written(rows.where(is_query).mapInPandas(walk, f"cell int, vec_id long, embedding {kind}, wanted array<int>"), "walked")
+    queries_of = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    rows_of: dict[int, int] = {}
+    for leaf, cell in enumerate(cell_of):
+        rows_of[cell] = rows_of.get(cell, 0) + counts[leaf]
+    blocks = [(leaf, cell, -(-queries_of[cell] // how.block), -(-rows_of[cell] // how.block)) for leaf, cell in enumerate(cell_of) if cell in queries_of and counts[leaf]]
+    of_leaf = F.broadcast(spark.createDataFrame(blocks, "leaf int, cell int, query_blocks int, row_blocks int"))  # the sample bounds the leaves
+    of_cell = F.broadcast(spark.createDataFrame(sorted({b[1:] for b in blocks}), "cell int, query_blocks int, row_blocks int"))
     own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(F.broadcast(per_leaf), "leaf").select("leaf", own("query_blocks").alias("q"), each("row_blocks").alias("r"), "vec_id", "embedding")
-    right = placed.join(F.broadcast(per_leaf), "leaf").select("leaf", own("row_blocks").alias("r"), each("query_blocks").alias("q"), "vec_id", "embedding")
+    left = asked.join(of_cell, "cell").select("cell", own("query_blocks").alias("q"), each("row_blocks").alias("r"), "vec_id", "embedding", "wanted")
+    right = placed.select("vec_id", "embedding", F.explode("leaves").alias("leaf")).join(of_leaf, "leaf").select("cell", "leaf", own("row_blocks").alias("r"), each("query_blocks").alias("q"), "vec_id", "embedding")
 
     def score(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(candidates):
-            query_ids = queries["vec_id"].to_numpy()
-            for i, ids, exact in best_of(_matrix(queries["embedding"]), query_ids, _matrix(candidates["embedding"]), candidates["vec_id"].to_numpy(), how.k):
-                out.append(pd.DataFrame({"query_id": query_ids[i], "vec_id": ids, "score": exact}))
+            query_ids, candidates = queries["vec_id"].to_numpy(), candidates.sort_values("leaf")
+            leaves, ids = candidates["leaf"].to_numpy(), candidates["vec_id"].to_numpy()
+            for i, best, exact in best_of(_matrix(queries["embedding"]), query_ids, _matrix(candidates["embedding"]), ids, how.k, list(queries["wanted"]), leaves):
+                out.append(pd.DataFrame({"query_id": query_ids[i], "vec_id": best, "score": exact}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
-    keys = ["leaf", "q", "r"]
+    keys = ["cell", "q", "r"]
     scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score double")
     once = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -35,7 +35,7 @@ def test_recall(spark, scaled):
         x = (x * rng.uniform(0.2, 3, size=(3000, 1))).astype(np.float32).astype(float)
     ids = np.arange(3000)
     want = exact(x, ids)
-    how = rp_forest.Settings(leaf_rows=128, candidates=1000, share=1.0, block=70)
+    how = rp_forest.Settings(leaf_rows=64, block=700)
     got = found(rp_forest.neighbours(spark.createDataFrame([(int(i), v.tolist(), 0) for i, v in zip(ids, x)], SCHEMA), F.col("vec_id") % 20 == 0, how))
     assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
     assert np.mean([len({a for a, _ in got[q]} & {a for a, _ in want[q]}) / 20 for q in want]) >= 0.9
@@ -43,6 +43,18 @@ def test_recall(spark, scaled):
     assert all(scores[q].get(i, s) == pytest.approx(s, abs=1e-12) for q, v in got.items() for i, s in v)
 
 
+def test_clustered_vectors_need_few_leaves(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(60, 32))[rng.integers(0, 60, 4000)] + 0.15 * rng.normal(size=(4000, 32))).astype(np.float32).astype(float)
+    ids, seen = np.arange(4000), []
+    inner = rp_forest._enough
+    monkeypatch.setattr(rp_forest, "_enough", lambda *a: seen.append(inner(*a)) or seen[-1])
+    got = found(rp_forest.neighbours(spark.createDataFrame([(int(i), v.tolist(), 0) for i, v in zip(ids, x)], SCHEMA), F.col("vec_id") % 20 == 0, rp_forest.Settings(leaf_rows=32, sample_rows=2000)))
+    want = exact(x, ids)
+    assert np.mean([len({a for a, _ in got[q]} & {a for a, _ in want[q]}) / 20 for q in want]) >= 0.9
+    assert seen[0] < 0.4 * 4000  # with repeats: a tenth of the table in each of four trees
+
+
 def test_small_tables_are_exact_with_ties(spark):
     rows = [(i, [1.0, 0.0], 0) for i in range(30)] + [(100 + i, [0.5, float(i)], 0) for i in range(5)]
     bad = [(40, None, 0), (60, [0.0, 0.0], 0), (80, [1.0, None], 0), (120, [float("nan"), 1.0], 0), (None, [1.0, 1.0], 0), (140, [float("inf"), 1.0], 0), (160, [], 0), (180, [1.0], 0), (20, [1.0, 0.0], 0)]
