@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Pieces whose encoding a worker remembers, and the longest of them in characters.
 MEMO, MEMO_CHARS = 400_000, 64
 #: Characters of text that a batch sent back to Spark holds, about.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 #: Pieces of one text that are encoded at once.
 BLOCK = 100_000
 
@@ -208,6 +210,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
                 kept = [c.slice(a, b - a) for i, c in enumerate(batch.columns) if i != place]
                 yield pa.RecordBatch.from_arrays([*kept, ids], names=[*rest, "ids"])
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(work, schema)
 
 

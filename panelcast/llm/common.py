@@ -29,6 +29,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+BATCH_SETTING, BATCH_SIZE = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get texts in batches of BATCH_SIZE bytes, so that what a task holds outside the heap follows its
+    longest text and not thousands of rows. Spark's default of 64 MB is replaced in this session, any other kept."""
+    if spark.conf.get(BATCH_SETTING, None) in ("64MB", f"{64 << 20}b", str(64 << 20)):
+        spark.conf.set(BATCH_SETTING, f"{BATCH_SIZE}b")
+
+
 #: Shuffle files of a query go when it has ended, where this version of Spark can do that.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -32,6 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 STRETCH = 64
 #: Feature weights are kept in a table of this many places, by hash.
 PLACES = 1 << 16
@@ -281,6 +283,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     schema = "doc_id long, lang_pred string, score double"
     if model is None:
         return columns.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -311,6 +314,7 @@ def determined(docs: DataFrame, how: Training = Training(), least_score: float =
     model = train(docs, how)
     if model is None:
         return docs.where(F.regexp_like(F.coalesce(F.col("text"), F.lit("")), F.lit(r"\p{L}")))
+    small_batches(docs.sparkSession)
     shared, text_at, lang_at, schema = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), docs.columns.index("lang"), docs.schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import mix, pieces, shingle_hashes, utf8, word_hashes
-from .common import written
+from .common import small_batches, written
 from .graph import components
 
 WORDS = 3
@@ -259,6 +259,7 @@ def _large_links(members: DataFrame, stars: DataFrame, texts: DataFrame) -> Data
 
 def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each row of docs with its class, and (node, component) of the classes that link."""
+    small_batches(docs.sparkSession)
     every = written(set_table(docs), "sets")
     sets = every.drop("signatures")
     # Equal sets have equal signatures, so any one's will do: the arrays are dealt by class once, at every size.

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import small_batches, written
 
 
 @dataclass(frozen=True)
@@ -193,8 +193,10 @@ def _enough(placed: DataFrame, probes: np.ndarray, probe_ids: np.ndarray, forest
                 ids, leaves, out = batch["vec_id"].to_numpy(), batch["leaves"].to_numpy(), []
                 at = pd.Series(np.arange(len(ids)), ids)
                 for i, best, exact in best_of(queries, query_ids, _matrix(batch["embedding"]), ids, how.k):
-                    out.append(pd.DataFrame({"probe": i, "vec_id": best, "score": exact, "leaves": list(leaves[at[best].to_numpy()])}))
-                yield pd.concat(out)
+                    if len(best):
+                        out.append(pd.DataFrame({"probe": i, "vec_id": best, "score": exact, "leaves": list(leaves[at[best].to_numpy()])}))
+                if out:
+                    yield pd.concat(out)
 
     near = placed.mapInPandas(scan, "probe int, vec_id long, score double, leaves array<int>")
     rank = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "vec_id"))
@@ -222,6 +224,7 @@ def _cells(counts: list[int], forest: Forest, block: int) -> list[int]:
 def neighbours(vectors: DataFrame, is_query, how: Settings = Settings()) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which is_query (a column of vec_id) holds."""
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = written(usable(vectors), "vectors")
     kind = rows.schema["embedding"].dataType.simpleString()
     longest = rows.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("m")).first()["m"]

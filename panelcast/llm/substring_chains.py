@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytehash import pieces, shingle_hashes, utf8, word_hashes
-from .common import written
+from .common import small_batches, written
 
 K, WINDOW = 5, 4
 #: What a seed adds to a chain, and the cost of a word of gap (on either side).
@@ -305,6 +305,7 @@ REQUESTS = 1_000
 
 def passages(docs: DataFrame) -> DataFrame:
     """doc_id, start, stop, home_id, home_start, home_stop (words, stop exclusive), n_seeds, edits and similarity."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc IS NOT NULL")
     repeated = rows.groupBy("doc").count().where("count > 1").select("doc")
     several = not repeated.limit(1).isEmpty()

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import Substrings, mix, pieces, utf8
-from .common import written
+from .common import small_batches, written
 
 WINDOW, SHORT, CORE = 400, 256, 128
 #: Distinct surroundings of one anchor that are suffix-sorted together; places that a narrowed class spans.
@@ -345,6 +345,7 @@ def _windows(segments: DataFrame) -> DataFrame:
 def spans(docs: DataFrame) -> DataFrame:
     """(id, sum, spans): of each document with repeated bytes, array<struct<start, end, long>> that may overlap; long
     ones are covered by repeated strings of WINDOW bytes, the others by ones of SHORT bytes."""
+    small_batches(docs.sparkSession)
     keyed = _keyed(docs)
     every = written(occurrences(keyed), "occurrences")
     cores = written(every.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "anchors")
