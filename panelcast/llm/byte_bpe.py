@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import small_batches
 
 #: Pieces whose encoding a worker remembers, and the longest of them in characters.
-MEMO, MEMO_CHARS = 400_000, 64
+MEMO, MEMO_CHARS = 150_000, 64
 #: Characters of text that a batch sent back to Spark holds, about.
 BATCH_CHARS = 1_000_000
 #: Pieces of one text that are encoded at once.
@@ -192,8 +192,8 @@ def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """docs without `text`, with ids array<int>."""
+def _encoding(docs: DataFrame, path: str, pattern: str, text: str):
+    """The schema of docs with ids in place of text, and the function of batches that makes it."""
     rest = [c for c in docs.columns if c != text]
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
     place = docs.columns.index(text)
@@ -210,15 +210,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
                 kept = [c.slice(a, b - a) for i, c in enumerate(batch.columns) if i != place]
                 yield pa.RecordBatch.from_arrays([*kept, ids], names=[*rest, "ids"])
 
-    small_batches(docs.sparkSession)
-    return docs.mapInArrow(work, schema)
+    return schema, work
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded (with ids) and the bytes they stand for as decoded binary; an unknown id fails."""
-    names = encoded.columns
-    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType(), False)])
-    place = names.index("ids")
+def _decoding(schema: T.StructType, path: str):
+    """The schema with decoded beside ids, and the function of batches that makes it."""
+    if "decoded" in schema.names:
+        raise ValueError("there is a column named decoded already")
+    place = schema.names.index("ids")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = _tokens(path).__getitem__
@@ -228,15 +227,35 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             for a, b in _slices(np.diff(ends) * 4):
                 values = lists.values.slice(ends[a], ends[b] - ends[a]).to_numpy().tolist()
                 texts = [b"".join(map(token, values[ends[i] - ends[a] : ends[i + 1] - ends[a]])) for i in range(a, b)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(texts, pa.binary())], names=[*names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(texts, pa.binary())], names=[*schema.names, "decoded"])
 
+    return T.StructType([*schema.fields, T.StructField("decoded", T.BinaryType(), False)]), work
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """docs without `text`, with ids array<int>. A column named ids already there fails."""
+    if "ids" in docs.columns:
+        raise ValueError("there is a column named ids already")
+    small_batches(docs.sparkSession)
+    schema, work = _encoding(docs, path, pattern, text)
+    return docs.mapInArrow(work, schema)
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """encoded (with ids) and the bytes they stand for as decoded binary; an unknown id fails, and so does a column
+    named decoded already there."""
+    schema, work = _decoding(encoded.schema, path)
     return encoded.mapInArrow(work, schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 of the ids joined by commas, and decoded_sha256 of what they decode to."""
-    both = decode(encode(docs.select("doc_id", "text"), path, pattern), path)
-    return both.select(
+    """doc_id, n_tokens, ids_sha256 of the ids joined by commas, and decoded_sha256 of what they decode to. Both ways
+    run in one Python worker for each task."""
+    small_batches(docs.sparkSession)
+    rows = docs.select("doc_id", "text")
+    middle, there = _encoding(rows, path, pattern, "text")
+    schema, back = _decoding(middle, path)
+    return rows.mapInArrow(lambda batches: back(there(batches)), schema).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

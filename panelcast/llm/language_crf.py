@@ -38,8 +38,8 @@ STRETCH = 64
 #: Feature weights are kept in a table of this many places, by hash.
 PLACES = 1 << 16
 #: Characters that are labelled at once, and words that a worker remembers.
-BATCH_CHARS = 500_000
-MEMO = 200_000
+BATCH_CHARS = 300_000
+MEMO = 80_000
 UNDETERMINED = "und"
 #: Documents whose words have a lower probability of the best language, on average, are rejected by determined().
 LEAST_SCORE = 0.5

@@ -146,6 +146,14 @@ def test_bpe(spark, monkeypatch):
     enc = encoding()
     for i, t in enumerate(texts):
         assert back[i]["ids"] == enc.encode_ordinary(t or "") and bytes(back[i]["decoded"]) == (t or "").encode() and back[i]["kept"] == "x"
+    digests = {r["doc_id"]: r for r in byte_bpe.digests(docs, PATH, public_tokenizers.PATTERN).collect()}
+    assert all(r["ids_sha256"] == hashlib.sha256(",".join(map(str, back[i]["ids"])).encode()).hexdigest() and r["n_tokens"] == len(back[i]["ids"]) and r["decoded_sha256"] == hashlib.sha256((texts[i] or "").encode()).hexdigest() for i, r in digests.items())
+    clash = docs.withColumnRenamed("kept", "ids")
+    with pytest.raises(ValueError):
+        byte_bpe.encode(clash, PATH, public_tokenizers.PATTERN)
+    with pytest.raises(ValueError):
+        byte_bpe.decode(byte_bpe.encode(docs.withColumnRenamed("kept", "decoded"), PATH, public_tokenizers.PATTERN), PATH)
+    assert byte_bpe.digests(clash, PATH, public_tokenizers.PATTERN).count() == len(texts)
     assert byte_bpe.digests(frame(spark, []), PATH, public_tokenizers.PATTERN).collect() == []
 
 
