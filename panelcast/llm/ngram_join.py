@@ -41,7 +41,7 @@ from .graph import components
 
 WORDS = 3
 #: Documents of a cluster that one task searches at once.
-BLOCK = 800
+BLOCK = 1_500
 #: Elements that are merged with a heap; more are counted into an array.
 HEAP = 256
 BATCH_BYTES = 1 << 19
