@@ -2,8 +2,8 @@
 
 1. Seeds: of each WINDOW neighbouring shingles of K words, the one with the smallest hash. Two texts that share a run
    of WINDOW + K - 1 words share a seed there. About one seed for each two and a half words.
-2. Seeds of one document only go. Each other occurrence is joined with the seed's home, its first occurrence
-   (smallest doc_id, then place): a star, so a passage in very many documents makes no pairs among them.
+2. Seeds of one document only go. Each other occurrence is joined with the seed's home, its first
+   document (smallest doc_id): a star, so a passage in very many documents makes no pairs among them.
 3. The matches of a document and a home document are chained: from the left, a Fenwick tree over the home's places
    gives the best chain that ends before a match in both texts, at a cost for the gap between them. Chains are read
    off from the best one down.
@@ -315,7 +315,13 @@ def passages(docs: DataFrame) -> DataFrame:
         rows = rows.join(repeated, "doc", "left_anti").unionByName(own)
     # By windows, so that the many seeds that occur once are shuffled once and never written.
     by_seed = Window.partitionBy("seed")
-    shared = seeds(rows).withColumn("h", F.min(F.struct("doc", "place")).over(by_seed)).withColumn("last", F.max("doc").over(by_seed)).where("h.doc < last").drop("last")
+    shared = seeds(rows).withColumn("first", F.min("doc").over(by_seed)).withColumn("last", F.max("doc").over(by_seed)).where("first < last")
+    # A document's first occurrence meets the home's first, its second the second, and so on: a text that says the same
+    # over and over has one chain with another such text.
+    nth = F.row_number().over(Window.partitionBy("seed", "doc").orderBy("place"))
+    there = F.sort_array(F.collect_list(F.when(F.col("doc") == F.col("first"), F.col("place"))).over(by_seed))
+    shared = shared.withColumn("nth", nth).withColumn("there", there)
+    shared = shared.select("doc", "seed", "place", F.struct(F.col("first").alias("doc"), F.element_at("there", F.least("nth", F.size("there"))).alias("place")).alias("h"))
     shared = written(shared, "seed-matches")
     chained = _chained(shared.where("h.doc < doc").select("doc", F.col("h.doc").alias("home"), "place", F.col("h.place").alias("home_place")))
     before = Window.partitionBy("doc").orderBy("start", F.desc("stop"), "home", "home_start").rowsBetween(Window.unboundedPreceding, -1)
