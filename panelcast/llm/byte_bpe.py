@@ -28,8 +28,9 @@ from pyspark.sql import types as T
 
 from .common import small_batches
 
-#: Pieces whose encoding a worker remembers, and the longest of them in characters.
-MEMO, MEMO_CHARS = 150_000, 64
+#: Pieces whose encoding a worker remembers, and the longest of them in characters; pairs of tokens it remembers. All are
+#: dropped when full: they save time only, and a worker outlives its task.
+MEMO, MEMO_CHARS, PAIRS = 60_000, 64, 100_000
 #: Characters of text that a batch sent back to Spark holds, about.
 BATCH_CHARS = 1_000_000
 #: Pieces of one text that are encoded at once.
@@ -104,7 +105,7 @@ class Vocabulary:
         key = left << 32 | right
         known = self.memo.get(key)
         if known is None:
-            if len(self.memo) > 2_000_000:
+            if len(self.memo) >= PAIRS:
                 self.memo.clear()
             known = self.memo[key] = self._together(left, right)
         return known
