@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_crf, license_scan, mixing, ngram_join, rp_forest, secret_scan, substring_chains, suffix_dedup
+from . import byte_bpe, centroids, decontamination, divergence, exact_dedup, language_crf, license_scan, mixing, ngram_join, rp_forest, secret_scan, substring_chains, suffix_dedup
 from .common import table
 
 
@@ -51,5 +51,17 @@ def op10_rp_forest(spark, sf_dir):
     return rp_forest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_chains, op2_suffix_dedup, op3_ngram_jaccard, op4_mixing, op5_byte_bpe, op6_exact_dedup, op7_license_scan, op8_secret_scan, op9_language_crf, op10_rp_forest)}
-ORACLE_SQL = {"op4_mixing": mixing.SQL, "op6_exact_dedup": exact_dedup.SQL, "op7_license_scan": license_scan.SQL, "op8_secret_scan": secret_scan.SQL}
+def op11_eenns_clusters(spark, sf_dir):
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark, sf_dir):
+    return decontamination.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_chains, op2_suffix_dedup, op3_ngram_jaccard, op4_mixing, op5_byte_bpe, op6_exact_dedup, op7_license_scan, op8_secret_scan, op9_language_crf, op10_rp_forest, op11_eenns_clusters, op12_source_divergence, op13_decontamination)}
+ORACLE_SQL = {"op4_mixing": mixing.SQL, "op6_exact_dedup": exact_dedup.SQL, "op7_license_scan": license_scan.SQL, "op8_secret_scan": secret_scan.SQL, "op11_eenns_clusters": centroids.SQL, "op12_source_divergence": divergence.SQL, "op13_decontamination": decontamination.SQL}
