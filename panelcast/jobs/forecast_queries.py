@@ -7,13 +7,13 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import gaussian
-from ..operators import ensemble, evaluate, portfolio, signal, splits, tuning, windows
+from ..operators import calendar, ensemble, evaluate, portfolio, signal, splits, tuning, windows
 from ..operators.contracts import Roles
-from ..operators.forecast import AR1, UnconditionalMean, run_forecaster
-from ..operators.garch import Garch11
+from ..operators.forecast import AR1, UnconditionalMean, forecaster, run_forecaster
+from ..operators.garch import Garch11, neighbourhood
 from ..sources.fixtures import panel, predictions
 from .common import oracle, panel_sql, predictions_sql, rounded
-from .panel_queries import _windows_sql
+from .panel_queries import _windows_sql, bags_sql
 
 N, S, E, U = (panel_sql(n) for n in ("nation_day", "segment_day", "event_hour", "user_day"))
 PN, PU = predictions_sql("nation_day"), predictions_sql("user_day")
@@ -75,6 +75,55 @@ def forecast_garch(spark, d):
     return rounded(run_forecaster(Garch11(), *_hours(spark, d)))
 
 
+#: Parameters from simple statistics of the training hours; returns in per cent.
+GARCH = f"""SELECT asset_id, avg(100 * ret) AS mu, 0.1 * var_pop(100 * ret) AS omega, 0.1 AS alpha, 0.8 AS beta, var_pop(100 * ret) AS start
+  FROM ({E}) AS p WHERE date < TIMESTAMP '2024-01-24' AND ret IS NOT NULL GROUP BY 1 HAVING count(*) >= 60"""
+
+
+def _variances_sql(rows: str, keys: str, carried: str) -> str:
+    """Rows (keys, carried, date, y, n from 1) with the variance v just before each, by recursion."""
+    joined = " AND ".join(f"s.{k.strip()} = r.{k.strip()}" for k in keys.split(","))
+    columns = ", ".join(f"r.{k.strip()}" for k in f"{keys}, {carried}".split(","))
+    return f"""WITH RECURSIVE r AS ({rows}),
+      s AS (SELECT {columns}, r.date, r.y, r.n, r.start AS v FROM r WHERE n = 1
+            UNION ALL SELECT {columns}, r.date, r.y, r.n, CASE WHEN s.y IS NULL THEN s.v ELSE r.omega + r.alpha * (s.y - r.mu) ** 2 + r.beta * s.v END FROM s JOIN r ON {joined} AND r.n = s.n + 1)
+      SELECT * FROM s"""
+
+
+def _moments(train):
+    """The parameters that GARCH states."""
+    known = train.where("ret IS NOT NULL").groupBy("asset_id").agg(F.avg(100 * F.col("ret")).alias("mu"), F.var_pop(100 * F.col("ret")).alias("start"), F.count("*").alias("n")).where("n >= 60")
+    return known.select("asset_id", "mu", (0.1 * F.col("start")).alias("omega"), F.lit(0.1).alias("alpha"), F.lit(0.8).alias("beta"), F.col("start").alias("variance"), "start")
+
+
+@query(f"""SELECT date AS forecast_start_date, date AS forecast_end_date, asset_id, mu / 100 AS mu, sqrt(v) / 100 AS sigma FROM (
+  {_variances_sql(f"SELECT p.asset_id, date, 100 * ret AS y, row_number() OVER (PARTITION BY p.asset_id ORDER BY date) AS n, mu, omega, alpha, beta, start FROM ({E}) AS p JOIN ({GARCH}) AS g USING (asset_id)", "asset_id", "mu, omega, alpha, beta")}) AS w""", "mu", "sigma")
+def garch_roll(spark, d):
+    train, _ = _hours(spark, d)
+    return rounded(Garch11().predict(panel(spark, d, "event_hour").select("asset_id", "date", "ret"), _moments(train)))
+
+
+SHAPES = [(a, b) for a in (0.05, 0.15, 0.3) for b in (0.2, 0.5, 0.65)]
+_SHAPES = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(SHAPES))
+
+
+@query(f"""SELECT asset_id, max(n) AS n, max(l) AS best_of_grid, TRUE AS not_below_grid, TRUE AS not_below_neighbours FROM (
+  SELECT asset_id, k, count(*) AS n, sum(-0.5 * (ln(2 * pi()) + ln(greatest(v, 1e-12)) + (y - mu) ** 2 / greatest(v, 1e-12))) AS l FROM (
+    {_variances_sql(f"SELECT p.asset_id, k, date, 100 * ret AS y, row_number() OVER (PARTITION BY p.asset_id, k ORDER BY date) AS n, mu, start * (1 - a - b) AS omega, a AS alpha, b AS beta, start FROM ({E}) AS p JOIN ({GARCH}) AS g USING (asset_id) CROSS JOIN (VALUES {_SHAPES}) AS c(k, a, b) WHERE date < TIMESTAMP '2024-01-24' AND ret IS NOT NULL", "asset_id, k", "mu, omega, alpha, beta")}) AS w GROUP BY 1, 2) AS t GROUP BY 1""", "best_of_grid")
+def garch_optimality(spark, d):
+    """The fit's likelihood against that of a grid over alpha and beta, and of steps of 2 % away from the fit."""
+    train, _ = _hours(spark, d)
+    model = Garch11()
+    shapes = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(SHAPES)])
+    simple = _moments(train).select("asset_id", "mu", "start", F.inline(shapes)).select("asset_id", "k", "mu", (F.col("start") * (1 - F.col("a") - F.col("b"))).alias("omega"), F.col("a").alias("alpha"), F.col("b").alias("beta"), "start")
+    grid = model.log_likelihood(train, simple, by=["k"]).groupBy("asset_id").agg(F.max("n").alias("n"), F.max("log_likelihood").alias("best_of_grid"))
+    around = model.log_likelihood(train, neighbourhood(model.fit(train).drop("variance")), by=["candidate"])
+    fitted = around.groupBy("asset_id").agg(F.max(F.when(F.col("candidate") == 0, F.col("log_likelihood"))).alias("fit"), F.max(F.when(F.col("candidate") > 0, F.col("log_likelihood"))).alias("near"))
+    close = 1e-5  # of a log likelihood; the search stops at such differences
+    out = grid.join(fitted, "asset_id", "left")
+    return rounded(out.select("asset_id", "n", "best_of_grid", (F.col("fit") >= F.col("best_of_grid") - close).alias("not_below_grid"), (F.col("fit") >= F.col("near") - close).alias("not_below_neighbours")))
+
+
 def _measured(spark, d):
     """Two models on one panel, stacked and joined with the realized values once."""
     train, test = _split(spark, d)
@@ -135,6 +184,21 @@ def ewma_vol(spark, d):
     return rounded(evaluate.ewma_vol(panel(spark, d, "event_hour").select("asset_id", "date", "ret")).select("asset_id", "date", "ewma_vol"))
 
 
+#: Every user on every day: null where the user had no event, or no return.
+GRID = f"SELECT asset_id, date, ret FROM (SELECT DISTINCT asset_id FROM ({U}) AS p) AS a CROSS JOIN (SELECT DISTINCT date FROM ({U}) AS p) AS d LEFT JOIN ({U}) AS u USING (asset_id, date)"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT asset_id, date, ret, row_number() OVER (PARTITION BY asset_id ORDER BY date) AS n FROM ({GRID}) AS p),
+  s AS (SELECT asset_id, date, n, ret * ret AS v, CAST(0 AS BIGINT) AS gap FROM r WHERE n = 1
+        UNION ALL SELECT r.asset_id, r.date, r.n, CASE WHEN s.v IS NULL THEN r.ret * r.ret WHEN r.ret IS NULL THEN s.v ELSE (0.9 ** (s.gap + 1) * s.v + 0.1 * r.ret * r.ret) / (0.9 ** (s.gap + 1) + 0.1) END,
+          CASE WHEN r.ret IS NULL THEN s.gap + 1 ELSE 0 END FROM s JOIN r ON r.asset_id = s.asset_id AND r.n = s.n + 1)
+  SELECT asset_id, date, sqrt(v) AS ewma_vol FROM s""", "ewma_vol")
+def ewma_vol_gaps(spark, d):
+    p = panel(spark, d, "user_day").select("asset_id", "date", "ret")
+    whole = calendar.reindex(p, p.select(F.col("date").alias("session")).distinct())
+    return rounded(evaluate.ewma_vol(whole, 0.9).select("asset_id", "date", "ewma_vol"))
+
+
 @query(f"SELECT asset_id, forecast_start_date, mu - sigma AS lower_1s, mu + sigma AS upper_1s, mu - 2 * sigma AS lower_2s, mu + 2 * sigma AS upper_2s FROM ({PN}) AS p", "lower_1s", "upper_1s", "lower_2s", "upper_2s")
 def forecast_bands(spark, d):
     return rounded(evaluate.bands(predictions(spark, d, "nation_day")).select("asset_id", "forecast_start_date", "lower_1s", "upper_1s", "lower_2s", "upper_2s"))
@@ -251,11 +315,41 @@ def best_trial(spark, d):
     return rounded(ensemble.best_trial(_losses(spark, d).select(F.col("estimator").alias("trial_number"), F.col("oob_loss").alias("value")), "maximize"))
 
 
-@query()
-def bagged_ar1(spark, d):
+def _bagged_sql(fit: str, mu: str) -> str:
+    """Twelve estimators fitted on draws of 0.8 of the hours, the best eight by NLL on the others, as one Gaussian."""
+    return f"""WITH p AS (SELECT asset_id, date, ret, last_value(ret IGNORE NULLS) OVER (PARTITION BY asset_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM ({E}) AS e),
+  b AS ({bags_sql(E, 12, 0.8, 5)}), i AS (SELECT estimator, asset_id, date, ret FROM p JOIN b USING (date) WHERE bag = 'in'), f AS ({fit}),
+  m AS (SELECT estimator, asset_id, date, ret, {mu} AS mu, sd FROM p JOIN f USING (asset_id) WHERE {mu} IS NOT NULL AND sd > 0),
+  l AS (SELECT estimator, avg((ret - mu) ** 2 / (sd * sd) + ln(sd * sd)) AS loss FROM m JOIN b USING (estimator, date) WHERE bag = 'oob' AND ret IS NOT NULL GROUP BY 1),
+  k AS (SELECT estimator FROM (SELECT DISTINCT estimator FROM b) AS e LEFT JOIN l USING (estimator) ORDER BY loss NULLS LAST, estimator LIMIT 8)
+  SELECT asset_id, date AS forecast_start_date, date AS forecast_end_date, avg(mu) AS mu, sqrt(avg(sd * sd) + var_pop(mu)) AS sigma, count(*) AS n_members FROM m WHERE estimator IN (SELECT estimator FROM k) GROUP BY 1, 2"""
+
+
+BAGGED_AR1 = """SELECT estimator, asset_id, regr_slope(y, x) AS phi, regr_intercept(y, x) AS const,
+  sqrt(greatest(0, var_pop(CASE WHEN x IS NOT NULL THEN y END) - regr_slope(y, x) * covar_pop(y, x))) AS sd
+  FROM (SELECT estimator, asset_id, ret AS y, lag(ret) OVER (PARTITION BY estimator, asset_id ORDER BY date) AS x FROM i WHERE ret IS NOT NULL) AS l GROUP BY 1, 2"""
+
+
+def _bag(spark, d, model: str):
     p = panel(spark, d, "event_hour").select("asset_id", "date", "ret")
     bags = splits.bootstrap_dates(splits.date_index(p), 12, 0.8, seed=5)
-    return rounded(ensemble.bag_ar1(p, bags, 8)[2])
+    return ensemble.bag(p, bags, forecaster(model, gaussian=True, carry=False), 8)[2]
+
+
+@query(_bagged_sql(BAGGED_AR1, "const + phi * prev"), "mu", "sigma")
+def bagged_ar1(spark, d):
+    return rounded(_bag(spark, d, "ar1"))
+
+
+@query(_bagged_sql("SELECT estimator, asset_id, avg(ret) AS mean, stddev_pop(ret) AS sd FROM i GROUP BY 1, 2", "mean"), "mu", "sigma")
+def bagged_mean(spark, d):
+    return rounded(_bag(spark, d, "unconditional_mean"))
+
+
+@query()
+def bagged_garch(spark, d):
+    """Fits by likelihood have no SQL; tests hold each member against a direct fit."""
+    return rounded(_bag(spark, d, "garch"))
 
 
 SPACE = {"window": [5, 20, 60], "shrink": [0.0, 0.5]}

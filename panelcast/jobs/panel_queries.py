@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import calendar, contracts, ensemble, preprocess, splits, windows
+from ..operators import calendar, contracts, ensemble, preprocess, splits, tuning, windows
 from ..operators.contracts import Roles
 from ..sources.fixtures import panel
 from .common import oracle, panel_sql, rounded, sessions_sql
@@ -134,12 +134,12 @@ def _cells(w):
     return x.select("asset_id", "forecast_start_date", "forecast_end_date", "position", F.col("c.x_ret").alias("x"), F.col("c.x_ret_mask").alias("observed"), "y_first", "y_last", "n_y")
 
 
-def _windows_sql(source: str, in_steps: int, horizon: int, out_steps: int, next_step: bool = False) -> str:
+def _windows_sql(source: str, in_steps: int, horizon: int, out_steps: int, next_step: bool = False, by: str = "") -> str:
     length = in_steps + 1 if next_step else in_steps + horizon + out_steps - 1
     y0, ny = (1, in_steps) if next_step else (in_steps + horizon - 1, out_steps)
     start = y0 + ny if next_step else y0 + 1
-    return f"""SELECT asset_id, ds[{start}] AS forecast_start_date, ds[{y0 + ny}] AS forecast_end_date, rs[1:{in_steps}] AS x, rs[{y0 + 1}:{y0 + ny}] AS y FROM (
-      SELECT asset_id, list(date) OVER w AS ds, list(ret) OVER w AS rs FROM ({source}) AS p WINDOW w AS (PARTITION BY asset_id ORDER BY date ROWS BETWEEN CURRENT ROW AND {length - 1} FOLLOWING)) AS f WHERE len(ds) = {length}"""
+    return f"""SELECT {by} asset_id, ds[{start}] AS forecast_start_date, ds[{y0 + ny}] AS forecast_end_date, rs[1:{in_steps}] AS x, rs[{y0 + 1}:{y0 + ny}] AS y FROM (
+      SELECT {by} asset_id, list(date) OVER w AS ds, list(ret) OVER w AS rs FROM ({source}) AS p WINDOW w AS (PARTITION BY {by} asset_id ORDER BY date ROWS BETWEEN CURRENT ROW AND {length - 1} FOLLOWING)) AS f WHERE len(ds) = {length}"""
 
 
 def _cells_sql(w: str) -> str:
@@ -217,6 +217,20 @@ def fold_scalers(spark, d):
     return rounded(preprocess.fit_scaler(rows, ["ret"], by=["fold", "split"]))
 
 
+#: Windows inside each slice of each fold, on the scale of the fold's training rows.
+SLICES = f"""WITH f AS ({EXPANDING}), r AS (SELECT fold, split, asset_id, date, ret FROM ({S}) AS p JOIN f USING (date)),
+  s AS (SELECT fold, asset_id, avg(ret) AS m, CASE WHEN var_pop(ret) = 0 THEN 1 ELSE sqrt(var_pop(ret)) END AS s FROM r WHERE split = 'train' GROUP BY 1, 2)
+  SELECT fold, split, asset_id, date, (ret - m) / s AS ret FROM r JOIN s USING (fold, asset_id)"""
+
+
+@query(f"SELECT fold, split, asset_id, forecast_start_date, forecast_end_date, list_sum(x) AS x_sum, x[1] AS x_first, y[1] AS y FROM ({_windows_sql(SLICES, 10, 2, 1, by='fold, split,')}) AS w", "x_sum", "x_first", "y")
+def fold_windows(spark, d):
+    p = panel(spark, d, "segment_day")
+    w = splits.fold_windows(p, splits.expanding(splits.date_index(p), 4), ROLES, 10, 2, scaled=["ret"])
+    total = F.when(F.exists("x_ret", lambda v: v.isNotNull()), F.aggregate("x_ret", F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0))))
+    return rounded(w.select("fold", "split", "asset_id", "forecast_start_date", "forecast_end_date", total.alias("x_sum"), F.get("x_ret", F.lit(0)).alias("x_first"), F.get("y", F.lit(0)).alias("y")))
+
+
 @query(f"SELECT asset_id, date, max(ret) AS ret, CASE WHEN date <= DATE '1999-12-31' THEN 'train' ELSE 'val' END AS part FROM ({N}) AS p GROUP BY 1, 2", "ret")
 def train_val_union(spark, d):
     p = panel(spark, d, "nation_day").select("asset_id", "date", "ret")
@@ -225,11 +239,41 @@ def train_val_union(spark, d):
     return rounded(preprocess.train_then_val(train, val))
 
 
-@query()
+def _hash_sql(seed: int, kind: str, *parts: str) -> str:
+    return f"CAST('0x' || substr(md5('{seed}:{kind}:' || {" || ':' || ".join(parts)}), 1, 15) AS BIGINT)"
+
+
+def bags_sql(source: str, estimators: int, fraction: float, seed: int) -> str:
+    """(estimator, date, bag) of date draws with replacement."""
+    return f"""SELECT e.estimator, q.date, CASE WHEN x.i IS NULL THEN 'oob' ELSE 'in' END AS bag
+      FROM (SELECT CAST(unnest(range({estimators})) AS INTEGER) AS estimator) AS e CROSS JOIN (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM ({source}) AS p) AS u) AS q
+      LEFT JOIN (SELECT DISTINCT estimator, {_hash_sql(seed, 'date', 'estimator', 'draw')} % n AS i
+        FROM (SELECT estimator, n, unnest(range(1, greatest(1, CAST(round_even(n * {fraction}, 0) AS BIGINT)) + 1)) AS draw
+          FROM (SELECT CAST(unnest(range({estimators})) AS INTEGER) AS estimator) AS k CROSS JOIN (SELECT count(DISTINCT date) AS n FROM ({source}) AS p) AS c) AS d) AS x ON x.estimator = e.estimator AND x.i = q.i"""
+
+
+def subspace_sql(source: str, estimators: int, fraction: float, seed: int) -> str:
+    """(estimator, asset_id) of asset draws without replacement."""
+    return f"""SELECT estimator, asset_id FROM (SELECT estimator, asset_id, n, row_number() OVER (PARTITION BY estimator ORDER BY {_hash_sql(seed, 'asset', 'estimator', 'asset_id')}, asset_id) AS r
+      FROM (SELECT CAST(unnest(range({estimators})) AS INTEGER) AS estimator) AS k CROSS JOIN (SELECT asset_id, count(*) OVER () AS n FROM (SELECT DISTINCT asset_id FROM ({source}) AS p) AS u) AS a) AS t
+      WHERE r <= greatest(1, CAST(round_even(n * {fraction}, 0) AS BIGINT))"""
+
+
+BAG_SCALER = "SELECT estimator, asset_id, 'ret' AS feature, avg(ret) AS mean, var_pop(ret) AS variance, CASE WHEN var_pop(ret) = 0 THEN 1 ELSE sqrt(var_pop(ret)) END AS scale FROM ({rows}) AS r GROUP BY 1, 2"
+
+
+@query(f"SELECT estimator, date, bag FROM ({bags_sql('SELECT CAST(o_orderdate AS DATE) AS date FROM orders', 8, 0.8, 3)}) AS b")
 def bag_membership(spark, d):
     return splits.bootstrap_dates(_dates(spark, d), 8, 0.8, seed=3)
 
 
+#: A trial for each hundred dates, picked by hashes.
+@query(f"SELECT id AS trial_number, [8, 16, 32, 64][{_hash_sql(11, 'trial', 'id', chr(39) + 'width' + chr(39))} % 4 + 1] AS width, ['sum', 'mean'][{_hash_sql(11, 'trial', 'id', chr(39) + 'pool' + chr(39))} % 2 + 1] AS pool, n_dates FROM (SELECT unnest(range(n_dates // 100)) AS id, n_dates FROM (SELECT count(*) AS n_dates FROM ({DATES}) AS q) AS c) AS t")
+def random_trials(spark, d):
+    n = _dates(spark, d).count()
+    return tuning.random_trials(spark, {"width": [8, 16, 32, 64], "pool": ["sum", "mean"]}, n // 100, seed=11).withColumn("n_dates", F.lit(n).cast("long"))
+
+
 @query(f"SELECT estimator, date FROM (SELECT unnest(range(2)) AS estimator) AS e CROSS JOIN ({DATES}) AS q WHERE i % 2 <> estimator")
 def out_of_bag_dates(spark, d):
     dates = _dates(spark, d)
@@ -237,19 +281,20 @@ def out_of_bag_dates(spark, d):
     return splits.out_of_bag(dates, bags, 2)
 
 
-@query()
+@query(subspace_sql(N, 8, 0.5, 3))
 def bag_assets(spark, d):
     return splits.asset_subspace(panel(spark, d, "nation_day"), 8, 0.5, seed=3)
 
 
-@query()
+@query(BAG_SCALER.format(rows=f"SELECT estimator, asset_id, ret FROM ({S}) AS p JOIN ({bags_sql(S, 6, 0.8, 3)}) AS b USING (date) JOIN ({subspace_sql(S, 6, 0.6, 3)}) AS a USING (estimator, asset_id) WHERE bag = 'in'"), "mean", "variance", "scale")
 def bag_scaler(spark, d):
     p = panel(spark, d, "segment_day")
     bags = splits.bootstrap_dates(splits.date_index(p), 6, 0.8, seed=3)
     return rounded(ensemble.bag_scalers(p, bags, ["ret"], splits.asset_subspace(p, 6, 0.6, seed=3)))
 
 
-@query()
+@query(f"""WITH b AS ({bags_sql(S, 6, 0.8, 3)}), s AS ({BAG_SCALER.format(rows=f"SELECT estimator, asset_id, ret FROM ({S}) AS p JOIN b USING (date) WHERE bag = 'in'")})
+  SELECT estimator, bag, asset_id, count(*) AS n_windows, avg((y[1] - mean) / scale) AS mean_y FROM ({SMALL}) AS w JOIN b ON b.date = forecast_start_date JOIN s USING (estimator, asset_id) GROUP BY 1, 2, 3""", "mean_y")
 def bag_windows(spark, d):
     p = panel(spark, d, "segment_day")
     bags = splits.bootstrap_dates(splits.date_index(p), 6, 0.8, seed=3)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from . import preprocess
 from .contracts import ContractError
-from .forecast import AR1, Columns
+from .forecast import AR1, Columns, Forecaster
 
 KEYS = ["asset_id", "forecast_start_date"]
 
@@ -60,9 +60,9 @@ def best_trial(trials: DataFrame, direction: str = "minimize", value: str = "val
 
 def bag_scalers(panel: DataFrame, bags: DataFrame, columns, assets: DataFrame | None = None, id: str = "asset_id", date: str = "date") -> DataFrame:
     """Scaler state by (estimator, id, feature), on each estimator's in-bag dates and assets; fails if all are empty."""
-    rows = panel.join(F.broadcast(bags.where("bag = 'in'").select("estimator", date)), date)
+    rows = panel.join(bags.where("bag = 'in'").select("estimator", date), date)
     if assets is not None:
-        rows = rows.join(F.broadcast(assets), ["estimator", id], "left_semi")
+        rows = rows.join(assets, ["estimator", id], "left_semi")
     state = preprocess.fit_scaler(rows, columns, id, by=["estimator"])
     if state.isEmpty():
         raise ContractError("no rows in any bag")
@@ -71,29 +71,32 @@ def bag_scalers(panel: DataFrame, bags: DataFrame, columns, assets: DataFrame |
 
 def bag_windows(windows: DataFrame, bags: DataFrame, assets: DataFrame | None = None, id: str = "asset_id", date: str = "date") -> DataFrame:
     """Windows with each (estimator, bag) that their forecast date is in."""
-    out = windows.join(F.broadcast(bags.withColumnRenamed(date, "forecast_start_date")), "forecast_start_date")
-    return out if assets is None else out.join(F.broadcast(assets), ["estimator", id], "left_semi")
-
-
-def bag_ar1(panel: DataFrame, bags: DataFrame, keep: int, mode: str = "mean", columns: Columns = Columns()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Bagged Gaussian AR(1): each estimator is fitted on its in-bag dates; its loss is the mean NLL on the others;
-    the best `keep` are aggregated over the whole panel. Returns (losses, survivors, ensemble predictions). One plan
-    keyed by (estimator, id) instead of a loop over estimators."""
-    c = columns
-    model = AR1(Columns("__key", c.date, c.target), gaussian=True)
-    key = F.struct(F.col("estimator"), F.col(c.id).alias("id")).alias("__key")
-    rows = panel.join(F.broadcast(bags), c.date).select(key, c.date, c.target, "bag")
-    params = model.fit(rows.where("bag = 'in'"))
-    # Each value's predecessor is the panel's, so windows over the panel run once, before the estimators multiply it.
-    before = Window.partitionBy(c.id).orderBy(c.date).rowsBetween(Window.unboundedPreceding, -1)
-    known = panel.select(c.id, c.date, c.target, F.last(c.target, ignorenulls=True).over(before).alias("__before"))
-    flat = params.select(F.col("__key.estimator").alias("estimator"), F.col("__key.id").alias(c.id), "const", "phi", "residual_sd")
-    members = known.join(flat, c.id).select("estimator", F.col(c.id).alias("asset_id"), F.col(c.date).alias("forecast_start_date"), F.col(c.date).alias("forecast_end_date"), F.col(c.target).alias("target"), (F.col("const") + F.col("phi") * F.col("__before")).alias("mu"), F.col("residual_sd").alias("sigma"))
-    members = members.where("mu IS NOT NULL AND sigma > 0")
-    out = members.join(F.broadcast(bags.where("bag = 'oob'").select("estimator", F.col(c.date).alias("forecast_start_date"))), ["estimator", "forecast_start_date"]).where("target IS NOT NULL")
+    out = windows.join(bags.withColumnRenamed(date, "forecast_start_date"), "forecast_start_date")
+    return out if assets is None else out.join(assets, ["estimator", id], "left_semi")
+
+
+def bag(panel: DataFrame, bags: DataFrame, model: Forecaster, keep: int, mode: str = "mean", assets: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Bagging of any forecaster with a sigma: each estimator is fitted on its in-bag dates (and assets, if given); its
+    loss is the mean NLL (without constants) on its other dates; the best `keep` are aggregated over the whole panel.
+    Returns (losses, survivors, ensemble predictions). One plan keyed by (estimator, id), no loop over estimators. The
+    model should not carry training values into its forecasts, since the panel holds the training dates themselves."""
+    c = model.columns
+    own = panel.select(c.id, c.date, c.target)
+    inside = own.join(bags.where("bag = 'in'").select("estimator", c.date), c.date)
+    if assets is not None:
+        inside = inside.join(assets.select("estimator", c.id), ["estimator", c.id], "left_semi")
+    members = model.predict(own, model.fit(inside, by=["estimator"]), by=["estimator"]).where("mu IS NOT NULL AND sigma > 0")
+    outside = bags.where("bag = 'oob'").select("estimator", F.col(c.date).alias("forecast_start_date"))
+    truth = own.where(F.col(c.target).isNotNull()).select(F.col(c.id).alias("asset_id"), F.col(c.date).alias("forecast_start_date"), F.col(c.target).cast("double").alias("target"))
     r = F.col("target") - F.col("mu")
     nll = r * r / (F.col("sigma") * F.col("sigma")) + F.log(F.col("sigma") * F.col("sigma"))
-    losses = bags.select("estimator").distinct().join(out.groupBy("estimator").agg(F.avg(nll).alias("oob_loss")), "estimator", "left")
+    measured = members.join(outside, ["estimator", "forecast_start_date"]).join(truth, KEYS).groupBy("estimator").agg(F.avg(nll).alias("oob_loss"))
+    losses = bags.select("estimator").distinct().join(measured, "estimator", "left")
     survivors = prune(losses, keep)
-    kept = members.join(F.broadcast(survivors.select("estimator")), "estimator", "left_semi")
+    kept = members.join(F.broadcast(survivors.select("estimator")), "estimator", "left_semi")  # `keep` rows
     return losses, survivors, aggregate_gaussians(kept, mode)
+
+
+def bag_ar1(panel: DataFrame, bags: DataFrame, keep: int, mode: str = "mean", columns: Columns = Columns()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """bag of a Gaussian AR(1)."""
+    return bag(panel, bags, AR1(columns, gaussian=True, carry=False), keep, mode)

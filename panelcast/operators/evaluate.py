@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import gaussian
 from .contracts import ContractError
+from .recurrence import ROWS, Recursion, scan
 
 KEYS = ["asset_id", "forecast_start_date"]
 LEVELS = (0.50, 0.60, 0.6827, 0.80, 0.90, 0.9545, 0.99)
@@ -108,33 +106,52 @@ def realized_vol(panel: DataFrame, window: int = 20, target: str = "ret", id: st
     return panel.withColumn("vol", F.when(F.count(y).over(w) >= 2, F.sqrt(F.avg(y * y).over(w))))
 
 
-def ewma_vol(panel: DataFrame, decay: float = 0.94, target: str = "ret", id: str = "asset_id", date: str = "date") -> DataFrame:
-    """Recursive exponentially weighted volatility: s = (old weight x s + (1 - decay) y^2) / (sum of both), where the
-    old weight decays with each row, also over gaps, which keep the value. A pass over each id's rows in order; state
-    is carried from batch to batch."""
+def _weighted(decay: float) -> Recursion:
+    """State: the average s of squares y2 and the rows since the last known one. An old average weighs decay^(gap + 1)
+    against 1 - decay of a new square. Summary of a run: the rows before its first square, that square, and the affine
+    map of all later ones."""
+
+    def step(s: Column, gap: Column, y2: Column) -> tuple[Column, Column]:
+        old = F.pow(F.lit(decay), gap + 1)
+        return old / (old + (1 - decay)), (1 - decay) * y2 / (old + (1 - decay))
+
+    def then(now: Column, row: Column) -> Column:
+        a, b = step(now["s"], now["gap"], row["y2"])
+        known = F.when(now["s"].isNull(), row["y2"]).otherwise(a * now["s"] + b)
+        return F.when(row["y2"].isNull(), F.struct(now["s"].alias("s"), (now["gap"] + 1).alias("gap"))).otherwise(F.struct(known.alias("s"), F.lit(0).alias("gap")))
+
+    def none() -> Column:
+        return F.struct(F.lit(0).alias("skipped"), F.lit(None).alias("first"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0).alias("gap"))
+
+    def add(m: Column, row: Column) -> Column:
+        a, b = step(m["b"], m["gap"], row["y2"])
+        part = lambda skipped, first, a, b, gap: F.struct(skipped.alias("skipped"), first.alias("first"), a.alias("a"), b.alias("b"), gap.alias("gap"))
+        unknown, started = row["y2"].isNull(), m["first"].isNotNull()
+        return (
+            F.when(unknown & ~started, part(m["skipped"] + 1, m["first"], m["a"], m["b"], m["gap"]))
+            .when(unknown, part(m["skipped"], m["first"], m["a"], m["b"], m["gap"] + 1))
+            .when(~started, part(m["skipped"], row["y2"], m["a"], m["b"], m["gap"]))
+            .otherwise(part(m["skipped"], m["first"], a * m["a"], a * m["b"] + b, F.lit(0).cast("bigint")))
+        )
+
+    def carry(now: Column, m: Column) -> Column:
+        at_first = then(F.struct(now["s"].alias("s"), (now["gap"] + m["skipped"]).alias("gap")), F.struct(m["first"].alias("y2")))
+        return F.when(m["first"].isNull(), F.struct(now["s"].alias("s"), (now["gap"] + m["skipped"]).alias("gap"))).otherwise(F.struct((m["a"] * at_first["s"] + m["b"]).alias("s"), m["gap"].alias("gap")))
+
+    return Recursion("struct<s:double,gap:bigint>", "struct<skipped:bigint,first:double,a:double,b:double,gap:bigint>", then, none, add, carry)
+
+
+def ewma_vol(panel: DataFrame, decay: float = 0.94, target: str = "ret", id: str = "asset_id", date: str = "date", rows: int = ROWS) -> DataFrame:
+    """Adds ewma_vol, the root of s = (old weight x s + (1 - decay) y^2) / (sum of both), where the old weight decays
+    with each row, also over gaps (null or NaN), which keep the value; null before the first known value. A scan in
+    chunks of `rows` dates."""
     if not 0 < decay < 1:
         raise ContractError("the decay must be in (0, 1)")
-    schema = panel.schema.simpleString()[7:-1] + ", ewma_vol double"
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, s, weight = None, None, 1.0
-        for batch in batches:
-            out = []
-            for i, y in zip(batch[id], batch[target]):
-                if i != now:
-                    now, s, weight = i, None, 1.0
-                if s is not None:
-                    weight *= decay
-                if y is not None and y == y:
-                    if s is None:
-                        s = y * y
-                    else:
-                        s = (weight * s + (1 - decay) * y * y) / (weight + 1 - decay)
-                    weight = 1.0
-                out.append(None if s is None else s**0.5)
-            yield batch.assign(ewma_vol=pd.Series(out, dtype=float, index=batch.index))
-
-    return panel.repartition(id).sortWithinPartitions(id, date).mapInPandas(work, schema)
+    how, y = _weighted(decay), F.col(target).cast("double")
+    squares = panel.withColumn("y2", F.when(~F.isnan(y), y * y))
+    first = F.struct(F.lit(None).alias("s"), F.lit(0).alias("gap"))
+    out = scan(squares, how, first, "__before", [id], date, rows)
+    return out.withColumn("ewma_vol", F.sqrt(how.next(F.col("__before"), F.struct("y2"))["s"])).select(*panel.columns, "ewma_vol")
 
 
 def bands(predictions: DataFrame) -> DataFrame:

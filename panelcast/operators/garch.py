@@ -1,21 +1,23 @@
 """GARCH(1,1) with a constant mean: maximum likelihood per asset, and the one-step roll-forward.
 
-Recursions over time can't be windows; ids are dealt into buckets, and a bucket's likelihoods run over time with one
-numpy lane for each id. Values are scaled by 100 for the fit. Ids with fewer than 60 values, or whose fit fails, have
+For the fit, ids are dealt into buckets, and a bucket's likelihoods run over time with one numpy lane for each id. With
+given parameters, variances are an affine recursion, which a scan in chunks of dates computes. Values are scaled by 100 for the fit. Ids with fewer than 60 values, or whose fit fails, have
 no parameters, and no predictions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .forecast import Columns
+from ..sources.scratch import written
+from .forecast import Columns, as_predictions
+from .recurrence import ROWS, affine, scan, with_chunks
 
 LEAST = 60
 PERCENT = 100.0
@@ -24,12 +26,11 @@ PERCENT = 100.0
 def variances(y: np.ndarray, live: np.ndarray, mu, omega, alpha, beta, start) -> np.ndarray:
     """Conditional variances (time x lane) of padded series; start is the variance before the first value."""
     out = np.empty_like(y)
-    now = start.copy()
-    last = start.copy()
-    for t in range(len(y)):
-        now = omega + alpha * last + beta * now if t else start
+    added = omega + alpha * (y - mu) ** 2
+    out[0] = now = start
+    for t in range(1, len(y)):
+        now = added[t - 1] + beta * now
         out[t] = now
-        last = (y[t] - mu) ** 2
     return np.where(live, out, 1.0)
 
 
@@ -41,9 +42,8 @@ def log_likelihood(y, live, mu, omega, alpha, beta, start) -> np.ndarray:
 
 def _unpack(p: np.ndarray, scale: np.ndarray, centre: np.ndarray):
     """Free numbers to mu, omega, alpha, beta with alpha + beta < 1."""
-    total = 1 / (1 + np.exp(-p[2]))
-    share = 1 / (1 + np.exp(-p[3]))
-    total = total * 0.9999
+    total = 0.9999 / (1 + np.exp(-np.clip(p[2], -30, 30)))
+    share = 1 / (1 + np.exp(-np.clip(p[3], -30, 30)))
     return centre + p[0] * np.sqrt(scale), scale * np.exp(p[1]), total * share, total * (1 - share)
 
 
@@ -69,6 +69,14 @@ def fit_lanes(series: list[np.ndarray]) -> list[tuple[float, float, float, float
         p = _nelder_mead(loss, np.stack([np.zeros(n), np.full(n, np.log(omega)), np.full(n, total), np.full(n, share)]))
         now = loss(p)
         best, value = np.where(now < value, p, best), np.minimum(now, value)
+    # A simplex can collapse early: search again from the best point until that gains nothing.
+    for _ in range(5):
+        p = _nelder_mead(loss, best, rounds=150, step=0.3)
+        now = loss(p)
+        gain = value - now
+        best, value = np.where(gain > 0, p, best), np.minimum(now, value)
+        if gain.max() < 1e-6:
+            break
     mu, omega, alpha, beta = _unpack(best, scale, centre)
     v = variances(y, live, mu, omega, alpha, beta, scale)
     out = []
@@ -78,12 +86,12 @@ def fit_lanes(series: list[np.ndarray]) -> list[tuple[float, float, float, float
     return out
 
 
-def _nelder_mead(loss, start: np.ndarray, rounds: int = 220) -> np.ndarray:
+def _nelder_mead(loss, start: np.ndarray, rounds: int = 220, step: float = 0.6) -> np.ndarray:
     """Simplex search with a simplex for each lane. start: (parameters, lanes)."""
     d, n = start.shape
     points = np.repeat(start[None], d + 1, axis=0)
     for k in range(d):
-        points[k + 1, k] += 0.6
+        points[k + 1, k] += step
     values = np.stack([loss(p) for p in points])
     lanes = np.arange(n)
     for _ in range(rounds):
@@ -113,42 +121,60 @@ def _nelder_mead(loss, start: np.ndarray, rounds: int = 220) -> np.ndarray:
 class Garch11:
     columns: Columns = Columns()
     bucket_ids: int = 64  # ids in one group, about
+    carry: bool = True  # forecasts start from the last training variance, else from the training values' variance
 
-    def _bucketed(self, df: DataFrame, n_ids: int) -> DataFrame:
-        return df.withColumn("__bucket", F.pmod(F.xxhash64(self.columns.id), F.lit(max(1, -(-n_ids // self.bucket_ids)))))
-
-    def fit(self, train: DataFrame) -> DataFrame:
+    def fit(self, train: DataFrame, by=()) -> DataFrame:
+        """(by…, id, mu, omega, alpha, beta, variance, start): variance is that of the last value, start of the first.
+        Written once, since the search is the dear part and what uses the table may read it more than once."""
         c = self.columns
-        kind = train.schema[c.id].dataType.simpleString()
-        schema = f"`{c.id}` {kind}, mu double, omega double, alpha double, beta double, variance double"
-        counts = train.groupBy(c.id).agg(F.count(c.target).alias("n")).where(F.col("n") >= LEAST)
-        rows = train.where(F.col(c.target).isNotNull()).join(counts.select(c.id), c.id, "left_semi").select(c.id, c.date, c.target)
+        keys = [*by, c.id]
+        rows = train.select(*keys, c.date, F.col(c.target).cast("double").alias("y")).where("y IS NOT NULL AND NOT isnan(y)")
+        counts = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+        buckets = max(1, -(-counts.count() // self.bucket_ids))
+        dealt = rows.join(counts.drop("n"), keys, "left_semi").withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+        schema = T.StructType([*(train.schema[k] for k in keys), *(T.StructField(n, T.DoubleType()) for n in ("mu", "omega", "alpha", "beta", "variance", "start"))])
 
         def work(group: pd.DataFrame) -> pd.DataFrame:
-            series = {i: g.sort_values(c.date)[c.target].to_numpy(float) * PERCENT for i, g in group.groupby(c.id, sort=True)}
-            fits = zip(series, fit_lanes(list(series.values())))
-            return pd.DataFrame([(i, *f) for i, f in fits if f is not None], columns=[c.id, "mu", "omega", "alpha", "beta", "variance"])
+            group = group.sort_values([*keys, c.date])
+            series = {i: g["y"].to_numpy(float) * PERCENT for i, g in group.groupby(keys, sort=True)}
+            fits = zip(series.items(), fit_lanes(list(series.values())))
+            return pd.DataFrame([(*i, *f, max(float(s.var()), 1e-12)) for (i, s), f in fits if f is not None], columns=schema.names)
 
-        return self._bucketed(rows, counts.count()).groupBy("__bucket").applyInPandas(work, schema)
+        return written(dealt.groupBy("__bucket").applyInPandas(work, schema), "garch")
 
-    def predict(self, panel: DataFrame, params: DataFrame) -> DataFrame:
+    def _steps(self, panel: DataFrame, params: DataFrame, start: str, by=(), rows: int = ROWS) -> DataFrame:
+        """Rows with parameters and `variance` just before each: v = omega + alpha (y - mu)^2 + beta v at each known
+        value, kept over gaps, from the parameter `start` on. A scan in chunks of dates."""
+        c = self.columns
+        y = F.col(c.target).cast("double") * PERCENT
+        values = with_chunks(panel.select(c.id, c.date, F.when(~F.isnan(y), y).alias("y")), c.date, rows)
+        known = values.join(params.withColumnRenamed(start, "start"), c.id)
+        e, there = F.col("y") - F.col("mu"), F.col("y").isNotNull()
+        steps = known.withColumns({"a": F.when(there, F.col("beta")).otherwise(1.0), "b": F.when(there, F.col("omega") + F.col("alpha") * e * e).otherwise(0.0)})
+        return scan(steps, affine("a", "b"), F.struct(F.col("start").alias("s")), "before", [*by, c.id], c.date, rows).withColumn("variance", F.col("before.s"))
+
+    def predict(self, panel: DataFrame, params: DataFrame, by=(), rows: int = ROWS) -> DataFrame:
         """mu is constant; sigma starts from the last in-sample variance and is updated by each known value."""
         c = self.columns
-        kind, when = panel.schema[c.id].dataType.simpleString(), panel.schema[c.date].dataType.simpleString()
-        joined = panel.select(c.id, c.date, c.target).join(params, c.id)
-        joined = joined.repartition(c.id).sortWithinPartitions(c.id, c.date)
-
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            now_id, var = None, 0.0
-            for batch in batches:
-                mus, sigmas = [], []
-                for i, y, mu, omega, alpha, beta, variance in batch[[c.id, c.target, "mu", "omega", "alpha", "beta", "variance"]].itertuples(index=False):
-                    if i != now_id:
-                        now_id, var = i, variance
-                    mus.append(mu / PERCENT)
-                    sigmas.append(np.sqrt(var) / PERCENT if var > 0 else None)
-                    if y is not None and not np.isnan(y):
-                        var = omega + alpha * (PERCENT * y - mu) ** 2 + beta * var
-                yield pd.DataFrame({"forecast_start_date": batch[c.date], "forecast_end_date": batch[c.date], "asset_id": batch[c.id], "mu": mus, "sigma": pd.Series(sigmas, dtype=float, index=batch.index)})
-
-        return joined.mapInPandas(work, f"forecast_start_date {when}, forecast_end_date {when}, asset_id {kind}, mu double, sigma double")
+        params = params.drop("start") if self.carry else params.drop("variance").withColumnRenamed("start", "variance")
+        sigma = F.when(F.col("variance") > 0, F.sqrt("variance") / PERCENT)
+        return as_predictions(self._steps(panel, params, "variance", by, rows), c, F.col("mu") / PERCENT, sigma, by)
+
+    def log_likelihood(self, panel: DataFrame, params: DataFrame, by=(), rows: int = ROWS) -> DataFrame:
+        """(by…, id, n, log_likelihood) of the known values under parameters (by…, id, mu, omega, alpha, beta, start);
+        start is the variance of the first value."""
+        c = self.columns
+        known = self._steps(panel.where(F.col(c.target).isNotNull()), params, "start", by, rows).where("y IS NOT NULL")
+        v, e = F.greatest("variance", F.lit(1e-12)), F.col("y") - F.col("mu")
+        term = -0.5 * (F.log(2 * F.pi()) + F.log(v) + e * e / v)
+        return known.groupBy(*by, c.id).agg(F.count("*").alias("n"), F.sum(term).alias("log_likelihood"))
+
+
+def neighbourhood(params: DataFrame, share: float = 0.02) -> DataFrame:
+    """Each row of parameters with candidate 0, and its neighbours as candidates 1 on: one parameter moved by `share` of
+    itself (mu: of the start's root), down or up. alpha + beta < 1 is kept."""
+    moves = [(0.0, 0.0, 0.0, 0.0)] + [tuple(s * share if k == j else 0.0 for j in range(4)) for k in range(4) for s in (-1, 1)]
+    table = F.array(*[F.struct(F.lit(k).alias("candidate"), *[F.lit(x).alias(n) for n, x in zip(("dm", "do", "da", "db"), m)]) for k, m in enumerate(moves)])
+    rows = params.select("*", F.inline(table))
+    moved = {"mu": F.col("mu") + F.col("dm") * F.sqrt("start"), "omega": F.col("omega") * (1 + F.col("do")), "alpha": F.col("alpha") * (1 + F.col("da")), "beta": F.col("beta") * (1 + F.col("db"))}
+    return rows.withColumns(moved).where("candidate = 0 OR alpha + beta < 1").drop("dm", "do", "da", "db")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .contracts import ContractError
+from . import preprocess, windows
+from .contracts import ContractError, Roles
 
 
 def date_index(df: DataFrame, date: str = "date") -> DataFrame:
@@ -63,23 +64,37 @@ def walk_forward(dates: DataFrame, folds: int, window: int | None = None, date:
 
 def slice_dates(df: DataFrame, dates: DataFrame, date: str = "date") -> DataFrame:
     """Rows on these dates; fails if there are none."""
-    out = df.join(F.broadcast(dates.select(date).distinct()), date, "left_semi")
+    out = df.join(dates.select(date).distinct(), date, "left_semi")
     if out.isEmpty():
         raise ContractError("no rows on these dates")
     return out
 
 
 def slice_dates_assets(df: DataFrame, dates: DataFrame, assets: DataFrame, date: str = "date", id: str = "asset_id") -> DataFrame:
-    return slice_dates(df, dates, date).join(F.broadcast(assets.select(id).distinct()), id, "left_semi")
+    return slice_dates(df, dates, date).join(assets.select(id).distinct(), id, "left_semi")
 
 
 def in_folds(panel: DataFrame, folds: DataFrame, date: str = "date") -> DataFrame:
     """Panel rows with each (fold, split) that their date is in."""
-    return panel.join(F.broadcast(folds), date)
+    return panel.join(folds, date)
 
 
-def _draw(*parts):
-    return F.pmod(F.xxhash64(*parts), F.col("n"))
+def fold_windows(panel: DataFrame, folds: DataFrame, roles: Roles, in_steps: int, horizon: int = 1, out_steps: int = 1, mode: str = "tail", scaled=(), id: str = "asset_id", date: str = "date") -> DataFrame:
+    """Leak-free windows: (fold, split, …) windows that lie within one slice of one fold, with the columns `scaled` on
+    the scale of their fold's training rows. Ids that a fold doesn't train on have no windows there. All folds in one
+    plan; no window looks over the border of its slice."""
+    rows = in_folds(panel, folds, date)
+    if scaled:
+        state = preprocess.fit_scaler(rows.where("split = 'train'"), scaled, id, by=["fold"])
+        known = rows.join(state.select("fold", id).distinct(), ["fold", id], "left_semi")
+        rows = preprocess.scale(known, state, scaled, id, by=["fold"], strict=False)
+    return windows.make_windows(rows, roles, in_steps, horizon, out_steps, mode, by=("fold", "split"))
+
+
+def hashed(*parts) -> Column:
+    """A number from 0 to 2^60 - 1 for these values: the first 15 hex digits of the md5 of their texts, joined by colons.
+    Any engine with md5 can repeat the draws."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
 
 
 def bootstrap_dates(dates: DataFrame, estimators: int, fraction: float = 1.0, seed: int = 0, date: str = "date") -> DataFrame:
@@ -92,7 +107,7 @@ def bootstrap_dates(dates: DataFrame, estimators: int, fraction: float = 1.0, se
     spark = dates.sparkSession
     drawn = (
         spark.range(estimators).select(F.col("id").cast("int").alias("estimator"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"), F.lit(n).cast("long").alias("n"))
-        .select("estimator", _draw(F.lit(seed), F.lit("date"), "estimator", "draw").alias("date_idx")).distinct()
+        .select("estimator", (hashed(F.lit(seed), F.lit("date"), "estimator", "draw") % F.col("n")).alias("date_idx")).distinct()
     )
     every = spark.range(estimators).select(F.col("id").cast("int").alias("estimator")).join(dates)  # the result's size
     return every.join(drawn.withColumn("bag", F.lit("in")), ["estimator", "date_idx"], "left").select("estimator", date, F.coalesce("bag", F.lit("oob")).alias("bag"))
@@ -110,11 +125,12 @@ def out_of_bag(dates: DataFrame, in_bag: DataFrame, estimators: int, date: str =
 
 
 def asset_subspace(ids: DataFrame, estimators: int, fraction: float = 1.0, seed: int = 0, id: str = "asset_id") -> DataFrame:
-    """(estimator, id): max(1, round-half-even(n f)) ids for each estimator, without replacement."""
+    """(estimator, id): max(1, round-half-even(n f)) ids for each estimator, without replacement: those with the smallest
+    hashes. The rank runs over a row per estimator and id."""
     if not 0 < fraction <= 1:
         raise ContractError("the fraction must be in (0, 1]")
     distinct = ids.select(id).distinct()
     keep = max(1, round(distinct.count() * fraction))
     every = ids.sparkSession.range(estimators).select(F.col("id").cast("int").alias("estimator")).join(distinct)
-    rank = F.row_number().over(Window.partitionBy("estimator").orderBy(F.xxhash64(F.lit(seed), F.lit("asset"), "estimator", id), id))
+    rank = F.row_number().over(Window.partitionBy("estimator").orderBy(hashed(F.lit(seed), F.lit("asset"), "estimator", id), id))
     return every.withColumn("r", rank).where(F.col("r") <= keep).select("estimator", id)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .contracts import ContractError
 from .ensemble import aggregate_gaussians, check_aligned
+from .splits import hashed
 from .windows import zero_fill
 
 
@@ -27,10 +28,10 @@ def grid(spark: SparkSession, space: dict[str, list]) -> DataFrame:
 
 
 def random_trials(spark: SparkSession, space: dict[str, list], n: int, seed: int = 0) -> DataFrame:
-    """n trials, each parameter picked by a hash of (seed, trial, parameter)."""
+    """n trials, each parameter picked by a hash of (seed, trial, parameter) that SQL can repeat."""
     if n < 1:
         raise ContractError("at least one trial is needed")
-    pick = lambda name, choices: F.get(F.array(*map(F.lit, choices)), F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(name)), F.lit(len(choices))).cast("int"))
+    pick = lambda name, choices: F.get(F.array(*map(F.lit, choices)), (hashed(F.lit(seed), F.lit("trial"), "id", F.lit(name)) % len(choices)).cast("int"))
     return spark.range(n).select(F.col("id").alias("trial_number"), *[pick(name, choices).alias(name) for name, choices in space.items()])
 
 

@@ -15,23 +15,23 @@ from pyspark.sql.window import Window
 from .contracts import ContractError, Roles
 
 
-def _frames(df: DataFrame, roles: Roles, length: int, chunk: int | None) -> DataFrame:
-    """Each row with __rows, the array of structs of the next `length` rows of its id, where there are so many."""
+def _frames(df: DataFrame, roles: Roles, length: int, chunk: int | None, by=()) -> DataFrame:
+    """Each row with __rows, the array of structs of the next `length` rows of its (by…, id), where there are so many."""
     columns = list(dict.fromkeys([roles.date, *roles.dynamic, *roles.categorical, *roles.static, *roles.targets]))
     rows = F.struct(*columns)  # structs keep nulls, which a list of scalars would drop
     if chunk is None:
-        keys, data, home = [roles.id], df.select(roles.id, *columns), F.lit(True)
+        keys, data, home = [*by, roles.id], df.select(*by, roles.id, *columns), F.lit(True)
     else:
-        numbered = df.select(roles.id, *columns).withColumn("__n", F.row_number().over(Window.partitionBy(roles.id).orderBy(roles.date)) - 1)
+        numbered = df.select(*by, roles.id, *columns).withColumn("__n", F.row_number().over(Window.partitionBy(*by, roles.id).orderBy(roles.date)) - 1)
         own = F.floor(F.col("__n") / chunk)
         first = F.greatest(F.lit(0), F.floor((F.col("__n") - (length - 1)) / chunk))
         data = numbered.withColumn("__own", own).withColumn("__chunk", F.explode(F.sequence(first, own)))
-        keys, home = [roles.id, "__chunk"], F.col("__own") == F.col("__chunk")
+        keys, home = [*by, roles.id, "__chunk"], F.col("__own") == F.col("__chunk")
     w = Window.partitionBy(*keys).orderBy(roles.date).rowsBetween(0, length - 1)
     return data.withColumn("__rows", F.collect_list(rows).over(w)).where(home & (F.size("__rows") == length))
 
 
-def _arrays(df: DataFrame, framed: DataFrame, roles: Roles, x: tuple[int, int], y: tuple[int, int]) -> DataFrame:
+def _arrays(df: DataFrame, framed: DataFrame, roles: Roles, x: tuple[int, int], y: tuple[int, int], by=()) -> DataFrame:
     """x and y: (first, number) in the frame. Float features have masks for null; other types are always observed."""
 
     def cut(c: str, part: tuple[int, int]):
@@ -43,7 +43,7 @@ def _arrays(df: DataFrame, framed: DataFrame, roles: Roles, x: tuple[int, int],
 
     last = y[0] + y[1] - 1
     start = F.col("__rows")[y[0] if y[1] < x[1] or y[0] >= x[1] else last][roles.date]
-    out = [F.col(roles.id), start.alias("forecast_start_date"), F.col("__rows")[last][roles.date].alias("forecast_end_date")]
+    out = [*map(F.col, by), F.col(roles.id), start.alias("forecast_start_date"), F.col("__rows")[last][roles.date].alias("forecast_end_date")]
     for c in roles.dynamic:
         out += [cut(c, x).alias(f"x_{c}"), mask(c, x).alias(f"x_{c}_mask")]
     out += [cut(c, x).alias(f"c_{c}") for c in roles.categorical]
@@ -53,9 +53,9 @@ def _arrays(df: DataFrame, framed: DataFrame, roles: Roles, x: tuple[int, int],
     return framed.select(*out)
 
 
-def make_windows(df: DataFrame, roles: Roles, in_steps: int, horizon: int = 1, out_steps: int = 1, mode: str = "tail", chunk: int | None = None) -> DataFrame:
+def make_windows(df: DataFrame, roles: Roles, in_steps: int, horizon: int = 1, out_steps: int = 1, mode: str = "tail", chunk: int | None = None, by=()) -> DataFrame:
     """tail: inputs are rows [s, s + in), targets the out_steps rows from s + in + horizon - 1 on. next_step: inputs
-    [s, s + in), targets [s + 1, s + 1 + in); dated by the last target."""
+    [s, s + in), targets [s + 1, s + 1 + in); dated by the last target. With `by`, no window leaves its group."""
     if min(in_steps, horizon, out_steps) < 1:
         raise ContractError("steps must be positive")
     if mode == "tail":
@@ -64,7 +64,7 @@ def make_windows(df: DataFrame, roles: Roles, in_steps: int, horizon: int = 1, o
         length, y = in_steps + 1, (1, in_steps)
     else:
         raise ContractError(f"no mode {mode}")
-    return _arrays(df, _frames(df, roles, length, chunk), roles, (0, in_steps), y)
+    return _arrays(df, _frames(df, roles, length, chunk, by), roles, (0, in_steps), y, by)
 
 
 def align_truncate(windows: DataFrame, id: str = "asset_id", date: str = "forecast_start_date") -> DataFrame:
