@@ -45,12 +45,14 @@ class DigestIndex:
 
     def append(self, docs: DataFrame) -> DataFrame:
         """Decide on new documents (doc_id, text) and add their digests: one row per document with doc_id, keep_id,
-        group_size (rows of that text among the new ones), kept and text_sha256."""
+        group_size (rows of that text among the new ones), kept and text_sha256. A row whose doc_id and text the index
+        holds already is the document that it keeps: a batch that is appended again, after a crash at any point, gets
+        the decisions of its first run."""
         digests = written(docs.select(F.col("doc_id").cast("long"), digest_of(F.col("text")).alias("digest")), "digests")
         groups = written(digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("group_size")), "digest-groups")
         known = self.rows()
         # Before the append: what the index already holds of these digests.
-        old = written(groups.hint("merge").join(known, "digest").select("digest", "keep_id"), "known-digests")
+        old = written(groups.hint("merge").join(known, "digest").select("digest", "keep_id", F.lit(True).alias("older")), "known-digests")
         fresh = groups.hint("merge").join(known, "digest", "left_anti")
         (
             fresh.select("digest", F.col("first_id").alias("keep_id"))
@@ -61,8 +63,8 @@ class DigestIndex:
         # are dealt by digest, so a hot digest is split by the adaptive skew join.
         shared = (
             groups.join(old, "digest", "left")
-            .where((F.col("group_size") > 1) | F.col("keep_id").isNotNull())
-            .select("digest", F.coalesce("keep_id", "first_id").alias("kept_id"), "group_size", F.col("keep_id").isNotNull().alias("older"))
+            .where((F.col("group_size") > 1) | F.col("older"))
+            .select("digest", F.when(F.col("older"), F.col("keep_id")).otherwise(F.col("first_id")).alias("kept_id"), "group_size")
         )
         found = digests.join(shared, "digest", "left")
         alone = F.col("group_size").isNull()
@@ -71,7 +73,7 @@ class DigestIndex:
             "doc_id",
             keep_id.alias("keep_id"),
             F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-            (F.col("doc_id").eqNullSafe(keep_id) & ~F.coalesce("older", F.lit(False))).alias("kept"),
+            F.col("doc_id").eqNullSafe(keep_id).alias("kept"),
             F.col("digest").alias("text_sha256"),
         )
 

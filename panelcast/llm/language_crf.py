@@ -26,11 +26,11 @@ from uuid import uuid4
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches
 
@@ -173,38 +173,55 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
     return marginal, expected * move
 
 
+#: Penalty of a transition weight.
+MOVES_PENALTY = 1e-3
+
+
+class Objective:
+    """The penalised mean negative log likelihood of labelled texts (lists of words, each with one label), by its
+    gradients."""
+
+    def __init__(self, sample: list[tuple[list[str], str]], how: Training = Training()):
+        self.how, self.languages = how, tuple(sorted({y for _, y in sample}))
+        number = {y: k for k, y in enumerate(self.languages)}
+        words = [w for ws, _ in sample for w in ws]
+        distinct, self.index, counts = np.unique(np.array(words, object), return_inverse=True, return_counts=True)
+        self.lexicon = frozenset(distinct[i] for i in np.lexsort((np.arange(len(distinct)), -counts))[: how.lexicon])
+        self.flat, self.starts = _flat(list(distinct), self.lexicon)
+        self.owner = np.repeat(np.arange(len(distinct)), np.diff([*self.starts, len(self.flat)]))
+        lengths = np.array([len(ws) for ws, _ in sample])
+        self.cut, self.total, self.n_distinct = Stretches.of(lengths), len(words), len(distinct)
+        self.truth = np.repeat([number[y] for _, y in sample], lengths)
+        self.seen = np.diag([float(sum(n - 1 for (_, y), n in zip(sample, lengths) if y == language)) for language in self.languages])
+
+    def gradients(self, weights: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By feature weights (PLACES, languages) and by transitions (languages, languages)."""
+        cut, k = self.cut, len(self.languages)
+        of_word = np.add.reduceat(weights[self.flat], self.starts, axis=0)
+        marginal, expected = forward_backward(cut.padded(of_word[self.index]), cut.lengths, moves, cut.number, pairs=True)
+        error = marginal[cut.of_word, cut.place]
+        error[np.arange(self.total), self.truth] -= 1
+        by_word = np.stack([np.bincount(self.index, error[:, j], self.n_distinct) for j in range(k)], 1)
+        by_place = np.stack([np.bincount(self.flat, by_word[self.owner, j], PLACES) for j in range(k)], 1)
+        return by_place / self.total + self.how.penalty * weights, (expected - self.seen) / self.total + MOVES_PENALTY * moves
+
+
 def fit(texts: list[str], labels: list[str], how: Training = Training()) -> Model | None:
     """Maximum likelihood with a small penalty, by full-batch Adam."""
     sample = [(words_of(t), y) for t, y in zip(texts, labels)]
     sample = [(w, y) for w, y in sample if w]
     if not sample:
         return None
-    languages = tuple(sorted({y for _, y in sample}))
-    number = {y: k for k, y in enumerate(languages)}
-    words = [w for ws, _ in sample for w in ws]
-    distinct, index, counts = np.unique(np.array(words, object), return_inverse=True, return_counts=True)
-    lexicon = frozenset(distinct[i] for i in np.lexsort((np.arange(len(distinct)), -counts))[: how.lexicon])
-    flat, starts = _flat(list(distinct), lexicon)
-    owner = np.repeat(np.arange(len(distinct)), np.diff([*starts, len(flat)]))
-    lengths = np.array([len(ws) for ws, _ in sample])
-    cut, k = Stretches.of(lengths), len(languages)
-    truth = np.repeat([number[y] for _, y in sample], lengths)
-    seen = np.diag([float(sum(n - 1 for (_, y), n in zip(sample, lengths) if y == language)) for language in languages])
+    goal = Objective(sample, how)
+    k = len(goal.languages)
     weights, moves = np.zeros((PLACES, k)), np.zeros((k, k))
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (weights, moves)]
-    total = len(words)
     for r in range(1, how.rounds + 1):
-        of_word = np.add.reduceat(weights[flat], starts, axis=0)
-        marginal, expected = forward_backward(cut.padded(of_word[index]), cut.lengths, moves, cut.number, pairs=True)
-        error = marginal[cut.of_word, cut.place]
-        error[np.arange(total), truth] -= 1
-        by_word = np.stack([np.bincount(index, error[:, j], len(distinct)) for j in range(k)], 1)
-        by_place = np.stack([np.bincount(flat, by_word[owner, j], PLACES) for j in range(k)], 1)
-        for x, grad, (m, v) in zip((weights, moves), (by_place / total + how.penalty * weights, (expected - seen) / total + 1e-3 * moves), state):
+        for x, grad, (m, v) in zip((weights, moves), goal.gradients(weights, moves), state):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             x -= how.rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
-    return Model(languages, lexicon, weights.astype(np.float32), moves.astype(np.float32))
+    return Model(goal.languages, goal.lexicon, weights.astype(np.float32), moves.astype(np.float32))
 
 
 class Labeller:
@@ -238,8 +255,8 @@ class Labeller:
         marginal = forward_backward(cut.padded(self.scores[index]), cut.lengths, self.model.transitions, cut.number)
         return marginal[cut.of_word, cut.place], lengths
 
-    def texts(self, texts: list[list[str]]) -> tuple[list[str], list[float]]:
-        """Language and score of each text."""
+    def texts(self, texts: list[list[str]]) -> tuple[list[str], list[float], np.ndarray, np.ndarray]:
+        """Language and score of each text, its number of words, and how many of them have another label."""
         each, lengths = self.words(texts)
         ends = np.cumsum(lengths)
         total = np.zeros((len(texts), len(self.model.languages)))
@@ -248,7 +265,9 @@ class Labeller:
             total[some] = np.add.reduceat(each, (ends - lengths)[some], axis=0, dtype=np.float64)
         best = total.argmax(axis=1)
         score = np.clip(total[np.arange(len(texts)), best] / np.maximum(lengths, 1), 0, 1)
-        return [self.model.languages[b] if n else UNDETERMINED for b, n in zip(best, lengths)], score.tolist()
+        row = np.repeat(np.arange(len(texts)), lengths)
+        switched = np.bincount(row[each.argmax(axis=1) != best[row]], minlength=len(texts)) if len(some) else np.zeros(len(texts), np.int64)
+        return [self.model.languages[b] if n else UNDETERMINED for b, n in zip(best, lengths)], score.tolist(), lengths, switched
 
 
 _LABELLERS: dict[str, Labeller] = {}
@@ -273,38 +292,47 @@ def train(docs: DataFrame, how: Training = Training()) -> Model | None:
     rate = F.lit(0.0)
     for language, n in counts.items():
         rate = F.when(F.col("lang") == F.lit(language), F.lit(min(1.0, how.per_language / n))).otherwise(rate)
-    sample = known.where(draw < rate).select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "lang"], kind="stable")
-    return fit(list(sample["text"]), list(sample["lang"]), how)
+    sample = sorted(known.where(draw < rate).select("doc_id", "text", "lang").collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["text"] or ""))
+    return fit([r["text"] for r in sample], [r["lang"] for r in sample], how)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred and score of each row, from text alone; other columns of docs don't pass through."""
+    """doc_id, lang_pred, score, n_words and n_switched (words with another label than lang_pred) of each row, from text
+    alone; other columns of docs don't pass through."""
     columns = docs.select("doc_id", "text")
-    schema = "doc_id long, lang_pred string, score double"
     if model is None:
-        return columns.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return columns.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), *(F.lit(0).cast("long").alias(c) for c in ("n_words", "n_switched")))
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_words", T.LongType()), T.StructField("n_switched", T.LongType())])
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = _labeller(shared)
         for batch in batches:
-            texts, ids = list(batch["text"]), batch["doc_id"]
-            start = chars = 0
-            for i, text in enumerate(texts):
-                chars += len(text or "")
-                if chars >= BATCH_CHARS or i + 1 == len(texts):
-                    languages, scores = labeller.texts([words_of(t) for t in texts[start : i + 1]])
-                    yield pd.DataFrame({"doc_id": ids[start : i + 1], "lang_pred": languages, "score": scores})
-                    start, chars = i + 1, 0
+            for part, languages, scores, lengths, switched in _labelled(batch, 1, labeller):
+                counts = (pa.array(c, pa.int64()) for c in (lengths, switched))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(languages, pa.string()), pa.array(scores, pa.float64()), *counts], names=schema.names)
+
+    return columns.mapInArrow(work, schema)
+
 
-    return columns.mapInPandas(work, schema)
+def _labelled(batch: pa.RecordBatch, text_at: int, labeller: Labeller) -> Iterator[tuple]:
+    """Slices of about BATCH_CHARS of text, with what Labeller.texts tells of their rows."""
+    texts = batch.column(text_at)
+    start, chars, words = 0, 0, []
+    for i in range(len(texts)):
+        text = texts[i].as_py()
+        chars += len(text or "")
+        words.append(words_of(text))
+        if chars >= BATCH_CHARS or i + 1 == len(texts):
+            yield batch.slice(start, i + 1 - start), *labeller.texts(words)
+            start, chars, words = i + 1, 0, []
 
 
 def identify(docs: DataFrame, how: Training = Training()) -> DataFrame:
-    """Train on docs and predict each of its rows: doc_id, held_out, lang_pred, score."""
+    """Train on docs and predict each of its rows: doc_id, held_out, lang_pred, score, n_words, n_switched."""
     out = predict(docs, train(docs, how))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_words", "n_switched")
 
 
 def determined(docs: DataFrame, how: Training = Training(), least_score: float = LEAST_SCORE) -> DataFrame:
@@ -320,19 +348,10 @@ def determined(docs: DataFrame, how: Training = Training(), least_score: float =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = _labeller(shared)
         for batch in batches:
-            texts = batch.column(text_at)
-            start, chars, words = 0, 0, []
-            for i in range(len(texts)):
-                text = texts[i].as_py()
-                chars += len(text or "")
-                words.append(words_of(text))
-                if chars >= BATCH_CHARS or i + 1 == len(texts):
-                    languages, scores = labeller.texts(words)
-                    part = batch.slice(start, i + 1 - start)
-                    lang = pc.coalesce(part.column(lang_at), pa.array(languages, part.column(lang_at).type))
-                    columns = [lang if k == lang_at else c for k, c in enumerate(part.columns)]
-                    keep = [x != UNDETERMINED and y >= least_score for x, y in zip(languages, scores)]
-                    yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep, pa.bool_()))
-                    start, chars, words = i + 1, 0, []
+            for part, languages, scores, *_ in _labelled(batch, text_at, labeller):
+                lang = pc.coalesce(part.column(lang_at), pa.array(languages, part.column(lang_at).type))
+                columns = [lang if k == lang_at else c for k, c in enumerate(part.columns)]
+                keep = [x != UNDETERMINED and y >= least_score for x, y in zip(languages, scores)]
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(work, schema)

@@ -158,8 +158,10 @@ def occurrences_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ..
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """A row's key: doc_id and a hash of its text."""
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.hash("text").alias("sum"), F.col("text").cast("string"))
+    """A row's key: doc_id and 64 bits of a hash of its text; without doc_id, 60 bits of another hash stand for it."""
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    of_text = F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 15), 16, 10).cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.when(doc_id.isNull(), of_text).otherwise(doc_id).alias("id"), F.xxhash64(text).alias("sum"), text.alias("text"))
 
 
 def occurrences(keyed: DataFrame) -> DataFrame:
@@ -180,7 +182,7 @@ def occurrences(keyed: DataFrame) -> DataFrame:
                     names=["id", "sum", "core", "covered", "first", "last", "m", "stop"],
                 )
 
-    return keyed.select("id", "sum", "text").mapInArrow(work, "id long, sum int, core long, covered long, first int, last int, m int, stop int")
+    return keyed.select("id", "sum", "text").mapInArrow(work, "id long, sum long, core long, covered long, first int, last int, m int, stop int")
 
 
 def repeated_windows(segments: list[tuple[bytes, int, int, int]]) -> dict[int, list[list[int]]]:

@@ -210,6 +210,46 @@ def test_code_switched_words():
     assert names[:3] == ["en"] * 3 and names[-3:] == ["de"] * 3
 
 
+def test_language_keeps_large_ids_beside_null(spark):
+    rows = small(200) + [(2**60 + i, "the house was there", None, None) for i in range(1, 12)] + [(None, "das haus war dort", None, None)] * 2
+    got = Counter(r["doc_id"] for r in language_crf.identify(frame(spark, rows).coalesce(1)).collect())
+    assert got == Counter(r[0] for r in rows)
+    long = [*small(200), (2**60, "the house " * 60_000 + "das haus " * 30_000, None, None)]
+    told = next(r for r in language_crf.identify(frame(spark, long)).collect() if r["doc_id"] == 2**60)
+    assert told["n_words"] == 180_000 and 0 < told["n_switched"] <= 120_000
+
+
+def test_gradients_of_the_field(spark):
+    """Against differences of a likelihood that a plain recursion computes."""
+    sample = [("ab ba ab".split(), "x"), ("ba cc".split(), "y"), (["ab"], "y"), ([f"w{i % 7}" for i in range(150)], "x")]
+    goal, rng = language_crf.Objective(sample), np.random.default_rng(1)
+    weights, moves = 0.3 * rng.normal(size=(language_crf.PLACES, 2)), rng.normal(size=(2, 2))
+
+    def loss(w, m):
+        total = 0.0
+        for words, y in sample:
+            flat, starts = language_crf._flat(words, goal.lexicon)
+            scores, k = np.add.reduceat(w[flat], starts, axis=0), goal.languages.index(y)
+            a = scores[0]
+            for s in scores[1:]:
+                a = s + np.log(np.exp(a[:, None] + m).sum(axis=0))
+            total += np.log(np.exp(a).sum()) - scores[:, k].sum() - (len(words) - 1) * m[k, k]
+        return total / goal.total + goal.how.penalty / 2 * (w * w).sum() + language_crf.MOVES_PENALTY / 2 * (m * m).sum()
+
+    by_weight, by_move = goal.gradients(weights, moves)
+    for k in [*rng.choice(np.unique(goal.flat), 12), 5]:
+        for j in range(2):
+            up, down = weights.copy(), weights.copy()
+            up[k, j] += 1e-5
+            down[k, j] -= 1e-5
+            assert by_weight[k, j] == pytest.approx((loss(up, moves) - loss(down, moves)) / 2e-5, rel=1e-4, abs=1e-8)
+    for i in range(2):
+        for j in range(2):
+            step = np.zeros((2, 2))
+            step[i, j] = 1e-5
+            assert by_move[i, j] == pytest.approx((loss(weights, moves + step) - loss(weights, moves - step)) / 2e-5, rel=1e-4)
+
+
 def test_exact_index_grows(spark, tmp_path):
     path = f"file://{tmp_path}/index"
     first = exact_dedup.exact_duplicates(frame(spark, [(5, "a  b", None, None), (3, "a b", None, None), (4, None, None, None), (None, "a\tb", None, None)]), path, 4)
@@ -220,6 +260,22 @@ def test_exact_index_grows(spark, tmp_path):
     assert exact_dedup.exact_duplicates(frame(spark, [])).collect() == []
 
 
+def test_replayed_batches_keep_what_they_kept(spark, tmp_path):
+    """A batch is appended, half written before a crash or whole, and appended again; null ids too."""
+    path = f"file://{tmp_path}/index"
+    batch = frame(spark, [(1, "a z", None, None), (2, "a  z", None, None), (3, "b", None, None), (None, "c", None, None), (2**60 + 1, "d", None, None)])
+    told = lambda out: sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["keep_id"], r["kept"]) for r in out.collect())
+    first = told(exact_dedup.exact_duplicates(batch, path, 4))
+    assert [k for _, _, k in first] == [True, False, True, True, True]
+    assert told(exact_dedup.exact_duplicates(batch, path, 4)) == first
+    half = f"file://{tmp_path}/half"
+    exact_dedup.exact_duplicates(batch.where("text <> 'b' AND doc_id <> 2"), half, 4).collect()
+    assert told(exact_dedup.exact_duplicates(batch, half, 4)) == first
+    assert sorted(r["text"] for r in exact_dedup.drop_duplicates(batch, path).collect()) == ["a z", "b", "c", "d"]
+    later = frame(spark, [(None, "a z", None, None), (7, "c", None, None), (8, "b", None, None)])
+    assert [k for _, _, k in told(exact_dedup.exact_duplicates(later, path, 4))] == [False, False, False]
+
+
 def test_mixing_budgets(spark):
     rows = [(i, "w " * 10, "en", "src0") for i in range(100)] + [(100 + i, "w " * 10, "fr", "src0") for i in range(10)] + [(200 + i, "w " * 10, "en", "src1") for i in range(400)] + [(900, None, None, None), (901, "", "en", "src0")]
     how = mixing.Mixture(budget_per_mille=500, max_epochs=2)

@@ -89,6 +89,17 @@ def test_edges(spark):
     compare(spark, [(1, None), (2, ""), (3, "a" * 399), (4, "a" * 400), (5, "b" * 401), (6, "ab" * 450), (7, long), (8, long[700:2900] + "?"), (None, long[:500]), (9, "c" * 900 + "d"), (9, "c" * 900 + "d"), (10, long[3000:3300] + "!" + long[3300:3700]), (11, "ü" + long[4700:])])
 
 
+def test_rows_without_id(spark):
+    """Texts without doc_id beside large ids: keys of 124 bits, and each loses its own bytes."""
+    random.seed(6)
+    other = "".join(random.choice("abcdefgh ") for _ in range(1500))
+    texts = [f"{k}" + other[10 * k : 10 * k + 500] + "".join(random.choice("xyz ") for _ in range(300)) for k in range(8)]
+    rows = [(2**60 + 1, other)] + [(None, t) for t in texts]
+    keys = suffix_dedup._keyed(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({(r["id"], r["sum"]) for r in keys}) == len(rows) and {r["doc_id"] for r in keys} == {None, 2**60 + 1}
+    compare(spark, rows)
+
+
 def test_long_documents_in_pieces(monkeypatch):
     random.seed(4)
     data = np.frombuffer("".join(random.choice("abcd ") for _ in range(20_000)).encode(), np.uint8)
