@@ -429,27 +429,57 @@ def rolling_cov(spark, d):
     return rounded(portfolio.rolling_cov(panel(spark, d, "event_hour"), W, 0.1))
 
 
+HOW = portfolio.Backtest(window=48, ridge=0.1, ridge_relative=True, risk_aversion=5.0)
+#: The backtest in SQL: pairwise covariances of the 48 hours before each forecast, and a Gauss-Jordan elimination, pivot by
+#: pivot, of each hour's matrix with alpha and a column of ones beside it.
+SOLVED = f"""WITH RECURSIVE p AS ({E}), i AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k FROM (SELECT DISTINCT date FROM p) AS q),
+  r AS (SELECT asset_id AS a, k, ret FROM p JOIN i USING (date)),
+  f AS (SELECT f.asset_id AS a, k, mu, sigma, count(*) OVER (PARTITION BY k) AS n_known FROM ({predictions_sql("event_hour")}) AS f JOIN i ON i.date = f.forecast_start_date WHERE mu IS NOT NULL AND sigma IS NOT NULL),
+  c AS (SELECT x.k, x.a AS a, y.a AS b, covar_samp(CASE WHEN y.ret IS NOT NULL THEN x.ret END, CASE WHEN x.ret IS NOT NULL THEN y.ret END) OVER w AS cov, count(x.ret + y.ret) OVER w AS n
+    FROM r AS x JOIN r AS y USING (k) WINDOW w AS (PARTITION BY x.a, y.a ORDER BY k RANGE BETWEEN 48 PRECEDING AND 1 PRECEDING)),
+  v AS (SELECT c.k, c.a, c.b, cov FROM c JOIN f ON f.k = c.k AND f.a = c.a JOIN f AS g ON g.k = c.k AND g.a = c.b WHERE c.n >= 2 AND c.k >= 48 AND f.n_known >= 2),
+  s AS (SELECT k, a, alpha FROM (SELECT k, a, CASE WHEN stddev_pop(mu / sigma) OVER w > 0 THEN (mu / sigma - avg(mu / sigma) OVER w) / stddev_pop(mu / sigma) OVER w ELSE 0 END AS alpha FROM f WHERE sigma > 0 WINDOW w AS (PARTITION BY k)) AS z),
+  d AS (SELECT k, avg(cov) AS mean_var FROM v WHERE a = b GROUP BY 1),
+  m AS (SELECT k, a, alpha, list(cov + CASE WHEN a = b THEN 0.1 * mean_var ELSE 0 END ORDER BY b) AS row FROM v JOIN d USING (k) JOIN s USING (k, a) GROUP BY ALL),
+  g AS (SELECT k, 1 AS step, count(*) AS n, list(a ORDER BY a) AS assets, list(alpha ORDER BY a) AS alphas, list(list_concat(row, [alpha, 1.0]) ORDER BY a) AS m FROM m GROUP BY 1 HAVING count(*) >= 2
+    UNION ALL SELECT k, step + 1, n, assets, alphas, list_transform(range(1, n + 1), lambda i: CASE WHEN i = step THEN list_transform(m[step], lambda x: x / m[step][step])
+      ELSE list_transform(range(1, n + 3), lambda j: m[i][j] - m[i][step] * m[step][j] / m[step][step]) END) FROM g WHERE step <= n),
+  e AS (SELECT k, unnest(assets) AS asset_id, unnest(alphas) AS alpha, unnest(list_transform(m, lambda x: x[n + 1])) AS by_alpha, unnest(list_transform(m, lambda x: x[n + 2])) AS by_one FROM g WHERE step = n + 1)
+  SELECT i.date, asset_id, (by_alpha - (sum(by_alpha) OVER w - 5.0) / (sum(by_one) OVER w) * by_one) / 5.0 AS weight, alpha, ret AS realized_return
+  FROM e JOIN i USING (k) JOIN r ON r.k = e.k AND r.a = e.asset_id WINDOW w AS (PARTITION BY e.k)"""
+#: What became of each forecast hour.
+STATUS = f"""SELECT date, CASE WHEN n_known < 2 THEN 'universe' WHEN k < 48 THEN 'burn_in' ELSE 'ok' END AS status FROM (
+  SELECT forecast_start_date AS date, k, count(CASE WHEN mu IS NOT NULL AND sigma IS NOT NULL THEN 1 END) AS n_known FROM ({predictions_sql("event_hour")}) AS f
+  JOIN (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k FROM (SELECT DISTINCT date FROM ({E}) AS p) AS q) AS i ON i.date = forecast_start_date GROUP BY 1, 2) AS t"""
+
+
 def _backtest(spark, d):
-    how = portfolio.Backtest(window=48, ridge=0.1, ridge_relative=True, risk_aversion=5.0)
     p = panel(spark, d, "event_hour")
-    return portfolio.backtest(predictions(spark, d, "event_hour").select("asset_id", "forecast_start_date", "mu", "sigma"), p, how)
+    return portfolio.backtest(predictions(spark, d, "event_hour").select("asset_id", "forecast_start_date", "mu", "sigma"), p, HOW)
 
 
-@query()
+@query(SOLVED, "weight", "alpha", "realized_return")
 def backtest_weights(spark, d):
     return rounded(_backtest(spark, d)[0])
 
 
-@query()
+@query(f"SELECT date, sum(weight * realized_return) AS portfolio_return, count(*) AS n_assets_held, sum(abs(weight)) AS leverage, sum(weight * weight) AS hhi, 1 / sum(weight * weight) AS effective_n FROM ({SOLVED}) AS w WHERE realized_return IS NOT NULL GROUP BY 1", "portfolio_return", "leverage", "hhi", "effective_n")
 def backtest_returns(spark, d):
     return rounded(_backtest(spark, d)[1])
 
 
-@query()
+@query(f"SELECT status, count(*) AS n_dates FROM ({STATUS}) AS t GROUP BY 1")
 def backtest_status(spark, d):
     return _backtest(spark, d)[2]
 
 
+@query(f"""SELECT count(*) AS n_rebalance_dates, (SELECT count(DISTINCT asset_id) FROM ({SOLVED}) AS w) AS n_unique_assets, min(date) AS start_date, max(date) AS end_date,
+  (SELECT count(*) FROM ({STATUS}) AS t WHERE status = 'burn_in') AS skipped_burn_in_dates, CAST(0 AS BIGINT) AS skipped_missing_asset_dates, (SELECT count(*) FROM ({STATUS}) AS t WHERE status = 'universe') AS skipped_insufficient_universe_dates,
+  CAST(48 AS BIGINT) AS burn_in_days, 'drop_asset' AS missing_asset_policy FROM ({STATUS}) AS t WHERE status = 'ok'""")
+def backtest_summary(spark, d):
+    return portfolio.summary(*_backtest(spark, d), HOW)
+
+
 #: Equal weights over the nations that traded, small returns so that products stay in range.
 EQUAL = f"SELECT date, asset_id, 1.0 / count(*) OVER (PARTITION BY date) AS weight, ret / 100 AS realized_return FROM ({N}) AS p WHERE ret IS NOT NULL"
 RETURNS = f"SELECT date, sum(weight * realized_return) AS portfolio_return, count(*) AS n_assets_held, sum(abs(weight)) AS leverage, sum(weight * weight) AS hhi, 1 / sum(weight * weight) AS effective_n FROM ({EQUAL}) AS w GROUP BY 1"

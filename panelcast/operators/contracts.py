@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -13,6 +15,17 @@ class ContractError(ValueError):
     """A panel that doesn't hold what an operator needs."""
 
 
+@contextmanager
+def failing():
+    """Rows that a plan refuses (raise_error in one of its expressions) are a ContractError when it runs in here."""
+    try:
+        yield
+    except Exception as error:
+        if told := re.search(r"\[USER_RAISED_EXCEPTION\] ([^\n]*)", str(error)):
+            raise ContractError(told[1]) from error
+        raise
+
+
 def require_columns(df: DataFrame, columns) -> None:
     if missing := sorted(set(columns) - set(df.columns)):
         raise ContractError(f"missing columns: {missing}")

@@ -77,7 +77,7 @@ def test_covariance_with_gaps():
 
     rng = np.random.default_rng(3)
     x = rng.normal(size=(20, 4))
-    x[rng.random(x.shape) < 0.3] = np.nan
+    x[rng.random(x.shape) < 0.2] = np.nan
     x[:, 3] = np.nan
     x[4, 3] = 1.0
     keep, cov = portfolio.covariance(x, 0.0, False)
@@ -209,3 +209,45 @@ def test_io(spark, tmp_path):
     io.write_trials(spark.createDataFrame([(0, "COMPLETE", 1.0)], "trial_number int, state string, value double"), str(tmp_path / "t"))
     (tmp_path / "e.json").write_text(json.dumps({"ensemble_type": "bag", "aggregation": "mean", "estimators": [{"index": 0, "estimator_manifest_path": "x", "oob_val_loss": 0.5}, {"index": 1, "estimator_manifest_path": "y", "oob_val_loss": None}]}, indent=1))
     assert [(r["index"], r["oob_val_loss"]) for r in io.read_manifest(spark, str(tmp_path / "e.json")).orderBy("index").collect()] == [(0, 0.5), (1, None)]
+
+
+@pytest.mark.parametrize("block", [1, 2, 100])
+def test_blocks_of_assets_give_the_windows_covariance(spark, block):
+    """The backtest in asset blocks equals that with the covariance of whole windows as a plug-in, gaps included."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 5)) * 0.01
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 4] = np.nan
+    x[7, 4] = 0.01
+    f = [(t, a, rng.normal(), 0.5 + rng.random()) for t in range(60) for a in range(5) if rng.random() < 0.9]
+    how = portfolio.Backtest(window=16, ridge=0.5, ridge_relative=True, risk_aversion=3.0, burn_in=4, chunk=13, block_assets=block)
+    told = lambda out: sorted(((r["date"], r["asset_id"], round(r["weight"], 8), r["realized_return"]) for r in out[0].collect()), key=str)
+    want = told(portfolio.backtest(forecasts(spark, f), panel(spark, x), how, cov_fn=portfolio.covariance))
+    have = portfolio.backtest(forecasts(spark, f), panel(spark, x), how)
+    assert told(have) == want and len(want) > 60
+    status = {r["status"]: r["n_dates"] for r in have[2].collect()}
+    row = portfolio.summary(*have, how).collect()[0].asDict()
+    assert row["n_rebalance_dates"] == len({r[0] for r in want if r[3] is not None}) and row["n_unique_assets"] == len({r[1] for r in want})
+    assert row["skipped_burn_in_dates"] == status.get("burn_in", 0) and row["burn_in_days"] == 4 and row["missing_asset_policy"] == "drop_asset"
+    assert row["start_date"] == min(r[0] for r in want if r[3] is not None) and row["end_date"] == max(r[0] for r in want if r[3] is not None)
+
+
+def test_long_only_backtest(spark):
+    """Two assets: without shorting the weight is the closed form's, cut at 0 and 1."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 2)) * 0.1
+    f = [(t, a, rng.normal(), 1.0) for t in range(40) for a in range(2)]
+    how = portfolio.Backtest(window=10, ridge=1e-3, risk_aversion=40.0, shorting=False)
+    weights, _, _ = portfolio.backtest(forecasts(spark, f), panel(spark, x), how)
+    got = {}
+    for r in weights.orderBy("date", "asset_id").collect():
+        got.setdefault(r["date"], []).append((r["weight"], r["alpha"]))
+    assert len(got) == 30
+    cut = 0
+    for k, day in enumerate(sorted(got)):
+        s = np.cov(x[k : k + 10].T) + 1e-3 * np.eye(2)
+        (w1, a1), (w2, a2) = got[day]
+        free = ((a1 - a2) / 40 + s[1, 1] - s[0, 1]) / (s[0, 0] + s[1, 1] - 2 * s[0, 1])
+        assert w1 == pytest.approx(min(max(free, 0), 1), abs=1e-9) and w1 + w2 == pytest.approx(1)
+        cut += not 0 < free < 1
+    assert cut
