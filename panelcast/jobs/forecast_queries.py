@@ -355,18 +355,18 @@ def bagged_garch(spark, d):
 SPACE = {"window": [5, 20, 60], "shrink": [0.0, 0.5]}
 
 
-def _evaluate(train: pd.DataFrame, val: pd.DataFrame, params: dict) -> float:
-    """Loss of the mean of each asset's last values, shrunk to 0."""
+def _errors(train: pd.DataFrame, val: pd.DataFrame, params: dict) -> tuple[float, int]:
+    """Squared errors of the mean of each asset's last values, shrunk to 0."""
     mean = train.sort_values("date").dropna(subset=["ret"]).groupby("asset_id")["ret"].apply(lambda s: s.tail(params["window"]).mean())
     error = val["ret"] - val["asset_id"].map(mean) * (1 - params["shrink"])
-    return float(np.sqrt((error**2).mean()))
+    return float((error**2).sum()), int(error.count())
 
 
 def _cv(spark, d):
     p = panel(spark, d, "segment_day").select("asset_id", "date", "ret")
     trials = tuning.grid(spark, SPACE)
     folds = splits.expanding(splits.date_index(p), 3)
-    return tuning.trial_values(tuning.cross_validate(p, folds, trials, _evaluate), trials)
+    return tuning.trial_values(tuning.cross_validate_assets(p, folds, trials, _errors, F.sqrt), trials)
 
 
 @query(f"""WITH q AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM ({S}) AS p) AS q),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .contracts import ContractError
+from .selection import counted, order_statistics
 
 
 def zscore(df: DataFrame, raw, date: str = "forecast_start_date", name: str = "signal_z") -> DataFrame:
@@ -30,29 +31,31 @@ def alpha(predictions: DataFrame) -> DataFrame:
     return zscore(rows, F.col("mu") / F.col("sigma"), name="alpha")
 
 
-def edges_sql(n: int) -> str:
-    """Quantile edges of a sorted array s, duplicates dropped: linear interpolation in the steps that make a value on
-    an edge fall where it should."""
-    points = ", ".join(f"CAST({1.0 if k == n else ((k * (1.0 / n)) * 100.0) / 100.0!r} AS DOUBLE)" for k in range(n + 1))
-    return f"array({points})"
+def _points(n: int) -> list[float]:
+    """Quantile points k / n, in the steps that make a value on an edge fall where it should."""
+    return [1.0 if k == n else ((k * (1.0 / n)) * 100.0) / 100.0 for k in range(n + 1)]
 
 
 def buckets(scored: DataFrame, n: int, z: str = "signal_z", date: str = "forecast_start_date") -> DataFrame:
     """Adds bucket (1 to n): right-closed quantile intervals by date, the lowest value included. Fewer than n distinct
-    values: null. Equal edges count once, so that later buckets move down. Edges are a row for each date."""
-    values = scored.groupBy(date).agg(F.sort_array(F.collect_list(z)).alias("s"), F.count_distinct(z).alias("distinct"))
-    m = F.size("s") - 1
-
-    def edge(p):
-        q = p * m
-        low = F.floor(q).cast("int")
-        f = q - low
-        a, b = F.get("s", low), F.coalesce(F.get("s", low + 1), F.get("s", low))
+    values: null. Equal edges count once, so that later buckets move down. Edges come from the few order statistics
+    next to them, a row for each date."""
+    values = counted(scored, [date], z)
+    sizes = values.groupBy(date).agg((F.sum("n") - 1).alias("m"), F.count("*").alias("distinct")).where(F.col("distinct") >= n)
+    low = lambda p: F.floor(F.lit(p) * F.col("m"))
+    near = F.array_distinct(F.flatten(F.array(*[F.array(low(p), F.least(low(p) + 1, F.col("m"))) for p in _points(n)])))
+    found = order_statistics(values, sizes.select(date, F.explode(near).alias("rank")), [date])
+    s = F.map_from_entries(F.collect_list(F.struct("rank", "value")))
+    sorted_ = sizes.join(found.groupBy(date).agg(s.alias("s")), date)
+
+    def edge(p: float):
+        f = F.lit(p) * F.col("m") - low(p)
+        a, b = F.element_at("s", low(p)), F.element_at("s", F.least(low(p) + 1, F.col("m")))
         return F.when(f < 0.5, a + (b - a) * f).otherwise(b - (b - a) * (1 - f))
 
-    edges = values.select(date, F.when(F.col("distinct") >= n, F.array_distinct(F.transform(F.expr(edges_sql(n)), edge))).alias("__edges"))
+    edges = sorted_.select(date, F.array_distinct(F.array(*map(edge, _points(n)))).alias("__edges"))
     x = F.col(z)
-    return scored.join(edges, date).withColumn("bucket", F.when(F.col("__edges").isNotNull(), F.greatest(F.lit(1), F.size(F.filter("__edges", lambda e: e < x))))).drop("__edges")
+    return scored.join(edges, date, "left").withColumn("bucket", F.when(F.col("__edges").isNotNull(), F.greatest(F.lit(1), F.size(F.filter("__edges", lambda e: e < x))))).drop("__edges")
 
 
 def bucket_stats(bucketed: DataFrame, periods: int = 252) -> DataFrame:

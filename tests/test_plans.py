@@ -10,8 +10,8 @@ from panelcast.jobs import forecast_queries, panel_queries
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = {**panel_queries.QUERIES, **forecast_queries.QUERIES}
-#: Helpers over Arrow batches: per-date solves, user functions and models. Likelihood fits are written before the plan.
-IN_PYTHON = {"cv_grid", "score_windows_linear", "score_windows_ensemble", "backtest_weights", "backtest_returns", "backtest_status"}
+#: Helpers over Arrow batches: user functions and models. Likelihood fits and per-date solves are written before the plan.
+IN_PYTHON = {"cv_grid", "score_windows_linear", "score_windows_ensemble"}
 #: Their results are products: dates x ids, and trials from lists of choices.
 PRODUCTS = {"align_pad", "cv_grid"}
 

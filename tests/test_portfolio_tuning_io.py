@@ -251,3 +251,35 @@ def test_long_only_backtest(spark):
         assert w1 == pytest.approx(min(max(free, 0), 1), abs=1e-9) and w1 + w2 == pytest.approx(1)
         cut += not 0 < free < 1
     assert cut
+
+
+def test_cross_validate_assets(spark, monkeypatch):
+    """Errors of buckets of assets add up to those of whole folds, for more trials than one group takes."""
+    rng = np.random.default_rng(6)
+    p = panel(spark, rng.normal(size=(12, 5)))
+    folds = spark.createDataFrame([(k, day(t), "train" if t < 4 * (k + 1) else "val") for k in range(2) for t in range(4 * (k + 2))], "fold int, date date, split string")
+    trials = tuning.grid(spark, {"shrink": [0.0, 0.25, 0.5, 1.0], "add": [0.0, 1.0]})
+    square = lambda train, val, params: (val["ret"] - val["asset_id"].map(train.groupby("asset_id")["ret"].mean()) * params["shrink"] - params["add"]) ** 2
+    want = {(r["trial_number"], r["fold"]): r["loss"] for r in tuning.cross_validate(p, folds, trials, lambda *a: float(square(*a).mean()) ** 0.5).collect()}
+    from pyspark.sql import functions as F
+
+    for group, bucket in [(64, 64), (3, 2)]:
+        monkeypatch.setattr(tuning, "TRIALS", group)
+        got = tuning.cross_validate_assets(p, folds, trials, lambda *a: (float(square(*a).sum()), len(square(*a))), F.sqrt, bucket_ids=bucket)
+        assert {(r["trial_number"], r["fold"]): r["loss"] for r in got.collect()} == pytest.approx(want) and len(want) == 16
+
+
+def test_scoring_carries_dates_over_batches(spark):
+    """Batches of a few rows: each call still has all assets of its date, in order, for every group."""
+    x = [[float(10 * t + k) for k in range(7)] for t in range(9)]
+    w = windows.make_windows(panel(spark, x), Roles(("ret",), ("ret",)), 2).join(spark.createDataFrame([(1,), (2,)], "side int"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        rows = tuning.score_windows(w, ["ret"], lambda v: (v[:, -1, 0], np.full(len(v), v[:, -1, 0].sum() + len(v))), by=["side"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(rows) == 2 * 7 * 7
+    for r in rows:
+        last = x[(r["forecast_start_date"] - START).days - 1]
+        assert r["mu"] == last[int(r["asset_id"][1:])] and r["sigma"] == sum(last) + 7
