@@ -351,15 +351,16 @@ def portfolio_metrics(returns: DataFrame, weights: DataFrame | None = None, peri
 
 
 def versus_benchmarks(returns: DataFrame, panel: DataFrame, benchmarks, target: str = "ret", id: str = "asset_id", date: str = "date") -> DataFrame:
-    """(series, date, value) of the portfolio and the benchmark assets on their common dates; fails without any."""
-    names = [str(b) for b in benchmarks]
+    """(series, date, value) of the portfolio and the benchmark assets on their common dates. An asset without values, or
+    no common date, fails when the plan runs: that is found in a table of one row per date."""
+    names = sorted({str(b) for b in benchmarks})
     rows = panel.where(F.col(id).cast("string").isin(names) & F.col(target).isNotNull()).select(F.col(id).cast("string").alias("series"), date, F.col(target).alias("value"))
-    found = {r["series"] for r in rows.select("series").distinct().collect()}
-    if missing := sorted(set(names) - found):
-        raise ContractError(f"unknown benchmark assets: {missing}")
     every = rows.unionByName(returns.select(F.lit("portfolio").alias("series"), date, F.col("portfolio_return").alias("value")))
-    common = every.groupBy(date).agg(F.count_distinct("series").alias("n")).where(F.col("n") == len(set(names)) + 1).select(date)
-    out = every.join(common, date, "left_semi")
-    if out.isEmpty():
-        raise ContractError("no common dates")
-    return out
+    days = every.groupBy(date).agg(F.collect_set("series").alias("there"))
+    whole = Window.partitionBy(F.lit(0))
+    absent = F.filter(F.array(*[F.when(~F.max(F.array_contains("there", n)).over(whole), F.lit(n)) for n in names]), lambda n: n.isNotNull())
+    common = F.size("there") == len(names) + 1
+    told = days.withColumns({"absent": absent, "common": common}).withColumn("some", F.max("common").over(whole))
+    fails = F.when(F.size("absent") > 0, F.concat(F.lit("unknown benchmark assets: "), F.array_join("absent", ", "))).when(~F.col("some"), F.lit("no common dates"))
+    kept = told.where(F.when(fails.isNotNull(), F.raise_error(fails).cast("boolean")).otherwise(F.col("common"))).select(date)
+    return every.join(kept, date, "left_semi")

@@ -31,11 +31,14 @@ def _wide(state: DataFrame, id: str, by=()) -> tuple[DataFrame, list[str]]:
 
 
 def _with_state(df: DataFrame, state: DataFrame, id: str, by=(), strict: bool = True) -> DataFrame:
+    """Rows with their state. strict: a row without one fails when the plan runs (a ContractError inside `failing`)."""
     each, _ = _wide(state, id, by)
-    if strict and (rows := df.select(*by, id).distinct().join(each, [*by, id], "left_anti").limit(1).collect()):
-        raise ContractError(f"no scaler for {rows[0].asDict()}")
     # The state has a row per asset: the optimiser broadcasts it while it is small.
-    return df.join(each, [*by, id], "left")
+    out = df.join(each, [*by, id], "left")
+    if not strict:
+        return out
+    told = F.concat(F.lit("no scaler for "), F.to_json(F.struct(*by, id)))
+    return out.withColumn("__state", F.coalesce("__state", F.raise_error(told).cast(each.schema["__state"].dataType)))
 
 
 def scale(df: DataFrame, state: DataFrame, columns, id: str = "asset_id", by=(), strict: bool = True) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .contracts import ContractError
 from .selection import counted, order_statistics
 
 
@@ -64,12 +63,13 @@ def bucket_stats(bucketed: DataFrame, periods: int = 252) -> DataFrame:
 
 
 def spread(bucketed: DataFrame, n: int, date: str = "forecast_start_date") -> DataFrame:
-    """(date, spread): mean of the top bucket less that of the bottom one, on dates with both."""
+    """(date, spread): mean of the top bucket less that of the bottom one, on dates with both. If there are rows, but no
+    such date, the plan fails when it runs; that is found in the table of one row per date."""
     side = lambda b: F.avg(F.when(F.col("bucket") == b, F.col("target")))
-    out = bucketed.groupBy(date).agg((side(n) - side(1)).alias("spread")).where("spread IS NOT NULL")
-    if out.isEmpty():
-        raise ContractError("an extreme bucket has no rows")
-    return out
+    days = bucketed.groupBy(date).agg((side(n) - side(1)).alias("spread"))
+    some = F.count("spread").over(Window.partitionBy(F.lit(0)))
+    known = days.withColumn("__some", some).where(F.when(F.col("__some") == 0, F.raise_error(F.lit("an extreme bucket has no rows")).cast("boolean")).otherwise(F.col("spread").isNotNull()))
+    return known.drop("__some")
 
 
 def spread_summary(spreads: DataFrame, periods: int = 252) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from panelcast.operators import ensemble, evaluate, signal
-from panelcast.operators.contracts import ContractError
+from panelcast.operators.contracts import ContractError, failing
 from panelcast.operators.forecast import AR1, UnconditionalMean, forecaster, run_forecaster
 from panelcast.operators.garch import Garch11, fit_lanes, log_likelihood
 
@@ -187,8 +187,8 @@ def test_zscore_and_spread(spark):
     assert [r["spread"] for r in s.collect()] == [2.0] * 3
     assert signal.spread_summary(s).first()["sharpe"] == 0.0
     assert {r["bucket"]: (r["mean_per_period"], r["n"]) for r in signal.bucket_stats(b).collect()} == {1: (1.5, 6), 2: (3.5, 6)}
-    with pytest.raises(ContractError):
-        signal.spread(b.where("bucket = 1"), 2)
+    with pytest.raises(ContractError), failing():
+        signal.spread(b.where("bucket = 1"), 2).collect()
 
 
 def test_growth(spark):

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast.operators import portfolio, tuning, windows
-from panelcast.operators.contracts import ContractError, Roles
+from panelcast.operators.contracts import ContractError, Roles, failing
 from panelcast.sources import io
 
 D = dt.date
@@ -124,10 +124,10 @@ def test_benchmarks(spark):
     got = portfolio.versus_benchmarks(r, p, ["a0", "a1"])
     assert {(x["series"], x["date"]) for x in got.collect()} == {(s, day(i)) for s in ("portfolio", "a0", "a1") for i in (0, 2)}
     for bad in (["zz"],):
-        with pytest.raises(ContractError):
-            portfolio.versus_benchmarks(r, p, bad)
-    with pytest.raises(ContractError):
-        portfolio.versus_benchmarks(r.where("date > DATE '2025-01-01'"), p, ["a0"])
+        with pytest.raises(ContractError, match="zz"), failing():
+            portfolio.versus_benchmarks(r, p, bad).collect()
+    with pytest.raises(ContractError, match="common"), failing():
+        portfolio.versus_benchmarks(r.where("date > DATE '2025-01-01'"), p, ["a0"]).collect()
 
 
 def test_dedupe(spark):
