@@ -88,7 +88,7 @@ def needed_words(templates: dict[str, str]) -> list[str]:
                     touched[w] = touched.get(w, 0) + 1
             for w, n in touched.items():
                 gain[w] = gain.get(w, 0) + min(n, need)
-        word = min(gain, key=lambda w: (len(w) < 5, -gain[w], bool(set(w) & set("aeiou0123456789")), w))
+        word = min(gain, key=lambda w: (len(w) < 5, len(w) < 5 and bool(set(w) & set("aeiouy0123456789")), -gain[w], w))
         out.append(word)
         for name in list(open_):
             gone = {b for b in left[name] if word in b.split()}
