@@ -6,10 +6,10 @@ import re
 
 import pytest
 
-from panelcast.jobs import forecast_queries, panel_queries
+from panelcast.jobs import forecast_queries, panel_queries, stored_queries
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = {**panel_queries.QUERIES, **forecast_queries.QUERIES}
+QUERIES = {**panel_queries.QUERIES, **forecast_queries.QUERIES, **stored_queries.QUERIES}
 #: Helpers over Arrow batches: user functions and models. Likelihood fits and per-date solves are written before the plan.
 IN_PYTHON = {"cv_grid", "score_windows_linear", "score_windows_ensemble"}
 #: Their results are products: dates x ids, and trials from lists of choices.
