@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate, chain
 from uuid import uuid4
 from zlib import crc32
 
@@ -73,21 +74,35 @@ def words_of(text: str | None) -> list[str]:
     return regex.findall(r"\p{L}[\p{L}\p{M}]*", text.lower()) if text else []
 
 
+def _start(kind: bytes) -> int:
+    """The hash of a feature's kind, which that of its letters goes on from."""
+    return crc32(kind)
+
+
+WORD, PREFIX, SUFFIX, TWO, THREE, LETTER = map(_start, (b"w", b"p", b"s", b"2", b"3", b"c"))
+
+
 def features(word: str, lexicon: frozenset[str]) -> list[int]:
-    out = [f"w{word}"] if word in lexicon else []
-    n = len(word)
-    out += [f"p{word[:k]}" for k in range(1, min(n, 4) + 1)]
-    out += [f"s{word[n - k :]}" for k in range(1, min(n, 4) + 1)]
-    out += [f"2{word[i : i + 2]}" for i in range(n - 1)]
-    out += [f"3{word[i : i + 3]}" for i in range(n - 2)]
-    out += [f"c{c}" for c in set(word) if c > "\x7f"]
-    return [crc32(x.encode()) % PLACES for x in out]
+    """Hashes of the word (if the lexicon has it), of up to four letters at either end, of each two and three letters in a
+    row, and of letters beyond ASCII."""
+    raw, n = word.encode(), len(word)
+    at = range(n + 1) if len(raw) == n else [0, *accumulate(len(c.encode()) for c in word)]
+    ends = range(1, min(n, 4) + 1)
+    out = [crc32(raw, WORD)] if word in lexicon else []
+    out += [crc32(raw[: at[k]], PREFIX) for k in ends]
+    out += [crc32(raw[at[n - k] :], SUFFIX) for k in ends]
+    out += [crc32(raw[at[i] : at[i + 2]], TWO) for i in range(n - 1)]
+    out += [crc32(raw[at[i] : at[i + 3]], THREE) for i in range(n - 2)]
+    if len(raw) != n:
+        out += [crc32(c.encode(), LETTER) for c in sorted(set(word)) if c > "\x7f"]
+    return out
 
 
 def _flat(words: list[str], lexicon: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all features of the words, one after another, and where each word's begin."""
     each = [features(w, lexicon) for w in words]
     starts = np.cumsum([0, *map(len, each)])[:-1]
-    return np.fromiter((f for x in each for f in x), np.int64), starts
+    return np.fromiter(chain.from_iterable(each), np.int64) % PLACES, starts
 
 
 @dataclass(frozen=True)
@@ -225,24 +240,34 @@ def fit(texts: list[str], labels: list[str], how: Training = Training()) -> Mode
 
 
 class Labeller:
-    """Scores of words under a model, remembered by word."""
+    """Scores of words under a model, remembered by word: those of the last MEMO or so new words, and of as many before
+    them, so that words which come again and again stay known."""
 
     def __init__(self, model: Model):
         self.model, self.place_of, self.scores, self.used = model, {}, np.zeros((1024, len(model.languages)), np.float32), 0
+        self.older, self.older_scores = {}, self.scores
 
-    def _learn(self, new: list[str]) -> None:
-        flat, starts = _flat(new, self.model.lexicon)
-        rows = np.add.reduceat(self.model.weights[flat], starts, axis=0)
+    def _add(self, new: list[str], rows: np.ndarray) -> None:
         while self.used + len(new) > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
         self.scores[self.used : self.used + len(new)] = rows
         self.place_of.update(zip(new, range(self.used, self.used + len(new))))
         self.used += len(new)
 
+    def _learn(self, new: list[str]) -> None:
+        known = [w for w in new if w in self.older]
+        if known:
+            self._add(known, self.older_scores[[self.older[w] for w in known]])
+        fresh = [w for w in new if w not in self.older]
+        if fresh:
+            flat, starts = _flat(fresh, self.model.lexicon)
+            self._add(fresh, np.add.reduceat(self.model.weights[flat], starts, axis=0))
+
     def words(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of all words, one after another, and the words of each text."""
         if self.used > MEMO:
-            self.place_of, self.used = {}, 0
+            self.older, self.older_scores = self.place_of, self.scores
+            self.place_of, self.scores, self.used = {}, np.zeros_like(self.scores), 0
         words = [w for ws in texts for w in ws]
         new = list(set(words).difference(self.place_of))
         if new:
