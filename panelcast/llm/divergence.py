@@ -49,7 +49,7 @@ class Settings:
     columns: int = 1_024
     terms: int = 4_096
     #: Distinct terms that a task holds before it passes its counts on.
-    held: int = 400_000
+    held: int = 200_000
 
 
 def _counting(how: Settings):
@@ -57,9 +57,14 @@ def _counting(how: Settings):
         counts: dict[tuple[bytes, bytes], tuple[Counter, Counter]] = {}
 
         def given() -> pa.RecordBatch:
-            groups = [(lang, source, term, n, documents[term]) for (lang, source), (words, documents) in counts.items() for term, n in words.items()]
-            groups += [(lang, source, None, 0, 0) for lang, source in counts]
-            lang, source, term, n, documents = zip(*groups) if groups else ([],) * 5
+            lang, source, term, n, documents = [], [], [], [], []
+            for (a, b), (words, seen) in counts.items():
+                size = len(words) + 1  # the last row is the group's own
+                lang += [a] * size
+                source += [b] * size
+                term += [*words, None]
+                n += [*words.values(), 0]
+                documents += [*map(seen.__getitem__, words), 0]
             counts.clear()
             # Views of bytes as text: nothing is decoded, so that odd bytes do no harm.
             texts = [pa.array(c, pa.binary()).view(pa.string()) for c in (lang, source, term)]
