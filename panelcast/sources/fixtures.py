@@ -1,13 +1,17 @@
 """Panels derived from the order and event tables, as SQL that any engine runs on the same tables.
 
-Each text takes table names in braces. `{date}` columns are dates for daily panels and timestamps for hourly ones.
+Each text takes table names in braces, and {change} for the return. `{date}` columns are dates for daily panels and timestamps for hourly ones.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-_RETURN = "level / lag(level) OVER (PARTITION BY asset_id ORDER BY date) - 1 AS ret"
+_BEFORE = "lag(level) OVER (PARTITION BY asset_id ORDER BY date)"
+_CHANGE = f"level / {_BEFORE} - 1"
+#: The same in Spark, whose division by zero is an error: infinite over a level of 0, NaN for 0 / 0.
+_SPARK_CHANGE = f"CASE WHEN {_BEFORE} = 0 THEN level * double('infinity') ELSE try_divide(level, {_BEFORE}) END - 1"
+_RETURN = "{change} AS ret"
 
 #: Average unit price per supplier nation and shipping day; many gaps.
 NATION_DAY = f"""SELECT asset_id, date, level, {_RETURN} FROM (
@@ -47,12 +51,12 @@ PREDICTIONS = {name: _rolling(sql) for name, sql in PANELS.items()}
 
 def on_tables(sql: str) -> str:
     """The text over tables of their own names."""
-    return sql.format(lineitem="lineitem", supplier="supplier", orders="orders", customer="customer", events="events", nation="nation", region="region")
+    return sql.format(change=_CHANGE, lineitem="lineitem", supplier="supplier", orders="orders", customer="customer", events="events", nation="nation", region="region")
 
 
 def _frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     names = [n for n in ("lineitem", "supplier", "orders", "customer", "events", "nation", "region") if "{" + n + "}" in sql]
-    return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+    return spark.sql(sql.replace("{change}", _SPARK_CHANGE), **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
 
 
 def panel(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
