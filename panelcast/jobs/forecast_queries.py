@@ -196,7 +196,7 @@ GRID = f"SELECT asset_id, date, ret FROM (SELECT DISTINCT asset_id FROM ({U}) AS
 def ewma_vol_gaps(spark, d):
     p = panel(spark, d, "user_day").select("asset_id", "date", "ret")
     whole = calendar.reindex(p, p.select(F.col("date").alias("session")).distinct())
-    return rounded(evaluate.ewma_vol(whole, 0.9).select("asset_id", "date", "ewma_vol"))
+    return rounded(evaluate.ewma_vol(whole, 0.9, nan_is_gap=False).select("asset_id", "date", "ewma_vol"))
 
 
 @query(f"SELECT asset_id, forecast_start_date, mu - sigma AS lower_1s, mu + sigma AS upper_1s, mu - 2 * sigma AS lower_2s, mu + 2 * sigma AS upper_2s FROM ({PN}) AS p", "lower_1s", "upper_1s", "lower_2s", "upper_2s")

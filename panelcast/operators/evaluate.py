@@ -141,14 +141,14 @@ def _weighted(decay: float) -> Recursion:
     return Recursion("struct<s:double,gap:bigint>", "struct<skipped:bigint,first:double,a:double,b:double,gap:bigint>", then, none, add, carry)
 
 
-def ewma_vol(panel: DataFrame, decay: float = 0.94, target: str = "ret", id: str = "asset_id", date: str = "date", rows: int = ROWS) -> DataFrame:
+def ewma_vol(panel: DataFrame, decay: float = 0.94, target: str = "ret", id: str = "asset_id", date: str = "date", rows: int = ROWS, nan_is_gap: bool = True) -> DataFrame:
     """Adds ewma_vol, the root of s = (old weight x s + (1 - decay) y^2) / (sum of both), where the old weight decays
-    with each row, also over gaps (null or NaN), which keep the value; null before the first known value. A scan in
-    chunks of `rows` dates."""
+    with each row, also over gaps (null or NaN), which keep the value; null before the first known value. Without
+    nan_is_gap, NaN is a value, after which all are NaN. A scan in chunks of `rows` dates."""
     if not 0 < decay < 1:
         raise ContractError("the decay must be in (0, 1)")
     how, y = _weighted(decay), F.col(target).cast("double")
-    squares = panel.withColumn("y2", F.when(~F.isnan(y), y * y))
+    squares = panel.withColumn("y2", F.when(~F.isnan(y), y * y) if nan_is_gap else y * y)
     first = F.struct(F.lit(None).alias("s"), F.lit(0).alias("gap"))
     out = scan(squares, how, first, "__before", [id], date, rows)
     return out.withColumn("ewma_vol", F.sqrt(how.next(F.col("__before"), F.struct("y2"))["s"])).select(*panel.columns, "ewma_vol")

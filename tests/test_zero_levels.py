@@ -35,3 +35,7 @@ def same_as_sql(spark, folder, name):
 
 def test_bundle_transform(spark, tables):
     same_as_sql(spark, tables, "bundle_transform")
+
+
+def test_ewma_vol_gaps(spark, tables):
+    same_as_sql(spark, tables, "ewma_vol_gaps")
