@@ -39,3 +39,7 @@ def test_bundle_transform(spark, tables):
 
 def test_ewma_vol_gaps(spark, tables):
     same_as_sql(spark, tables, "ewma_vol_gaps")
+
+
+def test_stored_state(spark, tables):
+    same_as_sql(spark, tables, "stored_state")
