@@ -16,6 +16,7 @@ rows. Other columns pass through; `ids` and `decoded` are added, and may not be
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -28,9 +29,9 @@ from pyspark.sql import types as T
 
 from .common import small_batches
 
-#: Pieces whose encoding a worker remembers, and the longest of them in characters; pairs of tokens it remembers. All are
-#: dropped when full: they save time only, and a worker outlives its task.
-MEMO, MEMO_CHARS, PAIRS = 60_000, 64, 100_000
+#: Pieces whose encoding a worker remembers (those not met again among half as many others go), and the longest of them
+#: in characters; pairs of tokens it remembers, dropped when full. They save time only, and a worker outlives its task.
+MEMO, MEMO_CHARS, PAIRS = 300_000, 64, 100_000
 #: Characters of text that a batch sent back to Spark holds, about.
 BATCH_CHARS = 1_000_000
 #: Pieces of one text that are encoded at once.
@@ -116,7 +117,7 @@ class Vocabulary:
             return [whole]
         size = len(piece)
         longest = [-1] * size
-        length = self.length
+        length, shorter, memo = self.length, self.shorter, self.memo
         for end, token in self.automaton.iter(piece.decode("latin-1")):  # by end, so the last at a start is its longest
             longest[end - length[token] + 1] = token
         open_at = bytearray(b"\x01") * (size + 1)
@@ -124,8 +125,14 @@ class Vocabulary:
         at, token = 0, longest[0]
         while at < size:
             last = out[-1] if out else -1
-            while token >= 0 and not (open_at[at + length[token]] and (last < 0 or self.together(last, token))):
-                token = self.shorter[token]
+            while token >= 0:
+                if open_at[at + length[token]]:
+                    if last < 0:
+                        break
+                    known = memo.get(last << 32 | token)
+                    if self.together(last, token) if known is None else known:
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += length[token]
@@ -140,16 +147,20 @@ class Vocabulary:
 
 
 class _Pieces(dict):
-    """Piece to its ids as int32 bytes; remembers short pieces, and starts anew when full."""
+    """Piece to its ids as int32 bytes; remembers short pieces in two generations of half of MEMO: when the new one is
+    full, it takes the old one's place."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.old = vocabulary, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.asarray(self.vocabulary.encode_piece(piece.encode()), np.int32).tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array("i", self.vocabulary.encode_piece(piece.encode())).tobytes()
         if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO:
+            if len(self) >= MEMO // 2:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
