@@ -11,14 +11,15 @@ the table with these as a broadcast query set), and `enough` is the least number
 of them. So clustered vectors are searched in a few leaves, and vectors without any structure, where no index helps, in
 most of them.
 
-Neighbouring leaves of a tree are dealt together in cells of about `block` rows, and a query goes once to each cell that
-holds leaves it has reached. Each pair of blocks scores the query's leaves exactly, in double precision on the original
-vectors, and gives at most k a query. The best k of those, after repeats from several trees are dropped, are the
-result.
+Queries are dealt into blocks of about `block`, rows into `parts` by a hash of vec_id, whatever their leaves: leaves of
+any size, of equal vectors too, fall into all parts alike. Each pair of a block and a part is a group: its rows pass in
+order of leaves, each leaf is scored against the queries of the block that reached it, exactly, in double precision on
+the original vectors, and the k best of each query so far are all that is held. A row's leaves of all trees meet in one
+part, so repeats go there. A group gives at most k rows a query, so what the groups give is `parts` times k a query,
+however large the table and however many leaves are reached. Their best k are the result.
 
-A leaf may hold any number of equal vectors: large leaves and the queries at a cell are dealt into blocks of `block`
-rows, by counts that are taken first. Counts of leaves are the only thing gathered besides the sample and the probes'
-neighbours; the sample bounds their number.
+Counts of leaves are the only thing gathered besides the sample and the probes' neighbours; the sample bounds their
+number.
 
 Rows with a null vec_id, and vectors that are null, empty, zero, or hold null or non-finite components, take no part,
 nor do vectors of another length than the most frequent one (of equally frequent ones, the longest). Rows that repeat
@@ -50,6 +51,7 @@ class Settings:
     recall: float = 0.95
     probes: int = 200
     block: int = 8_192
+    parts: int = 12
     seed: int = 7
 
 
@@ -154,22 +156,10 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column])
 
 
-def best_of(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, wanted: list | None = None, leaves: np.ndarray | None = None):
-    """The k best of rows for each query, by exact score and then id: positions, ids and scores. With wanted (the leaves
-    of each query), of the rows in these leaves only; rows are then in order of leaves."""
+def best_of(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
+    """The k best of rows for each query, by exact score and then id: positions, ids and scores."""
     for start in range(0, len(queries), 256):
-        some = queries[start : start + 256]
-        if wanted is None:
-            rough = some @ rows.T
-        else:
-            rough = np.full((len(some), len(rows)), -np.inf)
-            asking: dict[int, list[int]] = {}
-            for i, own in enumerate(wanted[start : start + 256]):
-                for leaf in own:
-                    asking.setdefault(int(leaf), []).append(i)
-            for leaf, who in asking.items():
-                a, b = np.searchsorted(leaves, [leaf, leaf + 1])
-                rough[who, a:b] = some[who] @ rows[a:b].T
+        rough = queries[start : start + 256] @ rows.T
         for i, scores in enumerate(rough, start):
             scores[ids == query_ids[i]] = -np.inf
             n = min(k, len(ids) - 1)
@@ -210,15 +200,98 @@ def _enough(placed: DataFrame, probes: np.ndarray, probe_ids: np.ndarray, forest
     return max(least, sorted(needs)[-(-int(how.recall * 1000) * len(needs) // 1000) - 1]) if needs else least
 
 
-def _cells(counts: list[int], forest: Forest, block: int) -> list[int]:
-    """The cell of each leaf: neighbouring leaves of one tree up to `block` rows; a larger leaf is a cell by itself."""
-    firsts, cell, held, out = set(forest.first_leaves), -1, 0, []
-    for leaf, n in enumerate(counts):
-        if leaf in firsts or held + n > block:
-            cell, held = cell + 1, 0
-        held += n
-        out.append(cell)
-    return out
+class _Best:
+    """The k best rows met so far of each query of a block, by exact score and then id; a row met again counts once."""
+
+    PENDING = 1 << 20
+
+    def __init__(self, queries: np.ndarray, ids: np.ndarray, k: int):
+        self.queries, self.ids, self.k = queries, ids, k
+        self.least = np.full(len(ids), -np.inf)  # a query's k-th score
+        none = np.empty(0, np.int64)
+        self.held, self.pending, self.size = (none, none, np.empty(0)), [], 0
+
+    def add(self, who: np.ndarray, rows: np.ndarray, row_ids: np.ndarray) -> None:
+        """Offer rows to the queries at the places `who`."""
+        asking = self.queries[who]
+        step = max(1, self.PENDING // len(who))
+        for low in range(0, len(rows), step):
+            some, some_ids = rows[low : low + step], row_ids[low : low + step]
+            least = self.least[who]
+            slack = np.where(np.isfinite(least), 1e-9 * np.maximum(1.0, np.abs(least)), 0.0)
+            i, j = np.nonzero(asking @ some.T >= (least - slack)[:, None])
+            other = self.ids[who[i]] != some_ids[j]
+            i, j = i[other], j[other]
+            exact = np.empty(len(i))
+            for at in range(0, len(i), 1 << 16):  # the same sum wherever a row stands: equal vectors tie
+                exact[at : at + (1 << 16)] = (some[j[at : at + (1 << 16)]] * asking[i[at : at + (1 << 16)]]).sum(axis=1)
+            self.pending.append((who[i], some_ids[j], exact))
+            self.size += len(i)
+            if self.size >= self.PENDING:
+                self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of queries, ids and scores of the best."""
+        who, ids, scores = map(np.concatenate, zip(self.held, *self.pending))
+        order = np.lexsort((ids, -scores, who))
+        who, ids, scores = who[order], ids[order], scores[order]
+        again = np.zeros(len(who), bool)
+        again[1:] = (who[1:] == who[:-1]) & (ids[1:] == ids[:-1])
+        who, ids, scores = who[~again], ids[~again], scores[~again]
+        first = np.searchsorted(who, who)
+        rank = np.arange(len(who)) - first
+        kth = rank == self.k - 1
+        self.least[who[kth]] = scores[kth]
+        best = rank < self.k
+        self.held, self.pending, self.size = (who[best], ids[best], scores[best]), [], 0
+        return self.held
+
+
+def _search(k: int):
+    """The function of batches that scores parts. A part's queries (with the leaves they want) come first, then its rows
+    by leaf; a part gives at most k rows a query."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, asked, best, wanting = None, [], None, {}
+
+        def begin():
+            both = pd.concat(asked)
+            who = np.repeat(np.arange(len(both)), [len(w) for w in both["wanted"]])
+            leaves = np.concatenate(both["wanted"].to_list())
+            order = np.argsort(leaves, kind="stable")
+            names, first = np.unique(leaves[order], return_index=True)
+            return _Best(_matrix(both["embedding"]), both["vec_id"].to_numpy(), k), dict(zip(names.tolist(), np.split(who[order], first[1:])))
+
+        def end():
+            if best is not None:
+                who, ids, scores = best.settle()
+                yield pd.DataFrame({"query_id": best.ids[who], "vec_id": ids, "score": scores})
+
+        for batch in batches:
+            keys = batch["part"].to_numpy()
+            for some in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(keys)) + 1):
+                if not len(some):
+                    continue
+                mine = batch.iloc[some]
+                if mine["part"].iloc[0] != at:
+                    yield from end()
+                    at, asked, best = mine["part"].iloc[0], [], None
+                is_query = (mine["leaf"] < 0).to_numpy()
+                if is_query.any():
+                    asked.append(mine[is_query])
+                mine = mine[~is_query]
+                if not len(mine) or not asked:
+                    continue
+                if best is None:
+                    best, wanting = begin()
+                leaves, rows, ids = mine["leaf"].to_numpy(), _matrix(mine["embedding"]), mine["vec_id"].to_numpy()
+                for one in np.split(np.arange(len(leaves)), np.flatnonzero(np.diff(leaves)) + 1):
+                    who = wanting.get(int(leaves[one[0]]))
+                    if who is not None:
+                        best.add(who, rows[one], ids[one])
+        yield from end()
+
+    return work
 
 
 def neighbours(vectors: DataFrame, is_query, how: Settings = Settings()) -> DataFrame:
@@ -249,47 +322,23 @@ def neighbours(vectors: DataFrame, is_query, how: Settings = Settings()) -> Data
     sizes = {r["leaf"]: r["n"] for r in placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).collect()}
     counts = [sizes.get(i, 0) for i in range(forest.value.leaves)]
     enough = _enough(placed, grown[: how.probes], sample["vec_id"].to_numpy()[: how.probes], forest.value, counts, how)
-    cell_of = _cells(counts, forest.value, how.block)
-    shared = spark.sparkContext.broadcast((counts, np.array(cell_of, np.int32)))
+    shared = spark.sparkContext.broadcast(counts)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for low in range(0, len(batch), 512):
-                some = batch.iloc[low : low + 512]
-                x = _matrix(some["embedding"])
-                which, cells, wanted = [], [], []
-                for i, found in enumerate(forest.value.walks(np.column_stack([x, np.zeros(len(x))]), shared.value[0], enough)):
-                    leaves = np.sort(np.array(found, np.int32))
-                    own, at = np.unique(shared.value[1][leaves], return_index=True)
-                    which += [i] * len(own)
-                    cells += own.tolist()
-                    wanted += np.split(leaves, at[1:])
-                yield pd.DataFrame({"cell": np.array(cells, np.int32), "vec_id": some["vec_id"].to_numpy()[which], "embedding": some["embedding"].to_numpy()[which], "wanted": wanted})
-
-    asked = written(rows.where(is_query).mapInPandas(walk, f"cell int, vec_id long, embedding {kind}, wanted array<int>"), "walked")
-    queries_of = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    rows_of: dict[int, int] = {}
-    for leaf, cell in enumerate(cell_of):
-        rows_of[cell] = rows_of.get(cell, 0) + counts[leaf]
-    blocks = [(leaf, cell, -(-queries_of[cell] // how.block), -(-rows_of[cell] // how.block)) for leaf, cell in enumerate(cell_of) if cell in queries_of and counts[leaf]]
-    of_leaf = F.broadcast(spark.createDataFrame(blocks, "leaf int, cell int, query_blocks int, row_blocks int"))  # the sample bounds the leaves
-    of_cell = F.broadcast(spark.createDataFrame(sorted({b[1:] for b in blocks}), "cell int, query_blocks int, row_blocks int"))
-    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(of_cell, "cell").select("cell", own("query_blocks").alias("q"), each("row_blocks").alias("r"), "vec_id", "embedding", "wanted")
-    right = placed.select("vec_id", "embedding", F.explode("leaves").alias("leaf")).join(of_leaf, "leaf").select("cell", "leaf", own("row_blocks").alias("r"), each("query_blocks").alias("q"), "vec_id", "embedding")
-
-    def score(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(candidates):
-            query_ids, candidates = queries["vec_id"].to_numpy(), candidates.sort_values("leaf")
-            leaves, ids = candidates["leaf"].to_numpy(), candidates["vec_id"].to_numpy()
-            for i, best, exact in best_of(_matrix(queries["embedding"]), query_ids, _matrix(candidates["embedding"]), ids, how.k, list(queries["wanted"]), leaves):
-                out.append(pd.DataFrame({"query_id": query_ids[i], "vec_id": best, "score": exact}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
-    keys = ["cell", "q", "r"]
-    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score double")
-    once = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            if len(batch):
+                x = _matrix(batch["embedding"])
+                wanted = [np.sort(np.array(found, np.int32)) for found in forest.value.walks(np.column_stack([x, np.zeros(len(x))]), shared.value, enough)]
+                yield pd.DataFrame({"vec_id": batch["vec_id"], "embedding": batch["embedding"], "wanted": wanted})
+
+    asked = written(rows.where(is_query).mapInPandas(walk, f"vec_id long, embedding {kind}, wanted array<int>"), "walked")
+    blocks = max(1, -(-asked.count() // how.block))
+    own = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = (F.col("q") * how.parts + F.col("r")).alias("part")
+    left = asked.withColumn("q", own(blocks, 1)).withColumn("r", each(how.parts)).select(part, F.lit(-1).alias("leaf"), "vec_id", "embedding", "wanted")
+    right = placed.select("vec_id", "embedding", F.explode("leaves").alias("leaf"), own(how.parts, 2).alias("r")).withColumn("q", each(blocks)).select(part, "leaf", "vec_id", "embedding", F.lit(None).cast("array<int>").alias("wanted"))
+    dealt = left.unionByName(right).repartition("part").sortWithinPartitions("part", "leaf")
+    scored = dealt.mapInPandas(_search(how.k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.withColumn("rank", rank.cast("int")).where(F.col("rank") <= how.k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", rank.cast("int")).where(F.col("rank") <= how.k).select("query_id", "rank", "vec_id", "score")

@@ -68,3 +68,28 @@ def test_few_and_none(spark):
     assert got == {0: [(1, 3.0)]}
     assert rp_forest.neighbours(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).collect() == []
     assert found(rp_forest.neighbours(spark.createDataFrame([(0, [1.0], 0)], SCHEMA), F.col("vec_id") % 20 == 0)) == {}
+
+
+def test_rows_of_groups_follow_the_table(spark, monkeypatch):
+    """Without structure nearly all leaves are reached; what the groups give still grows with the queries alone."""
+    inner, how, given = rp_forest._search, rp_forest.Settings(leaf_rows=16, sample_rows=2000, block=100, parts=3), []
+    x = np.random.default_rng(3).normal(size=(2000, 16)).astype(np.float32).astype(float)
+    for n in (400, 2000):
+        rows = spark.sparkContext.accumulator(0)
+
+        def search(k, rows=rows):
+            work = inner(k)
+
+            def counted(batches):
+                for out in work(batches):
+                    rows.add(len(out))
+                    yield out
+
+            return counted
+
+        monkeypatch.setattr(rp_forest, "_search", search)
+        got = found(rp_forest.neighbours(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x[:n])], SCHEMA), F.col("vec_id") % 20 == 0, how))
+        want = exact(x[:n], np.arange(n))
+        assert np.mean([len({a for a, _ in got[q]} & {a for a, _ in want[q]}) / 20 for q in want]) >= 0.9
+        given.append(rows.value)
+    assert given[0] <= 3 * 20 * 20 and given[1] <= 3 * 20 * 100
