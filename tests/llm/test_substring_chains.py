@@ -227,3 +227,13 @@ def test_one_word_over_and_over(spark):
 def test_empty(spark):
     assert sc.passages(spark.createDataFrame([], SCHEMA)).collect() == []
     assert sc.passages(spark.createDataFrame([(1, "a " * 500, "", ""), (2, "b", "", "")], SCHEMA)).collect() == []
+
+
+def test_matches_in_order_need_no_tree(monkeypatch):
+    """Near matches in order in both texts are one chain, told without the tree; a wide gap or a step back is not."""
+    made, inner = [], sc.Fenwick
+    monkeypatch.setattr(sc, "Fenwick", lambda n: made.append(n) or inner(n))
+    near = [3 * i for i in range(50)]
+    assert sc.chains(near, [p + 7 + (p > 60) for p in near]) == [list(range(50))] and not made
+    assert sc.chains([0, 200], [0, 200]) == [[0], [1]] and len(made) == 1
+    assert sc.chains([0, 3, 6], [9, 3, 6]) == [[1, 2], [0]] and len(made) == 2
