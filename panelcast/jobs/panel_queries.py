@@ -122,7 +122,9 @@ def decoded_panel(spark, d):
 @query(f"WITH v AS ({VOCAB}), s AS (SELECT asset_id, avg(ret) AS m, CASE WHEN var_pop(ret) = 0 THEN 1 ELSE sqrt(var_pop(ret)) END AS s FROM ({U}) AS p GROUP BY 1) SELECT p.asset_id, date, (ret - m) / s AS ret, CASE WHEN kind IS NULL THEN 0 ELSE coalesce(token_id, 1) END AS kind FROM ({U}) AS p JOIN s USING (asset_id) LEFT JOIN v ON \"column\" = 'kind' AND value = kind", "ret")
 def bundle_transform(spark, d):
     p = panel(spark, d, "user_day").select("asset_id", "date", "ret", "kind")
-    return rounded(preprocess.apply_bundle(p, preprocess.fit_scaler(p, ["ret"]), ["ret"], _vocabulary(p), ["kind"]))
+    # Events of no user have no scaler, but their kinds count.
+    of_users = p.where("asset_id IS NOT NULL")
+    return rounded(preprocess.apply_bundle(of_users, preprocess.fit_scaler(of_users, ["ret"]), ["ret"], _vocabulary(p), ["kind"]))
 
 
 ROLES = Roles(targets=("ret",), dynamic=("ret",))

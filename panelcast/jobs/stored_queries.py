@@ -52,11 +52,12 @@ def stored_predictions(spark, d):
 
 @query(pq.SQL["bundle_transform"])
 def stored_state(spark, d):
-    """A scaler and a vocabulary, saved, loaded and applied."""
+    """A scaler and a vocabulary, saved, loaded and applied. Events of no user have no scaler, but their kinds count."""
     path, p = _path(spark, "state"), panel(spark, d, "user_day").select("asset_id", "date", "ret", "kind")
-    io.write_state(preprocess.fit_scaler(p, ["ret"]), preprocess.fit_vocabulary(p, ["kind"]), path)
+    of_users = p.where("asset_id IS NOT NULL")
+    io.write_state(preprocess.fit_scaler(of_users, ["ret"]), preprocess.fit_vocabulary(p, ["kind"]), path)
     scaler, vocabulary = io.read_state(spark, path)
-    return rounded(preprocess.apply_bundle(p, scaler, ["ret"], vocabulary, ["kind"]))
+    return rounded(preprocess.apply_bundle(of_users, scaler, ["ret"], vocabulary, ["kind"]))
 
 
 @query(f"SELECT CASE WHEN year(forecast_start_date) < 1997 THEN 'train' ELSE 'val' END AS split, asset_id, count(*) AS n_windows, avg(y[1]) AS mean_y, min(forecast_start_date) AS first_date FROM ({pq._windows_sql(S, 5, 1, 1)}) AS w GROUP BY 1, 2", "mean_y")
