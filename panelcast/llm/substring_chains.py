@@ -52,26 +52,34 @@ BAND = 16
 BATCH_BYTES = 1 << 19
 
 
-def minimizers(hashes: np.ndarray) -> np.ndarray:
-    """Places of the smallest of each WINDOW hashes in a row (the first of equal ones); of fewer, the smallest."""
-    n = len(hashes)
-    if n == 0:
-        return np.zeros(0, np.int64)
-    if n <= WINDOW:
-        return np.array([int(hashes.argmin())])
-    views = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)
-    places = views.argmin(axis=1) + np.arange(n - WINDOW + 1)
-    return places[np.concatenate([[True], places[1:] != places[:-1]])]
-
-
-def thinned(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def minimizers(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts' hashes laid end to end, so many for each: (text, place) of the smallest of each WINDOW hashes in a row
+    (the first of equal ones); of fewer, the smallest."""
+    room = np.where(counts > 0, np.maximum(counts, WINDOW), 0)
+    starts = np.cumsum(room) - room
+    texts = np.repeat(np.arange(len(room)), room)
+    # Texts of fewer are filled up; of equal hashes the first counts, which is never a filling.
+    filled = np.full(len(texts), np.iinfo(np.uint64).max, np.uint64)
+    filled[np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(len(hashes))] = hashes
+    n = max(0, len(filled) - WINDOW + 1)
+    least, nearest = filled[:n], np.zeros(n, np.int64)
+    for j in range(1, WINDOW):
+        nearest = np.where(filled[j : j + n] < least, j, nearest)
+        least = np.minimum(least, filled[j : j + n])
+    places = np.arange(n) + nearest
+    places = places[texts[:n] == texts[WINDOW - 1 :]] if n else places
+    places = places[np.append(True, places[1:] != places[:-1])[: len(places)]]
+    return texts[places], places - starts[texts[places]]
+
+
+def thinned(hashes: np.ndarray, texts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where one shingle follows itself (a word over and over), each WINDOWth place, and what tells these apart, so that
-    such a run matches another along one diagonal."""
-    follows = np.append(False, (hashes[at[1:]] == hashes[at[:-1]]) & (at[1:] == at[:-1] + 1))[: len(at)]
+    such a run matches another along one diagonal: which are kept, and what is added to their hashes."""
+    follows = np.append(False, (hashes[1:] == hashes[:-1]) & (texts[1:] == texts[:-1]) & (at[1:] == at[:-1] + 1))[: len(at)]
     every = np.arange(len(at))
     of_run = every - np.maximum.accumulate(np.where(follows, 0, every)) if len(at) else every
     keep = of_run % WINDOW == 0
-    return at[keep], of_run[keep].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return keep, of_run[keep].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of_rows(column: pa.Array) -> Iterator[np.ndarray]:
@@ -88,16 +96,24 @@ def seeds(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, places, counts = [], [], []
-            for words in words_of_rows(batch.column(1)):
-                grams = shingle_hashes(words, K) if len(words) >= K else np.zeros(0, np.uint64)
-                at = minimizers(grams)
-                at, nth_of_run = thinned(grams, at)
-                hashes.append((grams[at] + nth_of_run).view(np.int64))
-                places.append(at.astype(np.int32))
-                counts.append(len(at))
-            docs_of = batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-            yield pa.RecordBatch.from_arrays([docs_of, pa.array(np.concatenate([*hashes, np.zeros(0, np.int64)])), pa.array(np.concatenate([*places, np.zeros(0, np.int32)]))], names=["doc", "seed", "place"])
+            data, starts = utf8(batch.column(1))
+            owners, hashes, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            for a, b in pieces(starts, BATCH_BYTES):
+                words, _, _, first = word_hashes(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
+                if len(words) < K:
+                    continue
+                # The shingles of all texts at once, without those that reach into the next text.
+                text = np.repeat(np.arange(b - a), np.diff(first))
+                grams = shingle_hashes(words, K)[text[: len(text) - K + 1] == text[K - 1 :]]
+                counts = np.maximum(np.diff(first) - K + 1, 0)
+                text, at = minimizers(grams, counts)
+                found = grams[(np.cumsum(counts) - counts)[text] + at]
+                keep, nth_of_run = thinned(found, text, at)
+                owners.append(text[keep] + a)
+                hashes.append((found[keep] + nth_of_run).view(np.int64))
+                places.append(at[keep].astype(np.int32))
+            docs_of = batch.column(0).take(pa.array(np.concatenate(owners)))
+            yield pa.RecordBatch.from_arrays([docs_of, pa.array(np.concatenate(hashes)), pa.array(np.concatenate(places))], names=["doc", "seed", "place"])
 
     return docs.mapInArrow(work, "doc long, seed long, place int")
 
@@ -204,6 +220,8 @@ def edits(a: np.ndarray, b: np.ndarray, limit: int | None = None) -> int:
     """Edit distance of two word sequences: equal ends go first; short rests cell by cell, long ones in a band around
     the diagonal, which is widened until it holds a best path. If the distance is over limit, more than limit."""
     n = min(len(a), len(b))
+    if len(a) == len(b) and (wrong := int(np.count_nonzero(a != b))) <= 2:
+        return wrong  # at one length, an insertion needs a deletion too
     same = int(np.argmin(np.append(a[:n] == b[:n], False)))
     a, b = a[same:], b[same:]
     n = min(len(a), len(b))
@@ -347,10 +365,13 @@ def _further(shared: DataFrame, found: DataFrame, left_out: DataFrame) -> DataFr
     within = (F.col("doc") == F.col("doc_id")) & (F.col("place") >= F.col("start")) & (F.col("place") + K <= F.col("stop"))
     # A seed's first document has no earlier one to be matched with; it is a home only.
     opened = written(shared.where("h.doc < doc").join(spans, within, "left_anti"), "open-seeds")
-    marked = shared.select("doc", "seed", "place").join(opened.select("doc", "place", F.lit(True).alias("open")), ["doc", "place"], "left")
     wanted = opened.select("seed", F.lit(True).alias("wanted")).distinct()
-    ahead = Window.partitionBy("doc").orderBy("place").rangeBetween(0, LEAST_WORDS - K + WINDOW)
-    stretches = marked.join(wanted, "seed", "left").withColumn("ahead", F.collect_list(F.struct("place", "seed")).over(ahead)).where("wanted AND size(ahead) > 1")
+    reach = LEAST_WORDS - K + WINDOW
+    by_place = Window.partitionBy("doc").orderBy("place")
+    # Lists are made only of what lies within the reach of a wanted seed, and only those meet the open seeds.
+    near = shared.select("doc", "seed", "place").join(wanted, "seed", "left").withColumn("from", F.max(F.when(F.col("wanted"), F.col("place"))).over(by_place)).where(F.col("place") - F.col("from") <= reach)
+    stretches = near.withColumn("ahead", F.collect_list(F.struct("place", "seed")).over(by_place.rangeBetween(0, reach))).where("wanted AND size(ahead) > 1").select("doc", "seed", "place", "ahead")
+    stretches = stretches.join(opened.select("doc", "place", F.lit(True).alias("open")), ["doc", "place"], "left")
     pairs = F.transform(F.slice("ahead", 2, LEAST_WORDS), lambda x: F.struct(F.xxhash64("seed", x["seed"]).alias("key"), x["place"].alias("other")))
     whole = F.struct(F.xxhash64(F.transform("ahead", lambda x: F.struct(x["seed"], x["place"] - F.col("place")))).alias("key"), F.col("place").alias("other"))
     keyed = written(stretches.select("doc", "place", "open", F.inline(F.concat(pairs, F.array(whole)))), "pairs-of-seeds")
@@ -413,22 +434,27 @@ def _spans(cuts: list[tuple]) -> list[tuple | None]:
     for low in range(0, len(cuts), 1000):
         some = cuts[low : low + 1000]
         left, right = lengthened([c[0] for c in some], [c[1] for c in some]), lengthened([c[2] for c in some], [c[3] for c in some])
-        best = left[0].argmax(axis=1), right[0].argmax(axis=1)
-        far = np.add.outer(np.arange(left[0].shape[1]), np.arange(right[0].shape[1]))
-        for k, (*_, start, stop, home_start, home_stop, n_seeds, wrong) in enumerate(some):
-
-            def span(a, b):
-                s, t, h, g = start - a, stop + b, home_start - int(left[1][k, a]), home_stop + int(right[1][k, b])
-                e = wrong + int(left[2][k, a]) + int(right[2][k, b])
-                similarity = 1 - e / max(t - s, g - h)
-                return (s, t, h, g, n_seeds, e, round(similarity, 6)) if min(t - s, g - h) >= LEAST_WORDS and similarity >= SIMILARITY else None
-
-            found = span(int(best[0][k]), int(best[1][k]))
-            if found is None:
-                total = np.add.outer(left[0][k], right[0][k]) + max(stop - start, home_stop - home_start) - 5 * wrong
-                a, b = divmod(int(np.where(total >= 0, far, -1).argmax()), far.shape[1])
-                found = span(a, b) if stop - start + a + b >= LEAST_WORDS else None
-            out.append(found)
+        start, stop, home_start, home_stop, n_seeds, wrong = np.array([c[4:] for c in some], np.int64).T
+
+        def spans(k, a, b):
+            s, t, h, g = start[k] - a, stop[k] + b, home_start[k] - left[1][k, a], home_stop[k] + right[1][k, b]
+            e = wrong[k] + left[2][k, a] + right[2][k, b]
+            similarity = 1 - e / np.maximum(t - s, g - h)
+            good = (np.minimum(t - s, g - h) >= LEAST_WORDS) & (similarity >= SIMILARITY)
+            for j, *span, x in zip(*(v[good].tolist() for v in (k, s, t, h, g, n_seeds[k], e, similarity))):
+                found[j] = (*span, round(x, 6))
+            return good
+
+        found: list[tuple | None] = [None] * len(some)
+        each = np.arange(len(some))
+        rest = each[~spans(each, left[0].argmax(axis=1), right[0].argmax(axis=1))]
+        if len(rest):
+            total = left[0][rest][:, :, None] + right[0][rest][:, None, :] + (np.maximum(stop - start, home_stop - home_start) - 5 * wrong)[rest].astype(np.int32)[:, None, None]
+            far = np.add.outer(np.arange(total.shape[1], dtype=np.int16), np.arange(total.shape[2], dtype=np.int16))
+            a, b = np.divmod(np.where(total >= 0, far, np.int16(-1)).reshape(len(rest), -1).argmax(axis=1), total.shape[2])
+            long = (stop - start)[rest] + a + b >= LEAST_WORDS
+            spans(rest[long], a[long], b[long])
+        out += found
     return out
 
 

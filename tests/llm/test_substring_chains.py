@@ -237,3 +237,31 @@ def test_matches_in_order_need_no_tree(monkeypatch):
     assert sc.chains(near, [p + 7 + (p > 60) for p in near]) == [list(range(50))] and not made
     assert sc.chains([0, 200], [0, 200]) == [[0], [1]] and len(made) == 1
     assert sc.chains([0, 3, 6], [9, 3, 6]) == [[1, 2], [0]] and len(made) == 2
+
+
+def test_minimizers_of_texts_laid_end_to_end():
+    """As each text's own, with few different hashes and texts of no, few and many of them."""
+    rng = np.random.default_rng(7)
+    counts = rng.integers(0, 12, 300)
+    hashes = rng.integers(0, 4, counts.sum()).astype(np.uint64) - np.uint64(1)
+    want, low = [], 0
+    for text, n in enumerate(counts.tolist()):
+        own = hashes[low : low + n].tolist()
+        low += n
+        at = {min(range(i, min(i + sc.WINDOW, n)), key=lambda j: (own[j], j)) for i in range(max(1, n - sc.WINDOW + 1))} if n else set()
+        want += [(text, j) for j in sorted(at)]
+    assert list(zip(*(v.tolist() for v in sc.minimizers(hashes, counts)))) == want
+
+
+def test_edits_of_one_length_against_quadratic():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        one = rng.integers(0, 4, rng.integers(1, 9)).astype(np.uint32)
+        two = one.copy() if rng.random() < 0.7 else rng.integers(0, 4, len(one)).astype(np.uint32)
+        two[rng.integers(0, len(two), 2)] = rng.integers(0, 4, 2)
+        row = list(range(len(two) + 1))
+        for i, x in enumerate(one.tolist(), 1):
+            corner, row[0] = row[0], i
+            for j, y in enumerate(two.tolist(), 1):
+                corner, row[j] = row[j], min(corner + (x != y), row[j] + 1, row[j - 1] + 1)
+        assert sc.edits(one, two) == row[-1]
