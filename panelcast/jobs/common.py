@@ -12,12 +12,14 @@ from ..sources import fixtures
 DIGITS = 6
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six decimals, NaN to null."""
+def rounded(df: DataFrame, nan_is_null: bool = True) -> DataFrame:
+    """Doubles to six decimals, NaN to null. The product is rounded, as the SQL's round does; Spark's own goes by the
+    shortest decimal text, which is at times on the other side of a half."""
     out = []
     for f in df.schema:
         c = F.col(f"`{f.name}`")
-        out.append((F.round(F.when(~F.isnan(c), c), DIGITS) + 0.0).alias(f.name) if isinstance(f.dataType, T.DoubleType) else c)
+        near = F.when(F.abs(c) < 1e300, F.round(c * 10.0**DIGITS) / 10.0**DIGITS).otherwise(c) + 0.0
+        out.append((F.when(~F.isnan(c), near) if nan_is_null else near).alias(f.name) if isinstance(f.dataType, T.DoubleType) else c)
     return df.select(*out)
 
 

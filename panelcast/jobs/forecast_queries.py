@@ -194,9 +194,12 @@ GRID = f"SELECT asset_id, date, ret FROM (SELECT DISTINCT asset_id FROM ({U}) AS
           CASE WHEN r.ret IS NULL THEN s.gap + 1 ELSE 0 END FROM s JOIN r ON r.asset_id = s.asset_id AND r.n = s.n + 1)
   SELECT asset_id, date, sqrt(v) AS ewma_vol FROM s""", "ewma_vol")
 def ewma_vol_gaps(spark, d):
+    """Events of no user give one row, on the first day, since the SQL's recursion never goes on from there."""
     p = panel(spark, d, "user_day").select("asset_id", "date", "ret")
-    whole = calendar.reindex(p, p.select(F.col("date").alias("session")).distinct())
-    return rounded(evaluate.ewma_vol(whole, 0.9, nan_is_gap=False).select("asset_id", "date", "ewma_vol"))
+    whole = calendar.reindex(p.where("asset_id IS NOT NULL"), p.select(F.col("date").alias("session")).distinct())
+    nobody = p.agg(F.min("date").alias("date"), F.count_if(F.col("asset_id").isNull()).alias("n")).where("n > 0")
+    nobody = nobody.select(F.lit(None).cast(p.schema["asset_id"].dataType).alias("asset_id"), "date", F.lit(None).cast("double").alias("ewma_vol"))
+    return rounded(evaluate.ewma_vol(whole, 0.9, nan_is_gap=False).select("asset_id", "date", "ewma_vol").unionByName(nobody), nan_is_null=False)
 
 
 @query(f"SELECT asset_id, forecast_start_date, mu - sigma AS lower_1s, mu + sigma AS upper_1s, mu - 2 * sigma AS lower_2s, mu + 2 * sigma AS upper_2s FROM ({PN}) AS p", "lower_1s", "upper_1s", "lower_2s", "upper_2s")

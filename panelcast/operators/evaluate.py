@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,8 @@ from .recurrence import ROWS, Recursion, scan
 
 KEYS = ["asset_id", "forecast_start_date"]
 LEVELS = (0.50, 0.60, 0.6827, 0.80, 0.90, 0.9545, 0.99)
+#: Powers of a decay that are taken from a table: the JVM's pow is an ulp off now and then, others' are not.
+POWERS = 256
 METRICS = ("mean_nll", "crps", "mae_mu", "rmse_mu", "bias_mu", "coverage_1s", "coverage_2s", "sigma_mean")
 
 
@@ -107,35 +111,40 @@ def realized_vol(panel: DataFrame, window: int = 20, target: str = "ret", id: st
 
 
 def _weighted(decay: float) -> Recursion:
-    """State: the average s of squares y2 and the rows since the last known one. An old average weighs decay^(gap + 1)
+    """State: the average s of squares of y and the rows since the last known one. An old average weighs decay^(gap + 1)
     against 1 - decay of a new square. Summary of a run: the rows before its first square, that square, and the affine
-    map of all later ones."""
+    map of all later ones. The steps round as the formula is written, (old s + new y y) / (old + new), so that a chunk
+    that is walked from its start gives the last digit of a plain loop too."""
+    decay = float(decay)
+    new = float(1 - Decimal(repr(decay)))
+    table = F.expr("array({})".format(", ".join(f"{decay**k!r}D" for k in range(1, POWERS + 1))))
+
+    def weight(gap: Column) -> Column:
+        return F.when(gap < POWERS, F.get(table, gap.cast("int"))).otherwise(F.pow(F.lit(decay), gap + 1))
 
-    def step(s: Column, gap: Column, y2: Column) -> tuple[Column, Column]:
-        old = F.pow(F.lit(decay), gap + 1)
-        return old / (old + (1 - decay)), (1 - decay) * y2 / (old + (1 - decay))
+    def average(s: Column, gap: Column, y: Column) -> Column:
+        return (weight(gap) * s + new * y * y) / (weight(gap) + new)
 
     def then(now: Column, row: Column) -> Column:
-        a, b = step(now["s"], now["gap"], row["y2"])
-        known = F.when(now["s"].isNull(), row["y2"]).otherwise(a * now["s"] + b)
-        return F.when(row["y2"].isNull(), F.struct(now["s"].alias("s"), (now["gap"] + 1).alias("gap"))).otherwise(F.struct(known.alias("s"), F.lit(0).alias("gap")))
+        known = F.when(now["s"].isNull(), row["__y"] * row["__y"]).otherwise(average(now["s"], now["gap"], row["__y"]))
+        return F.when(row["__y"].isNull(), F.struct(now["s"].alias("s"), (now["gap"] + 1).alias("gap"))).otherwise(F.struct(known.alias("s"), F.lit(0).alias("gap")))
 
     def none() -> Column:
         return F.struct(F.lit(0).alias("skipped"), F.lit(None).alias("first"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0).alias("gap"))
 
     def add(m: Column, row: Column) -> Column:
-        a, b = step(m["b"], m["gap"], row["y2"])
+        a = weight(m["gap"]) / (weight(m["gap"]) + new)
         part = lambda skipped, first, a, b, gap: F.struct(skipped.alias("skipped"), first.alias("first"), a.alias("a"), b.alias("b"), gap.alias("gap"))
-        unknown, started = row["y2"].isNull(), m["first"].isNotNull()
+        unknown, started = row["__y"].isNull(), m["first"].isNotNull()
         return (
             F.when(unknown & ~started, part(m["skipped"] + 1, m["first"], m["a"], m["b"], m["gap"]))
             .when(unknown, part(m["skipped"], m["first"], m["a"], m["b"], m["gap"] + 1))
-            .when(~started, part(m["skipped"], row["y2"], m["a"], m["b"], m["gap"]))
-            .otherwise(part(m["skipped"], m["first"], a * m["a"], a * m["b"] + b, F.lit(0).cast("bigint")))
+            .when(~started, part(m["skipped"], row["__y"], m["a"], m["b"], m["gap"]))
+            .otherwise(part(m["skipped"], m["first"], a * m["a"], average(m["b"], m["gap"], row["__y"]), F.lit(0).cast("bigint")))
         )
 
     def carry(now: Column, m: Column) -> Column:
-        at_first = then(F.struct(now["s"].alias("s"), (now["gap"] + m["skipped"]).alias("gap")), F.struct(m["first"].alias("y2")))
+        at_first = then(F.struct(now["s"].alias("s"), (now["gap"] + m["skipped"]).alias("gap")), F.struct(m["first"].alias("__y")))
         return F.when(m["first"].isNull(), F.struct(now["s"].alias("s"), (now["gap"] + m["skipped"]).alias("gap"))).otherwise(F.struct((m["a"] * at_first["s"] + m["b"]).alias("s"), m["gap"].alias("gap")))
 
     return Recursion("struct<s:double,gap:bigint>", "struct<skipped:bigint,first:double,a:double,b:double,gap:bigint>", then, none, add, carry)
@@ -148,10 +157,10 @@ def ewma_vol(panel: DataFrame, decay: float = 0.94, target: str = "ret", id: str
     if not 0 < decay < 1:
         raise ContractError("the decay must be in (0, 1)")
     how, y = _weighted(decay), F.col(target).cast("double")
-    squares = panel.withColumn("y2", F.when(~F.isnan(y), y * y) if nan_is_gap else y * y)
+    values = panel.withColumn("__y", F.when(~F.isnan(y), y) if nan_is_gap else y)
     first = F.struct(F.lit(None).alias("s"), F.lit(0).alias("gap"))
-    out = scan(squares, how, first, "__before", [id], date, rows)
-    return out.withColumn("ewma_vol", F.sqrt(how.next(F.col("__before"), F.struct("y2"))["s"])).select(*panel.columns, "ewma_vol")
+    out = scan(values, how, first, "__before", [id], date, rows)
+    return out.withColumn("ewma_vol", F.sqrt(how.next(F.col("__before"), F.struct("__y"))["s"])).select(*panel.columns, "ewma_vol")
 
 
 def bands(predictions: DataFrame) -> DataFrame:

@@ -46,10 +46,11 @@ def affine(a: str, b: str) -> Recursion:
 
 
 def with_chunks(df: DataFrame, date: str = "date", rows: int = ROWS, name: str = "__chunk") -> DataFrame:
-    """Adds the number of the row's chunk: `rows` successive dates of the whole table each. Dates are numbered in a
-    table of one row per date."""
-    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(date)) - 1
-    return df.join(df.select(date).distinct().withColumn(name, F.floor(number / rows)), date)
+    """Adds the number of the row's chunk: `rows` successive dates of the whole table each, rows without a date last.
+    Dates are numbered in a table of one row per date."""
+    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_last("__date"))) - 1
+    dates = df.select(F.col(date).alias("__date")).distinct().withColumn(name, F.floor(number / rows))
+    return df.join(dates, F.col(date).eqNullSafe(F.col("__date"))).drop("__date")
 
 
 def _before(rows: Column, first: Column, then: Callable[[Column, Column], Column], state: str) -> Column:
@@ -65,7 +66,7 @@ def scan(df: DataFrame, how: Recursion, first: Column, before: str = "before", k
     first row: an expression of columns that are constant for a key. Rows that have a chunk (with_chunks) keep it."""
     keys = list(keys)
     payload = [c for c in df.columns if c not in (*keys, date, "__chunk")]
-    in_order = lambda x, y: F.when(x[date] < y[date], -1).when(x[date] > y[date], 1).otherwise(0)
+    in_order = lambda x, y: F.when((x[date] < y[date]) | y[date].isNull(), -1).when((x[date] > y[date]) | x[date].isNull(), 1).otherwise(0)
     dealt = df if "__chunk" in df.columns else with_chunks(df, date, rows)
     chunks = dealt.withColumn("__first", first.cast(how.state)).groupBy(*keys, "__chunk").agg(F.array_sort(F.collect_list(F.struct(date, *payload)), in_order).alias("__rows"), F.first("__first").alias("__first"))
     add = lambda m, row: how.add(m, row).cast(how.summary)
